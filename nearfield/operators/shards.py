@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from nearfield.operators.batch import vector_means
+
 
 def default_num_shards(spark: SparkSession) -> int:
     """Executor instances, at least four."""
@@ -99,15 +101,11 @@ def dims_report(df: DataFrame, column: str = "embedding") -> DataFrame:
     return df.groupBy(F.size(column).alias("dims")).agg(F.count("*").alias("n_vectors"))
 
 
-def shard_stats(df: DataFrame, dims: int, column: str = "embedding") -> DataFrame:
-    """Size and mean-vector norm of every shard, from map-side partial sums."""
-    means = [F.avg(F.get(column, F.lit(i)).cast("double")) for i in range(dims)]
-    squares: Column = F.lit(0.0)
-    names = [f"m{i}" for i in range(dims)]
-    for name in names:
-        squares = squares + F.col(name) * F.col(name)
-    sums = df.groupBy("shard_id").agg(F.count("*").alias("n_vectors"), *[m.alias(n) for m, n in zip(means, names)])
-    return sums.select("shard_id", "n_vectors", F.sqrt(squares).alias("centroid_norm"))
+def shard_stats(df: DataFrame, column: str = "embedding") -> DataFrame:
+    """Size and mean-vector norm of every shard, from per-task partial sums."""
+    means = vector_means(df, "shard_id", column)
+    squares = F.aggregate("mean", F.lit(0.0), lambda acc, x: acc + x * x)
+    return means.select("shard_id", F.col("n").alias("n_vectors"), F.sqrt(squares).alias("centroid_norm"))
 
 
 def shard_metadata(df: DataFrame) -> DataFrame:
