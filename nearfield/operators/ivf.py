@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from nearfield.functions.distance import check_metric
 from nearfield.operators.kernel import BlockTopK, to_matrix
@@ -74,7 +75,7 @@ def nearest_cells(df: DataFrame, centroids: DataFrame, count: int, metric: str,
     cells = _Cells(centroids)
     count = min(count, len(cells.ids))
     shared = df.sparkSession.sparkContext.broadcast(cells)
-    schema = df.schema.add(output, "array<bigint>")
+    schema = StructType([*df.schema.fields, StructField(output, ArrayType(LongType()))])
     position = df.columns.index("vector")
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
