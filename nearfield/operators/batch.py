@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from nearfield.functions.quantize import encode
 from nearfield.operators.kernel import to_matrix
-from nearfield.session import parallelism
+from nearfield.session import parallelism, ship_package
 
 
 @dataclass
@@ -39,13 +39,14 @@ def apply_to_batches(
 
     ``df`` has ``row_id, vector``; ``fn`` returns the values of ``schema``.  The
     result has one row per batch, led by ``batch_id``; an exception in ``fn``
-    fails the job.  Batches are range-partitioned and streamed, so a task holds
-    one batch at a time.
+    fails the job.  Batches are hash-partitioned and streamed, so a task holds one
+    batch at a time.
     """
+    ship_package(df.sparkSession)
     numbered = df.select("row_id", F.col("vector").cast("array<float>").alias("vector")).withColumn(
         "batch_id", F.floor(F.col("row_id") / batch_size).cast("bigint")
     )
-    ordered = numbered.repartitionByRange("batch_id").sortWithinPartitions("batch_id", "row_id")
+    ordered = numbered.repartition("batch_id").sortWithinPartitions("batch_id", "row_id")
     value_type = StructType.fromDDL(schema)
     arrow = to_arrow_schema(value_type)
 
@@ -84,6 +85,7 @@ def apply_to_batches(
 
 def vector_means(df: DataFrame, key: str, column: str) -> DataFrame:
     """``key, n, mean``: each task adds up its rows, only the sums are shuffled."""
+    ship_package(df.sparkSession)
     narrow = df.filter(F.col(column).isNotNull()).select(
         F.col(key).cast("bigint").alias("key"), F.col(column).cast("array<float>").alias("vector")
     )

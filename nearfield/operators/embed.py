@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.text import words
-from nearfield.session import materialize, parallelism
+from nearfield.session import materialize, parallelism, ship_package
 
 
 def vocabulary(documents: DataFrame, max_features: int = 1024, min_df: int = 2) -> DataFrame:
@@ -66,6 +66,7 @@ def _dense(batch: pa.RecordBatch, width: int) -> np.ndarray:
 
 def gram_matrix(rows: DataFrame, width: int) -> np.ndarray:
     """``X'X`` (width x width): partial products per task, summed on the executors."""
+    ship_package(rows.sparkSession)
     slots = parallelism(rows.sparkSession)
     schema = "i int, cells array<double>"
 

@@ -1,8 +1,7 @@
 """Inverted-file index: a table of vectors laid out by nearest centroid.
 
-Only the centroids (``nlist`` rows, size-checked) reach the driver.  The index
-is written range-partitioned on ``(cell_id, row_id)``, so a cell that holds a
-large part of the data is spread over many files instead of one task.
+Only the centroids (``nlist`` rows, size-checked) reach the driver.  A cell that
+holds a large part of the data is written by many tasks as many files.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from nearfield.functions.distance import check_metric
 from nearfield.operators.kernel import BlockTopK, to_matrix
 from nearfield.operators.knn import search
-from nearfield.session import BROADCAST_LIMIT
+from nearfield.session import BROADCAST_LIMIT, ship_package, spread_by
 
 # Metric for putting a vector into a cell and for choosing the cells of a query.
 # Inner product: cells follow L2, queries go to the centroids of largest product.
@@ -72,6 +71,7 @@ class _Cells:
 
 def nearest_cells(df: DataFrame, centroids: DataFrame, count: int, metric: str, output: str) -> DataFrame:
     """Add ``output``: the ids of the ``count`` nearest centroids of ``vector``, nearest first."""
+    ship_package(df.sparkSession)
     cells = _Cells(centroids)
     count = min(count, len(cells.ids))
     shared = df.sparkSession.sparkContext.broadcast(cells)
@@ -106,11 +106,10 @@ def assign_cells(base: DataFrame, centroids: DataFrame, metric: str = "l2") -> D
     return found.withColumn("cell_id", F.get("cells", F.lit(0))).drop("cells")
 
 
-def write_index(assigned: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Store assigned vectors by cell; big cells get several files, small ones share a task."""
-    keys = ["cell_id", "row_id"]
-    ranged = assigned.repartitionByRange(partitions, *keys) if partitions else assigned.repartitionByRange(*keys)
-    ranged.sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("cell_id").parquet(path)
+def write_index(assigned: DataFrame, path: str) -> None:
+    """Store assigned vectors by cell; see :func:`spread_by`."""
+    spread = spread_by(assigned, "cell_id")
+    spread.sortWithinPartitions("cell_id", "row_id").write.mode("overwrite").partitionBy("cell_id").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -118,11 +117,9 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return index.withColumn("cell_id", F.col("cell_id").cast("bigint"))
 
 
-def build_ivf(
-    base: DataFrame, centroids: DataFrame, path: str, metric: str = "l2", partitions: int | None = None
-) -> DataFrame:
+def build_ivf(base: DataFrame, centroids: DataFrame, path: str, metric: str = "l2") -> DataFrame:
     """Assign, write and reopen the index table."""
-    write_index(assign_cells(base, centroids, metric), path, partitions)
+    write_index(assign_cells(base, centroids, metric), path)
     return read_index(base.sparkSession, path)
 
 

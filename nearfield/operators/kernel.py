@@ -37,6 +37,16 @@ def _squared_norms(matrix: np.ndarray) -> np.ndarray:
     return (wide * wide).sum(axis=1)
 
 
+def _sorted_by(q: np.ndarray, d: np.ndarray, i: np.ndarray, n: int) -> np.ndarray:
+    """Order by (q, d, i); the ids are only looked at when two distances are equal."""
+    by_distance = np.argsort(d)
+    small = np.uint16 if n <= 1 << 16 else np.int64
+    order = by_distance[np.argsort(q[by_distance].astype(small), kind="stable")]
+    q, d = q[order], d[order]
+    equal = (q[1:] == q[:-1]) & (d[1:] == d[:-1]) & np.isfinite(d[1:])
+    return order[np.lexsort((i[order], d, q))] if equal.any() else order
+
+
 class BlockTopK:
     """Running top-K lists of a fixed set of queries."""
 
@@ -106,7 +116,7 @@ class BlockTopK:
                 kth = np.partition(low[crowded], self.k - 1, axis=1)[:, self.k - 1].astype(np.float64)
                 tighter = np.minimum(limit[crowded], kth + slack + 2.0 * query_error[part[crowded]])
                 mask[crowded] = low[crowded] <= self._ceil(tighter, dtype)[:, None]
-            positions, rows = np.nonzero(mask)
+            positions, rows = np.divmod(np.flatnonzero(mask), mask.shape[1])
             if len(positions):
                 self._score(part[positions], rows, ids, vectors, norms)
 
@@ -117,9 +127,10 @@ class BlockTopK:
 
     def _score(self, queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, norms: np.ndarray) -> None:
         step = max(1, _SCORE_ELEMENTS // max(self.dims, 1))
+        wide = vectors.astype(np.float64)
         for start in range(0, len(queries), step):
             q, r = queries[start : start + step], rows[start : start + step]
-            a, b = self.queries[q], vectors[r].astype(np.float64)
+            a, b = self.queries[q], wide[r]
             if self.metric == "l2":
                 difference = a - b
                 exact = (difference * difference).sum(axis=1)
@@ -144,9 +155,8 @@ class BlockTopK:
         q = np.concatenate([q, np.repeat(touched, self.k)])
         d = np.concatenate([p[1] for p in self._pending] + [self.distances[touched].ravel()])
         i = np.concatenate([p[2] for p in self._pending] + [self.ids[touched].ravel()])
-        order = np.lexsort((i, d, q))
-        q = q[order]
-        starts = np.searchsorted(q, touched)
+        order = _sorted_by(q, d, i, len(self.queries))
+        starts = np.searchsorted(q[order], touched)
         best = order[(starts[:, None] + np.arange(self.k)[None, :])]
         self.distances[touched] = d[best]
         self.ids[touched] = i[best]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from nearfield.functions.distance import check_metric
 from nearfield.functions.quantize import check_precision, encode
 from nearfield.operators.kernel import BlockTopK, to_matrix
-from nearfield.session import BROADCAST_LIMIT, STATE_LIMIT, parallelism, scratch_path
+from nearfield.session import BROADCAST_LIMIT, STATE_LIMIT, materialize, parallelism, scratch_path, ship_package
 
 _EMIT_ROWS = 1 << 16
 # Query sets up to this many rows are tried as one block without counting first.
@@ -96,8 +96,9 @@ def _blocks(queries: DataFrame, k: int, states: int, order: str | None) -> Itera
         yield first, False
         return
     del first
+    queries = materialize(queries, "queries")
     wanted = math.ceil(queries.count() / max(1, limit // 2))
-    path = scratch_path(spark, "queries")
+    path = scratch_path(spark, "blocks")
     keys = ([order] if order else []) + ["query_id"]
     (
         queries.repartitionByRange(wanted, *keys)
@@ -129,6 +130,7 @@ def _search_block(
 ) -> DataFrame:
     """Per-task top-K of one query block: unranked rows, K per task and state."""
     spark = base.sparkSession
+    ship_package(spark)
     shared = spark.sparkContext.broadcast(block)
     schema = "query_id bigint, neighbor_id bigint, distance double, precision string, shard_id bigint"
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.operators.batch import vector_means
+from nearfield.session import materialize, spread_by
 
 
 def default_num_shards(spark: SparkSession) -> int:
@@ -63,9 +64,11 @@ def position_within(df: DataFrame, group: str, output: str, chunk: int = 1 << 20
 def semantic(assigned: DataFrame, max_vectors_per_shard: int) -> DataFrame:
     """Shards from clusters: one per ``cell_id``, split where a cell exceeds the cap.
 
-    Shards are numbered by (cell, part).
+    Shards are numbered by (cell, part).  The assignment is stored once, as its
+    cell sizes are needed before the rows can be placed.
     """
     cap = max_vectors_per_shard
+    assigned = materialize(assigned, "cells")
     sizes = assigned.groupBy("cell_id").agg(F.count("*").alias("cell_rows"))
     parts = F.ceil(F.col("cell_rows") / cap).cast("bigint")
     # One row per cell: the number of cells is the number of centroids, which is bounded.
@@ -116,21 +119,18 @@ def shard_metadata(df: DataFrame) -> DataFrame:
     )
 
 
-def write_shards(df: DataFrame, path: str, partitions: int | None = None) -> DataFrame:
+def write_shards(df: DataFrame, path: str) -> DataFrame:
     """Write ``id, embedding`` by shard in one pass plus the shard metadata; returns the metadata.
 
-    Dimensions are taken from the first row; any other length raises.  The
-    range partitioning on (shard, id) spreads a large shard over many tasks.
+    Dimensions are taken from the first row; any other length raises.
     """
     first = df.select(F.size("embedding").alias("dims")).first()
     if first is None:
         raise ValueError("no vectors to write")
     rows = validate_dims(df.select("id", "embedding", "shard_id"), first["dims"])
     rows = rows.withColumn("embedding", F.col("embedding").cast("array<float>"))
-    keys = ["shard_id", "id"]
-    ranged = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
     vectors = f"{path}/vectors"
-    ranged.sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("shard_id").parquet(vectors)
+    spread_by(rows, "shard_id").sortWithinPartitions("shard_id", "id").write.mode("overwrite").partitionBy("shard_id").parquet(vectors)
     stored = df.sparkSession.read.parquet(vectors)
     metadata = shard_metadata(stored).withColumn("created_at", F.unix_millis(F.current_timestamp()))
     metadata.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")

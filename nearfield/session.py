@@ -1,12 +1,17 @@
-"""Session-level settings: the shared scratch folder and size limits."""
+"""Session-level settings: the shared scratch folder, size limits, the package on the executors."""
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from nearfield.sources import files
+
 # Largest table (bytes) that is ever collected into one broadcast.
 BROADCAST_LIMIT = 64 << 20
 # Largest running top-K state (bytes) one task keeps.
@@ -42,6 +47,37 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_by(df: DataFrame, key: str) -> DataFrame:
+    """Bring rows of one key together for writing, without trusting the keys to be even.
+
+    Adaptive execution cuts an oversized partition (a key with a large part of
+    the data) into several tasks and joins small ones.
+    """
+    return df.hint("rebalance", key)
+
+
 def parallelism(spark: SparkSession) -> int:
-    """Task slots worth filling; four waves keep stragglers short."""
-    return 4 * spark.sparkContext.defaultParallelism
+    """Tasks worth starting: two per slot, so that one slow task does not stall the rest."""
+    return 2 * spark.sparkContext.defaultParallelism
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable on the executors, once per application.
+
+    Does nothing when the package was itself submitted as an archive.
+    """
+    context = spark.sparkContext
+    folder = Path(__file__).resolve().parent
+    if context.applicationId in _shipped or not folder.is_dir():
+        return
+    content = io.BytesIO()
+    with zipfile.ZipFile(content, "w") as archive:
+        for source in sorted(folder.rglob("*.py")):
+            archive.write(source, source.relative_to(folder.parent))
+    path = scratch_path(spark, folder.name) + ".zip"
+    files.write_bytes(path, content.getvalue())
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
