@@ -23,6 +23,7 @@ from nearfield.session import BROADCAST_LIMIT, ship_package, spread_by
 # Inner product: cells follow L2, queries go to the centroids of largest product.
 _ASSIGN = {"l2": "l2", "ip": "l2", "cos": "cos"}
 _PROBE = {"l2": "l2", "ip": "ip", "cos": "cos"}
+_MAX_CELLS = 1 << 20
 
 
 def train_centroids(
@@ -53,19 +54,13 @@ class _Cells:
     """Centroids as broadcast to the tasks."""
 
     def __init__(self, centroids: DataFrame):
-        table = (
-            centroids.select(
-                F.col("cell_id").cast("bigint").alias("cell_id"), F.col("centroid").cast("array<float>").alias("centroid")
-            )
-            .orderBy("cell_id")
-            .limit(BROADCAST_LIMIT // 4 + 1)
-            .toArrow()
-        )
-        if table.num_rows == 0:
-            raise ValueError("no centroids")
+        cell, centroid = F.col("cell_id").cast("bigint"), F.col("centroid").cast("array<float>")
+        table = centroids.select(cell.alias("cell_id"), centroid.alias("centroid")).limit(_MAX_CELLS + 1).toArrow()
+        if not 0 < table.num_rows <= _MAX_CELLS:
+            raise ValueError(f"the number of centroids must be from 1 to {_MAX_CELLS}")
         self.ids = table.column("cell_id").to_numpy()
         self.vectors = to_matrix(table.column("centroid"))
-        if self.vectors.nbytes > BROADCAST_LIMIT:
+        if self.vectors.nbytes > 4 * BROADCAST_LIMIT:
             raise ValueError(f"centroids take {self.vectors.nbytes} bytes, more than one broadcast may hold")
 
 

@@ -21,14 +21,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.functions.distance import check_metric
+from nearfield.functions.distance import check_metric, distance
 from nearfield.functions.quantize import check_precision, encode
 from nearfield.operators.kernel import BlockTopK, to_matrix
-from nearfield.session import BROADCAST_LIMIT, STATE_LIMIT, materialize, parallelism, scratch_path, ship_package
+from nearfield.session import (
+    BROADCAST_LIMIT,
+    STATE_LIMIT,
+    broadcast_if_small,
+    materialize,
+    parallelism,
+    scratch_path,
+    ship_package,
+)
 
 _EMIT_ROWS = 1 << 16
 # Query sets up to this many rows are tried as one block without counting first.
 _ONE_BLOCK_ROWS = 16384
+# With more tasks than this the lists are merged in two steps.
+_SALT_ABOVE = 1024
 
 
 def rank_hits(hits: DataFrame, k: int, by: Sequence[str] = ("query_id",)) -> DataFrame:
@@ -80,6 +90,11 @@ def _block_rows(dims: int, k: int, states: int) -> int:
     return max(1, min(by_vector, by_state))
 
 
+def _max_states(n_queries: int, k: int, precisions: int) -> int:
+    """Running lists (one per precision and shard) a task may hold at a time."""
+    return max(precisions, STATE_LIMIT // (32 * k * max(1, n_queries)))
+
+
 def _blocks(queries: DataFrame, k: int, states: int, order: str | None) -> Iterator[tuple[pa.Table, bool]]:
     """Arrow tables of at most one block of queries each, with a 'more than one' flag.
 
@@ -127,6 +142,7 @@ def _search_block(
     precisions: Sequence[str],
     stored: bool,
     shard_col: str | None,
+    num_shards: int,
 ) -> DataFrame:
     """Per-task top-K of one query block: unranked rows, K per task and state."""
     spark = base.sparkSession
@@ -137,6 +153,7 @@ def _search_block(
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = shared.value
         states: dict[tuple[str, int], BlockTopK] = {}
+        most = _max_states(len(queries.ids), k, len(precisions))
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -149,25 +166,34 @@ def _search_block(
                 for shard in np.unique(shards).tolist():
                     key = (precision, shard)
                     if key not in states:
+                        if len(states) >= most:
+                            # Rows come sorted by shard then, so the oldest state is complete or nearly so.
+                            oldest = next(iter(states))
+                            yield from emit(oldest, states.pop(oldest))
                         states[key] = BlockTopK(queries.vectors[precision], k, metric)
                     rows = np.flatnonzero(shards == shard) if shard_col else None
                     _offer(states[key], ids, encoded, rows, cells, queries.members)
-        for (precision, shard), state in states.items():
-            position, neighbors, distances = state.lists()
-            for start in range(0, len(position), _EMIT_ROWS):
-                part = slice(start, start + _EMIT_ROWS)
-                n = len(position[part])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(queries.ids[position[part]]),
-                        pa.array(neighbors[part]),
-                        pa.array(distances[part]),
-                        pa.array([precision] * n, pa.string()),
-                        pa.array(np.full(n, shard, dtype=np.int64)),
-                    ],
-                    names=["query_id", "neighbor_id", "distance", "precision", "shard_id"],
-                )
-
+        for key, state in states.items():
+            yield from emit(key, state)
+
+    def emit(key: tuple[str, int], state: BlockTopK) -> Iterator[pa.RecordBatch]:
+        position, neighbors, distances = state.lists()
+        for start in range(0, len(position), _EMIT_ROWS):
+            part = slice(start, start + _EMIT_ROWS)
+            n = len(position[part])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(shared.value.ids[position[part]]),
+                    pa.array(neighbors[part]),
+                    pa.array(distances[part]),
+                    pa.array([key[0]] * n, pa.string()),
+                    pa.array(np.full(n, key[1], dtype=np.int64)),
+                ],
+                names=["query_id", "neighbor_id", "distance", "precision", "shard_id"],
+            )
+
+    if shard_col and num_shards * len(precisions) > _max_states(len(block.ids), k, len(precisions)):
+        base = base.sortWithinPartitions("shard_id")
     return base.mapInArrow(search, schema)
 
 
@@ -225,13 +251,12 @@ def search(
     ).filter(F.col("vector").isNotNull())
     if probing:
         queries = queries.withColumn("first_cell", F.get("cells", F.lit(0)))
-    states = len(precisions) * max(1, num_shards)
     by = ["query_id"] + (["precision"] if len(precisions) > 1 else []) + (["shard_id"] if local else [])
 
     def ranked(hits: DataFrame) -> DataFrame:
         if exclude_self:
             hits = hits.filter(F.col("query_id") != F.col("neighbor_id"))
-        if slots > 1024:
+        if slots > _SALT_ABOVE:
             # Many tasks answer each query: thin the lists in groups of tasks first.
             salted = hits.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(math.isqrt(slots))))
             hits = rank_hits(salted, k, [*by, "salt"]).drop("rank", "salt")
@@ -241,14 +266,14 @@ def search(
         return result if len(precisions) > 1 else result.drop("precision")
 
     outputs: list[DataFrame] = []
-    for table, blocked in _blocks(queries, wide, states, "first_cell" if probing else None):
+    for table, blocked in _blocks(queries, wide, len(precisions), "first_cell" if probing else None):
         block = QueryBlock(table, precisions, stored)
         rows = base
         if block.members is not None:
             rows = rows.filter(F.col("cell_id").isin(sorted(block.members)))
         # Few long tasks: fewer partial lists to merge.
         rows = rows.select(*narrow).filter(F.col("vector").isNotNull()).coalesce(slots)
-        hits = ranked(_search_block(rows, block, wide, metric, precisions, stored, shard_col))
+        hits = ranked(_search_block(rows, block, wide, metric, precisions, stored, shard_col, num_shards))
         if not blocked:
             return hits
         path = scratch_path(spark, "hits")
@@ -256,7 +281,7 @@ def search(
         outputs.append(spark.read.schema(hits.schema).parquet(path))
     if not outputs:
         empty = _search_block(
-            base.select(*narrow).limit(0), _EmptyBlock(precisions), wide, metric, precisions, stored, shard_col
+            base.select(*narrow).limit(0), _EmptyBlock(precisions), wide, metric, precisions, stored, shard_col, num_shards
         )
         return ranked(empty)
     result = outputs[0]
@@ -311,10 +336,11 @@ def sharded_knn(
 
 
 def rerank(candidates: DataFrame, base: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
-    """Re-score candidate pairs on full vectors and keep the K best."""
-    from nearfield.functions.distance import distance
+    """Re-score candidate pairs on full vectors and keep the K best.
 
-    pairs = candidates.select("query_id", "neighbor_id")
+    A short candidate list is broadcast, so the base table is read in place.
+    """
+    pairs = broadcast_if_small(candidates.select("query_id", "neighbor_id"), 64)
     vectors = base.select(F.col("row_id").alias("neighbor_id"), F.col("vector").alias("neighbor_vector"))
     asked = queries.select("query_id", F.col("vector").alias("query_vector"))
     scored = (
@@ -336,25 +362,23 @@ def quantized_knn(
     return rerank(search(base, queries, k * oversample, metric, [precision]), base, queries, k, metric)
 
 
-def with_payload(hits: DataFrame, base: DataFrame, columns: Sequence[str], max_hits: int | None = None) -> DataFrame:
+def with_payload(hits: DataFrame, base: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Fetch wide columns only for the rows that survived the top-K.
 
-    ``max_hits`` is a proven bound (queries x K); when it is small the hit list
-    is broadcast and the base table is read once without a shuffle.
+    A short hit list is broadcast, so the base table is read in place.
     """
     payload = base.select(F.col("row_id").alias("neighbor_id"), *columns)
-    if max_hits is not None and max_hits * 64 <= BROADCAST_LIMIT:
-        hits = F.broadcast(hits)
-    return hits.join(payload, "neighbor_id")
+    return broadcast_if_small(hits, 64).join(payload, "neighbor_id")
 
 
 def map_external_ids(hits: DataFrame, id_map: DataFrame) -> DataFrame:
     """Positions to external ids, keeping the position where none is known.
 
-    Only the mapped positions that occur in the hits take part in the join, so
-    a large ``id_map`` is cut down before it meets the hit list.
+    ``id_map`` may be as long as the base table; it is cut down to the
+    positions that occur in the hits before it meets the hit list.
     """
-    used = hits.select(F.col("neighbor_id").alias("row_id")).distinct()
+    hits = materialize(hits, "hits")
+    used = broadcast_if_small(hits.select(F.col("neighbor_id").alias("row_id")).distinct(), 32)
     known = id_map.join(used, "row_id", "left_semi").select(F.col("row_id").alias("neighbor_id"), "external_id")
     return (
         hits.join(known, "neighbor_id", "left")

@@ -9,13 +9,14 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from nearfield.sources import files
 
 # Largest table (bytes) that is ever collected into one broadcast.
 BROADCAST_LIMIT = 64 << 20
 # Largest running top-K state (bytes) one task keeps.
-STATE_LIMIT = 256 << 20
+STATE_LIMIT = 128 << 20
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -56,9 +57,27 @@ def spread_by(df: DataFrame, key: str) -> DataFrame:
     return df.hint("rebalance", key)
 
 
+def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """Store ``df``, measure it, and mark it for broadcast only when it fits.
+
+    Used where a short list meets a table that should not be shuffled.
+    """
+    stored = materialize(df, "list")
+    return F.broadcast(stored) if stored.count() * row_bytes <= BROADCAST_LIMIT else stored
+
+
 def parallelism(spark: SparkSession) -> int:
-    """Tasks worth starting: two per slot, so that one slow task does not stall the rest."""
-    return 2 * spark.sparkContext.defaultParallelism
+    """Tasks worth starting: two per slot, so that one slow task does not stall the rest.
+
+    With dynamic allocation the slots present now say little, so the configured
+    executors and shuffle partitions count as well.
+    """
+    conf = spark.sparkContext.getConf()
+    limits = [conf.get(f"spark.{name}", "0") for name in ("executor.instances", "dynamicAllocation.maxExecutors")]
+    executors = max(int(limit) for limit in limits if limit.isdigit()) if any(x.isdigit() for x in limits) else 0
+    configured = executors * int(conf.get("spark.executor.cores", "1"))
+    slots = max(spark.sparkContext.defaultParallelism, configured)
+    return max(2 * slots, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 _shipped: set[str] = set()
