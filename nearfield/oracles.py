@@ -256,7 +256,7 @@ def oracle() -> dict[str, str]:
     plain = "(SELECT vec_id AS row_id, embedding FROM embeddings{})"
     sql["read_vectors"] = _elements(plain.format(""), "row_id", "embedding")
     sql["read_slice"] = _elements(plain.format(" WHERE vec_id >= 100 AND vec_id < 350"), "row_id", "embedding")
-    sql["read_pushed_range"] = _elements(plain.format(" WHERE vec_id BETWEEN 200 AND 299"), "row_id", "embedding")
+    sql["read_one_shard"] = sql["shard_filter"]
     sql["decode_f16"] = sql["round_f16"]
     sql["decode_i8"] = _elements(codes, "row_id", "codes")
     unsigned = f"(SELECT row_id, list_transform(codes, lambda c: (c + 256) % 256) AS codes FROM {codes})"

@@ -448,9 +448,10 @@ def read_slice(spark, sf_dir):
 
 
 @query
-def read_pushed_range(spark, sf_dir):
-    rows = vecbin.read_vectors(spark, written(spark, sf_dir, ".fbin"))
-    return elements(rows.filter(F.col("row_id").between(200, 299)), "row_id", "vector")
+def read_one_shard(spark, sf_dir):
+    path = scratch_path(spark, "shard-files")
+    vecbin.write_shard_files(sharded_of(spark, sf_dir), path)
+    return elements(vecbin.read_shard_files(spark, path, shard=3), "id", "embedding")
 
 
 @query

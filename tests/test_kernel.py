@@ -1,0 +1,133 @@
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from nearfield.functions.quantize import encode
+from nearfield.operators import kernel
+from nearfield.operators.kernel import BlockTopK, to_matrix
+from tests.conftest import brute_force
+
+
+def run(queries, ids, base, k, metric, step=1000):
+    state = BlockTopK(np.asarray(queries, np.float32), k, metric)
+    for start in range(0, len(ids), step):
+        state.offer(np.asarray(ids[start : start + step]), np.asarray(base[start : start + step], np.float32))
+    owner, found, distances = state.lists()
+    return [(found[owner == q], distances[owner == q]) for q in range(len(queries))]
+
+
+def check(queries, ids, base, k, metric, step=1000):
+    base, queries = np.asarray(base, np.float32), np.asarray(queries, np.float32)
+    expected = brute_force(ids, base, queries, k, metric)
+    for (got_ids, got_d), (want_ids, want_d) in zip(run(queries, ids, base, k, metric, step), expected):
+        np.testing.assert_array_equal(got_ids, want_ids)
+        np.testing.assert_allclose(got_d, want_d, rtol=1e-9, atol=1e-12)
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip", "cos"])
+@pytest.mark.parametrize("k", [1, 10, 700])
+def test_matches_brute_force(rng, metric, k):
+    base = rng.normal(size=(9000, 24))
+    check(rng.normal(size=(30, 24)), np.arange(9000) * 3, base, k, metric, step=2500)
+
+
+def test_fewer_rows_than_k(rng):
+    check(rng.normal(size=(3, 4)), np.arange(5), rng.normal(size=(5, 4)), 10, "l2")
+
+
+def test_a_third_of_the_rows_are_copies(rng):
+    base = rng.normal(size=(9000, 16)).astype(np.float32)
+    base[rng.permutation(9000)[:3000]] = base[0]
+    ids = rng.permutation(9000)
+    queries = np.vstack([base[0], rng.normal(size=(5, 16))])
+    got = run(queries, ids, base, 50, "l2", step=700)
+    copies = np.sort(ids[(base == base[0]).all(axis=1)])
+    np.testing.assert_array_equal(got[0][0], copies[:50])
+    check(queries[1:], ids, base, 50, "l2", step=700)
+
+
+def test_integer_ties_go_to_the_smaller_id(rng):
+    base = rng.integers(-2, 3, size=(6000, 4))
+    check(rng.integers(-2, 3, size=(20, 4)), rng.permutation(6000), base, 40, "l2")
+
+
+@pytest.mark.parametrize("scale", [1e-25, 1e-12, 1e12, 1e18])
+def test_extreme_lengths(rng, scale):
+    check(rng.normal(size=(8, 8)) * scale, np.arange(5000), rng.normal(size=(5000, 8)) * scale, 5, "l2")
+
+
+def test_mixed_lengths(rng):
+    base = rng.normal(size=(5000, 8)) * 10.0 ** rng.integers(-6, 7, size=(5000, 1))
+    for metric in ("l2", "ip", "cos"):
+        check(rng.normal(size=(8, 8)), np.arange(5000), base, 20, metric)
+
+
+def test_zero_vectors_have_no_cosine_distance(rng):
+    base = rng.normal(size=(10, 4))
+    base[3] = 0
+    (found, _), (none, _) = run([base[0], np.zeros(4)], np.arange(10), base, 10, "cos")
+    assert 3 not in found and len(found) == 9 and len(none) == 0
+
+
+def test_members_restrict_the_queries(rng):
+    base, queries = rng.normal(size=(100, 4)), rng.normal(size=(6, 4))
+    state = BlockTopK(queries.astype(np.float32), 5, "l2")
+    state.offer(np.arange(100), base.astype(np.float32), np.array([1, 4]))
+    assert set(state.lists()[0].tolist()) == {1, 4}
+
+
+def test_lists_are_merged_in_small_steps(rng, monkeypatch):
+    monkeypatch.setattr(kernel, "_BASE_TILE", 64)
+    monkeypatch.setattr(kernel, "_QUERY_TILE", 3)
+    monkeypatch.setattr(kernel, "_SCORE_ELEMENTS", 100)
+    base, queries = rng.normal(size=(2000, 6)).astype(np.float32), rng.normal(size=(10, 6)).astype(np.float32)
+    state = BlockTopK(queries, 7, "l2")
+    state._flush_at = 10
+    state.offer(np.arange(2000), base)
+    owner, found, _ = state.lists()
+    for q, (want, _) in enumerate(brute_force(np.arange(2000), base, queries, 7)):
+        np.testing.assert_array_equal(found[owner == q], want)
+
+
+@settings(max_examples=40, deadline=None)
+@given(
+    st.integers(1, 300), st.integers(1, 6), st.integers(1, 12), st.sampled_from(["l2", "ip", "cos"]), st.integers(0, 10**6)
+)
+def test_any_shape(n, dims, k, metric, seed):
+    values = np.random.default_rng(seed)
+    base = values.integers(-3, 4, size=(n, dims)) if seed % 2 else values.normal(size=(n, dims))
+    queries = values.normal(size=(4, dims)) if metric == "cos" else values.integers(-3, 4, size=(4, dims))
+    if metric == "cos" and seed % 2:
+        base = values.normal(size=(n, dims))
+    check(queries, values.permutation(n), base, k, metric, step=97)
+
+
+def test_to_matrix_rejects_other_lengths():
+    with pytest.raises(ValueError, match="dimension mismatch"):
+        to_matrix(pa.array([[1.0, 2.0], [1.0]], pa.list_(pa.float32())))
+    with pytest.raises(ValueError, match="dimension mismatch"):
+        to_matrix(pa.array([[1.0, 2.0]], pa.list_(pa.float32())), 3)
+
+
+def test_to_matrix_of_a_slice():
+    column = pa.array([[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]], pa.list_(pa.float32())).slice(1, 2)
+    np.testing.assert_array_equal(to_matrix(column), [[3, 4], [5, 6]])
+
+
+def test_encode_f16_bf16():
+    values = np.array([[0.0, 1.0, 1 + 2**-9, 1e-8, 70000.0, -0.1]], np.float32)
+    half = encode(values, "f16")
+    np.testing.assert_array_equal(half, values.astype(np.float16).astype(np.float32))
+    brain = encode(values, "bf16")
+    assert brain[0, 1] == 1.0 and brain[0, 2] == 1.0
+    assert ((brain.view(np.uint32) & 0xFFFF) == 0).all()
+    assert np.abs(brain - values).max() <= np.abs(values).max() * 2**-8
+
+
+def test_encode_i8():
+    values = np.array([[-2.5, 0.5 / 127, -0.5 / 127, 1.01, -1.01, 0.0]], np.float32)
+    np.testing.assert_array_equal(encode(values, "i8")[0, [0, 3, 4, 5]], [-128, 127, -128, 0])
+    with pytest.raises(ValueError, match="NaN"):
+        encode(np.array([[np.nan]], np.float32), "i8")

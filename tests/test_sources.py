@@ -1,0 +1,229 @@
+import json
+import os
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from nearfield.sources import catalog, files, vecbin
+from tests.conftest import table_of
+
+TYPES = {
+    ".fbin": "<f4",
+    ".dbin": "<f8",
+    ".hbin": "<f2",
+    ".ibin": "<i4",
+    ".i8bin": "i1",
+    ".bbin": "u1",
+    ".u8bin": "u1",
+}
+
+
+def store(path, matrix, dtype):
+    matrix = np.asarray(matrix).astype(dtype)
+    with open(path, "wb") as out:
+        out.write(np.array(matrix.shape, "<i4").tobytes() + matrix.tobytes())
+    return str(path)
+
+
+def loaded(df):
+    rows = sorted(df.collect(), key=lambda r: r["row_id"])
+    return [r["row_id"] for r in rows], np.array([r["vector"] for r in rows])
+
+
+@pytest.mark.parametrize("extension", TYPES)
+def test_reads_every_element_type(spark, tmp_path, rng, extension):
+    matrix = rng.integers(0, 100, size=(37, 5)) if TYPES[extension][-2] in "iu" else rng.normal(size=(37, 5))
+    path = store(tmp_path / f"x{extension}", matrix, TYPES[extension])
+    df = vecbin.read_vectors(spark, path)
+    assert df.schema.simpleString() == "struct<row_id:bigint,vector:array<float>>"
+    ids, values = loaded(df)
+    assert ids == list(range(37))
+    np.testing.assert_array_equal(values.astype(np.float32), matrix.astype(TYPES[extension]).astype(np.float32))
+
+
+def test_signed_and_unsigned_bytes(spark, tmp_path):
+    raw = np.array([[0, 127, 128, 255]], np.uint8)
+    assert loaded(vecbin.read_vectors(spark, store(tmp_path / "a.u8bin", raw, "u1")))[1].tolist() == [[0, 127, 128, 255]]
+    assert loaded(vecbin.read_vectors(spark, store(tmp_path / "a.i8bin", raw.view("i1"), "i1")))[1].tolist() == [[0, 127, -128, -1]]
+
+
+def test_half_precision_edges(spark, tmp_path):
+    bits = np.array([[0x0000, 0x8000, 0x0001, 0x03FF, 0x0400, 0x7BFF, 0x7C00, 0xFC00, 0x7E00]], np.uint16)
+    values = loaded(vecbin.read_vectors(spark, store(tmp_path / "h.hbin", bits.view("<f2"), "<f2")))[1][0]
+    assert values[2] == 2.0**-24 and values[4] == 2.0**-14 and values[5] == 65504
+    assert np.isposinf(values[6]) and np.isneginf(values[7]) and np.isnan(values[8])
+
+
+def test_small_splits_and_slices(spark, tmp_path, rng):
+    matrix = rng.normal(size=(101, 3)).astype("<f4")
+    path = store(tmp_path / "x.fbin", matrix, "<f4")
+    vecbin.register(spark)
+    df = spark.read.format("vecbin").option("splitBytes", 100).load(path)
+    assert df.rdd.getNumPartitions() > 10
+    np.testing.assert_array_equal(loaded(df)[1].astype("f4"), matrix)
+    ids, values = loaded(vecbin.read_vectors(spark, path, 10, 20))
+    assert ids == list(range(10, 30))
+    np.testing.assert_array_equal(values.astype("f4"), matrix[10:30])
+    assert loaded(vecbin.read_vectors(spark, path, 95, 50))[0] == list(range(95, 101))
+    assert vecbin.read_vectors(spark, path, 0, -1).count() == 101
+    with pytest.raises(Exception, match="Start row 101"):
+        vecbin.read_vectors(spark, path, 101, 1).count()
+
+
+def test_filters_give_the_same_rows(spark, tmp_path, rng):
+    path = store(tmp_path / "x.fbin", rng.normal(size=(60, 2)), "<f4")
+    df = vecbin.read_vectors(spark, path)
+    assert loaded(df.filter("row_id >= 10 and row_id < 13"))[0] == [10, 11, 12]
+    assert df.filter("row_id > 1000").count() == 0
+    assert df.filter("row_id = 5 or row_id = 6").count() == 2
+    assert df.filter("row_id = 5 and row_id = 6").count() == 0
+
+
+def test_bad_files(spark, tmp_path):
+    with pytest.raises(Exception, match="Unknown vector file type"):
+        vecbin.read_vectors(spark, store(tmp_path / "x.vec", np.zeros((1, 1)), "<f4")).count()
+    path = store(tmp_path / "x.fbin", np.zeros((10, 4)), "<f4")
+    os.truncate(path, 100)
+    with pytest.raises(Exception, match="truncated"):
+        vecbin.read_vectors(spark, path).count()
+    (tmp_path / "e.fbin").write_bytes(b"12")
+    with pytest.raises(Exception, match="no header"):
+        vecbin.read_vectors(spark, str(tmp_path / "e.fbin")).count()
+    with pytest.raises(Exception, match="Unsupported vector type"):
+        vecbin.read_vectors(spark, store(tmp_path / "x.f32bin", np.zeros((1, 1)), "<f4")).count()
+    with pytest.raises(Exception):
+        vecbin.read_vectors(spark, str(tmp_path / "missing.fbin")).count()
+
+
+def test_header_only_file(spark, tmp_path):
+    assert vecbin.read_vectors(spark, store(tmp_path / "x.fbin", np.zeros((0, 4)), "<f4")).count() == 0
+
+
+def test_folder_of_files(spark, tmp_path):
+    for name, rows in (("b", [[3], [4]]), ("a", [[1], [2]]), ("c", [[5]])):
+        store(tmp_path / f"{name}.fbin", rows, "<f4")
+    ids, values = loaded(vecbin.read_vectors(spark, str(tmp_path)))
+    assert ids == [0, 1, 2, 3, 4] and values.ravel().tolist() == [1, 2, 3, 4, 5]
+    store(tmp_path / "d.fbin", [[1, 2]], "<f4")
+    with pytest.raises(Exception, match="differ"):
+        vecbin.read_vectors(spark, str(tmp_path)).count()
+
+
+@pytest.mark.parametrize("extension", [".fbin", ".dbin", ".hbin", ".i8bin"])
+def test_write_and_read_back(spark, tmp_path, rng, extension):
+    matrix = rng.integers(-100, 100, size=(200, 6)).astype(np.float32)
+    path = str(tmp_path / "out")
+    vecbin.write_vectors(table_of(spark, range(200), matrix).repartition(4), path, extension)
+    ids, values = loaded(vecbin.read_vectors(spark, path))
+    assert ids == list(range(200))
+    np.testing.assert_array_equal(values, matrix)
+
+
+def test_written_files_are_bounded_and_listed(spark, tmp_path, rng):
+    path = str(tmp_path / "out")
+    df = table_of(spark, range(100), rng.normal(size=(100, 4))).repartitionByRange(2, "row_id").sortWithinPartitions("row_id")
+    vecbin.register(spark)
+    df.write.format("vecbin").option("fileBytes", 160).mode("overwrite").save(path)
+    names = files.read_manifest(path)
+    assert len(names) >= 10 and all(os.path.getsize(f"{path}/{n}") <= 168 for n in names)
+    # A file that no job committed (a lost attempt) does not count.
+    store(f"{path}/part-999999-00000-lost.fbin", np.zeros((5, 4)), "<f4")
+    assert vecbin.read_vectors(spark, path).count() == 100
+    df.write.format("vecbin").mode("append").save(path)
+    assert vecbin.read_vectors(spark, path).count() == 200
+    df.write.format("vecbin").mode("overwrite").save(path)
+    assert vecbin.read_vectors(spark, path).count() == 100
+    assert len([n for n in os.listdir(path) if n.startswith("part-0")]) == len(files.read_manifest(path))
+
+
+def test_values_that_do_not_fit_are_refused(spark, tmp_path):
+    with pytest.raises(Exception, match="do not fit"):
+        vecbin.write_vectors(table_of(spark, [0], [[300.0]]), str(tmp_path / "a"), ".i8bin")
+    with pytest.raises(Exception, match="do not fit"):
+        vecbin.write_vectors(table_of(spark, [0], [[0.5]]), str(tmp_path / "b"), ".ibin")
+    with pytest.raises(Exception, match="dimension mismatch"):
+        vecbin.write_vectors(table_of(spark, [0, 1], [[1.0], [1.0, 2.0]]).coalesce(1), str(tmp_path / "c"))
+
+
+def test_info(spark, tmp_path):
+    paths = [store(tmp_path / "a.fbin", np.zeros((3, 4)), "<f4"), store(tmp_path / "b.i8bin", np.zeros((5, 2)), "i1")]
+    rows = {r["type"]: (r["rows"], r["dims"]) for r in vecbin.vector_info(spark, paths).collect()}
+    assert rows == {"FLOAT32": (3, 4), "INT8": (5, 2)}
+
+
+def test_truth_and_ids(spark, tmp_path):
+    ids = store(tmp_path / "t.i32bin", [[5, 2], [16777217, 0]], "<i4")
+    distances = store(tmp_path / "t.f32bin", [[0.5, 1.5], [0.25, 2]], "<f4")
+    rows = {(r[0], r[1]): r[2] for r in vecbin.read_truth(spark, ids).collect()}
+    assert rows == {(0, 1): 5, (0, 2): 2, (1, 1): 16777217, (1, 2): 0}
+    both = vecbin.read_truth_with_distance(spark, ids, distances)
+    assert {(r["query_id"], r["rank"]): r["distance"] for r in both.collect()}[(1, 2)] == 2.0
+    with pytest.raises(ValueError, match="int32"):
+        vecbin.read_truth(spark, distances)
+    with pytest.raises(ValueError, match="float32"):
+        vecbin.read_truth_with_distance(spark, ids, ids)
+    column = store(tmp_path / "i.i32bin", [[7], [9]], "<i4")
+    assert [tuple(r) for r in vecbin.read_ids(spark, column).orderBy("row_id").collect()] == [(0, 7), (1, 9)]
+    with pytest.raises(Exception, match="expected 1 column"):
+        vecbin.read_ids(spark, ids).collect()
+    with pytest.raises(ValueError, match="int32"):
+        vecbin.read_ids(spark, store(tmp_path / "i.fbin", [[1.0]], "<f4"))
+
+
+def test_shard_files(spark, tmp_path, rng):
+    vectors = rng.normal(size=(90, 3)).astype(np.float32)
+    shard = F.when(F.col("row_id") < 60, 0).otherwise(F.col("row_id") % 3)
+    df = table_of(spark, range(90), vectors).select(
+        F.col("row_id").alias("id"), F.col("vector").alias("embedding"), shard.cast("int").alias("shard_id")
+    )
+    path = str(tmp_path / "out")
+    vecbin.write_shard_files(df, path)
+    first = next(n for n in files.read_manifest(path) if n.startswith("shard_1/"))
+    raw = open(f"{path}/{first}", "rb").read()
+    dims, n = np.frombuffer(raw[:8], ">i4")
+    assert dims == 3 and len(raw) == 8 + n * (8 + 12)
+    back = vecbin.read_shard_files(spark, path)
+    wrong = back.join(df.withColumnRenamed("embedding", "e"), ["id", "shard_id"]).filter("embedding <> e")
+    assert back.count() == 90 and wrong.count() == 0
+    want = df.filter("shard_id = 2").count()
+    assert back.filter("shard_id = 2").count() == want
+    one = vecbin.read_shard_files(spark, path, shard=2)
+    assert one.count() == want == one.filter("shard_id = 2").count()
+
+
+# Catalog ----------------------------------------------------------------------
+
+
+def test_catalog(spark):
+    assert catalog.dataset_catalog(spark).count() == 9
+    known = catalog.dataset_definition("MSFT-SpaceV-100M")
+    assert (known.dimensions, known.metric, known.format, known.ids_format) == (100, "l2", "i8bin", "i32bin")
+    assert catalog.is_valid_dataset("Yandex-Deep-10M") and not catalog.is_valid_dataset("yandex-deep-1m")
+    assert catalog.dataset_definition("any-wiki-1m").name == "wiki-1m"
+    with pytest.raises(ValueError, match="Unknown dataset: laion-5b. Available"):
+        catalog.dataset_definition("laion-5b")
+
+
+def test_load_dataset(spark, tmp_path, rng):
+    folder = tmp_path / "msft-spacev-100m"
+    folder.mkdir()
+    store(folder / "base.i8bin", rng.integers(-9, 9, size=(20, 100)), "i1")
+    store(folder / "query.i8bin", rng.integers(-9, 9, size=(4, 100)), "i1")
+    store(folder / "groundtruth.i32bin", rng.integers(0, 20, size=(4, 10)), "<i4")
+    with pytest.raises(FileNotFoundError):
+        catalog.load_dataset(spark, "msft-spacev-100m", str(tmp_path))
+    store(folder / "ids.i32bin", np.arange(20)[:, None] * 3, "<i4")
+    found = catalog.load_dataset(spark, "msft-spacev-100m", str(tmp_path))
+    assert (found.base.count(), found.queries.count(), found.truth.count(), found.id_map.count()) == (20, 4, 40, 20)
+    assert found.queries.columns == ["query_id", "vector"]
+    assert {r["rows"] for r in found.info.collect()} == {20, 4}
+    limited = catalog.load_dataset(spark, "msft-spacev-100m", str(tmp_path), max_vectors=7, num_queries=3)
+    assert (limited.base.count(), limited.queries.count()) == (7, 3)
+
+
+def test_manifest_is_json(tmp_path):
+    files.write_manifest(str(tmp_path), ["a"])
+    assert json.loads((tmp_path / files.MANIFEST).read_text()) == {"files": ["a"]}
+    assert files.list_files(str(tmp_path)) == [f"{tmp_path}/a"]
+    assert files.list_files(f"file://{tmp_path}") == [f"file://{tmp_path}/a"]
