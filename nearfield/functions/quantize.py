@@ -82,6 +82,11 @@ def round_precision(vector: Column, precision: str) -> Column:
     return F.transform(vector, rounded)
 
 
+def stored_at(vector: Column, precision: str) -> Column:
+    """Vector as an index of this precision keeps it: int8 codes, or rounded floats."""
+    return quantize_i8(vector) if check_precision(precision) == "i8" else round_precision(vector, precision)
+
+
 def encode(matrix: np.ndarray, precision: str) -> np.ndarray:
     """f32 matrix holding the values a store of this precision would hold.
 

@@ -95,7 +95,7 @@ def gram_matrix(rows: DataFrame, width: int) -> np.ndarray:
         yield from emit(list(sums), list(sums.values()))
 
     partials = rows.select("terms", "weights").coalesce(slots).mapInArrow(partial, schema)
-    summed = partials.repartition(min(slots, max(1, width // 64)), "i").mapInArrow(add, schema)
+    summed = partials.repartition(min(slots, width), "i").mapInArrow(add, schema)
     result = np.zeros((width, width))
     for row in summed.toLocalIterator():
         result[row["i"]] = row["cells"]

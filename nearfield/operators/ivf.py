@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from nearfield.functions.distance import check_metric
+from nearfield.functions.quantize import stored_at
 from nearfield.operators.kernel import BlockTopK, to_matrix
 from nearfield.operators.knn import search
 from nearfield.session import BROADCAST_LIMIT, ship_package, spread_by
@@ -112,9 +113,10 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return index.withColumn("cell_id", F.col("cell_id").cast("bigint"))
 
 
-def build_ivf(base: DataFrame, centroids: DataFrame, path: str, metric: str = "l2") -> DataFrame:
-    """Assign, write and reopen the index table."""
-    write_index(assign_cells(base, centroids, metric), path)
+def build_ivf(base: DataFrame, centroids: DataFrame, path: str, metric: str = "l2", precision: str = "f32") -> DataFrame:
+    """Assign, write and reopen the index table; cells follow the full vectors, storage the precision."""
+    assigned = assign_cells(base, centroids, metric)
+    write_index(assigned.withColumn("vector", stored_at(F.col("vector"), precision)), path)
     return read_index(base.sparkSession, path)
 
 

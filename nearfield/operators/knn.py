@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.distance import check_metric, distance
@@ -69,11 +69,12 @@ def truncate_at_k(hits: DataFrame, k: int) -> DataFrame:
 class QueryBlock:
     """One bounded set of queries as it is broadcast to the tasks."""
 
-    def __init__(self, table: pa.Table, precisions: Sequence[str], stored: bool):
+    def __init__(self, table: pa.Table, precisions: Sequence[str]):
+        coded = pa.types.is_integer(table.column("vector").type.value_type)
         self.ids = table.column("query_id").to_numpy()
         vectors = to_matrix(table.column("vector"))
         self.dims = vectors.shape[1]
-        self.vectors = {p: vectors if stored else encode(vectors, p) for p in precisions}
+        self.vectors = {p: vectors if coded else encode(vectors, p) for p in precisions}
         self.members: dict[int, np.ndarray] | None = None
         if "cells" in table.column_names:
             cells = table.column("cells").combine_chunks()
@@ -140,7 +141,6 @@ def _search_block(
     k: int,
     metric: str,
     precisions: Sequence[str],
-    stored: bool,
     shard_col: str | None,
     num_shards: int,
 ) -> DataFrame:
@@ -158,11 +158,13 @@ def _search_block(
             if batch.num_rows == 0:
                 continue
             ids = batch.column("row_id").to_numpy()
-            vectors = to_matrix(batch.column("vector"), queries.dims)
+            column = batch.column("vector")
+            coded = pa.types.is_integer(column.type.value_type)
+            vectors = to_matrix(column, queries.dims)
             shards = batch.column("shard_id").to_numpy() if shard_col else np.zeros(len(ids), dtype=np.int64)
             cells = batch.column("cell_id").to_numpy() if queries.members is not None else None
             for precision in precisions:
-                encoded = vectors if stored else encode(vectors, precision)
+                encoded = vectors if coded else encode(vectors, precision)
                 for shard in np.unique(shards).tolist():
                     key = (precision, shard)
                     if key not in states:
@@ -218,7 +220,6 @@ def search(
     metric: str = "l2",
     precisions: Sequence[str] = ("f32",),
     *,
-    stored: bool = False,
     exclude_self: bool = False,
     shard_col: str | None = None,
     num_shards: int = 1,
@@ -228,8 +229,8 @@ def search(
 
     ``base``: ``row_id, vector`` (plus ``cell_id`` when the queries carry a
     ``cells`` array, plus ``shard_col``).  ``queries``: ``query_id, vector``.
-    ``stored=True`` takes the vectors as already being in their precision.
-    ``local=True`` returns the K best per (query, shard) instead of merging.
+    Vectors of type ``array<tinyint>`` are int8 codes and need precision i8; all
+    others are brought to the precision here.  ``local=True`` returns the K best per (query, shard) instead of merging.
     """
     metric = check_metric(metric)
     precisions = [check_precision(p) for p in precisions]
@@ -238,7 +239,7 @@ def search(
     spark = base.sparkSession
     probing = "cells" in queries.columns
     wide = k + 1 if exclude_self else k
-    narrow = [F.col("row_id").cast("bigint").alias("row_id"), F.col("vector").cast("array<float>").alias("vector")]
+    narrow = [F.col("row_id").cast("bigint").alias("row_id"), _searchable(base, precisions)]
     if probing:
         narrow.append(F.col("cell_id").cast("bigint").alias("cell_id"))
     if shard_col:
@@ -246,7 +247,7 @@ def search(
     slots = parallelism(spark)
     queries = queries.select(
         F.col("query_id").cast("bigint").alias("query_id"),
-        F.col("vector").cast("array<float>").alias("vector"),
+        _searchable(queries, precisions),
         *([F.col("cells").cast("array<bigint>").alias("cells")] if probing else []),
     ).filter(F.col("vector").isNotNull())
     if probing:
@@ -267,13 +268,14 @@ def search(
 
     outputs: list[DataFrame] = []
     for table, blocked in _blocks(queries, wide, len(precisions), "first_cell" if probing else None):
-        block = QueryBlock(table, precisions, stored)
+        block = QueryBlock(table, precisions)
         rows = base
         if block.members is not None:
-            rows = rows.filter(F.col("cell_id").isin(sorted(block.members)))
+            # As text: tens of thousands of cells would be slow as separate literals.
+            rows = rows.filter(F.expr(f"cell_id IN ({', '.join(map(str, sorted(block.members)))})"))
         # Few long tasks: fewer partial lists to merge.
         rows = rows.select(*narrow).filter(F.col("vector").isNotNull()).coalesce(slots)
-        hits = ranked(_search_block(rows, block, wide, metric, precisions, stored, shard_col, num_shards))
+        hits = ranked(_search_block(rows, block, wide, metric, precisions, shard_col, num_shards))
         if not blocked:
             return hits
         path = scratch_path(spark, "hits")
@@ -281,7 +283,7 @@ def search(
         outputs.append(spark.read.schema(hits.schema).parquet(path))
     if not outputs:
         empty = _search_block(
-            base.select(*narrow).limit(0), _EmptyBlock(precisions), wide, metric, precisions, stored, shard_col, num_shards
+            base.select(*narrow).limit(0), _EmptyBlock(precisions), wide, metric, precisions, shard_col, num_shards
         )
         return ranked(empty)
     result = outputs[0]
@@ -290,6 +292,13 @@ def search(
     return result
 
 
+def _searchable(df: DataFrame, precisions: Sequence[str]) -> Column:
+    codes = df.schema["vector"].dataType.simpleString() == "array<tinyint>"
+    if codes and list(precisions) != ["i8"]:
+        raise ValueError(f"int8 codes can only be searched at precision i8, not {', '.join(precisions)}")
+    return F.col("vector") if codes else F.col("vector").cast("array<float>").alias("vector")
+
+
 class _EmptyBlock(QueryBlock):
     def __init__(self, precisions: Sequence[str]):
         self.ids, self.dims, self.members = np.empty(0, np.int64), 0, None

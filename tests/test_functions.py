@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from nearfield.functions import distance, quantize, text
 from nearfield.operators import kernel  # noqa: F401
 from nearfield.operators.knn import search
-from tests.conftest import table_of
+from tests.conftest import lists_of, table_of
 
 
 def one(spark, vector, column):
@@ -67,8 +67,19 @@ def test_distances(spark):
 def test_stored_codes_are_searched_as_they_are(spark, rng):
     codes = rng.integers(-128, 128, size=(300, 6))
     base, asked = table_of(spark, range(300), codes), table_of(spark, range(5), codes[:5], "query_id")
-    hits = search(base, asked, 3, "l2", ["i8"], stored=True).filter("rank = 1").collect()
+    base, asked = (df.withColumn("vector", F.col("vector").cast("array<tinyint>")) for df in (base, asked))
+    hits = search(base, asked, 3, "l2", ["i8"]).filter("rank = 1").collect()
     assert {(h["query_id"], h["neighbor_id"], h["distance"]) for h in hits} == {(i, i, 0.0) for i in range(5)}
+    with pytest.raises(ValueError, match="int8 codes"):
+        search(base, asked, 3)
+
+
+@pytest.mark.parametrize("precision", quantize.PRECISIONS)
+def test_stored_precision_gives_the_same_hits(spark, rng, precision):
+    vectors = rng.uniform(-1, 1, size=(300, 6))
+    base, asked = table_of(spark, range(300), vectors), table_of(spark, range(9), vectors[:9] + 0.1, "query_id")
+    stored = base.withColumn("vector", quantize.stored_at(F.col("vector"), precision))
+    assert lists_of(search(stored, asked, 4, "l2", [precision])) == lists_of(search(base, asked, 4, "l2", [precision]))
 
 
 def test_text_helpers(spark):
