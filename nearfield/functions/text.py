@@ -21,4 +21,5 @@ def path_extension(path: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), _SPACE), lambda w: w != "")
+    """Lower-case words; the first and last entry may be empty."""
+    return F.split(F.lower(text), _SPACE)

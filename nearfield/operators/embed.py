@@ -16,20 +16,23 @@ from nearfield.session import materialize, parallelism, ship_package
 def vocabulary(documents: DataFrame, max_features: int = 1024, min_df: int = 2) -> DataFrame:
     """``term, term_id, df, total, idf`` of the most frequent terms (ties by term).
 
-    One scan: every document adds its words to the totals and its distinct
-    words to the document frequencies, both summed before the shuffle.
+    One scan: every document lists all its words and then its distinct words;
+    both are counted per term before the shuffle.
     """
-    seen = F.transform("words", lambda w: F.struct(w.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("t")))
-    distinct = F.transform(
-        F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("t"))
+    listed = documents.select(words(F.col("text")).alias("words"))
+    both = listed.select(
+        F.size("words").alias("n"), F.posexplode(F.concat("words", F.array_distinct("words"))).alias("pos", "term")
+    )
+    counted = (
+        both.filter(F.col("term") != "")
+        .groupBy("term")
+        .agg(F.count_if(F.col("pos") >= F.col("n")).alias("df"), F.count_if(F.col("pos") < F.col("n")).alias("total"))
     )
-    tokens = documents.select(words(F.col("text")).alias("words")).select(F.inline(F.concat(seen, distinct)))
-    counted = tokens.groupBy("term").agg(F.sum("d").alias("df"), F.sum("t").alias("total"))
     n_documents = documents.select(F.count("*")).scalar()
     kept = counted.filter(F.col("df") >= min_df).orderBy(F.col("total").desc(), "term").limit(max_features)
     # At most max_features rows from here on.
-    listed = kept.agg(F.sort_array(F.collect_list(F.struct((-F.col("total")).alias("order"), "term", "df"))).alias("terms"))
-    rows = listed.select(F.posexplode("terms").alias("term_id", "t"))
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("total")).alias("order"), "term", "df")))
+    rows = kept.agg(ordered.alias("terms")).select(F.posexplode("terms").alias("term_id", "t"))
     idf = F.log((n_documents + 1) / (F.col("t.df") + 1))
     return rows.select(
         F.col("t.term").alias("term"), "term_id", F.col("t.df").alias("df"), (-F.col("t.order")).alias("total"), idf.alias("idf")

@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,8 +144,8 @@ def _search_block(
     precisions: Sequence[str],
     shard_col: str | None,
     num_shards: int,
-) -> DataFrame:
-    """Per-task top-K of one query block: unranked rows, K per task and state."""
+) -> tuple[DataFrame, Broadcast]:
+    """Per-task top-K of one query block: unranked rows, K per task and state, and the shared block."""
     spark = base.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(block)
@@ -196,7 +197,7 @@ def _search_block(
 
     if shard_col and num_shards * len(precisions) > _max_states(len(block.ids), k, len(precisions)):
         base = base.sortWithinPartitions("shard_id")
-    return base.mapInArrow(search, schema)
+    return base.mapInArrow(search, schema), shared
 
 
 def _offer(state, ids, vectors, rows, cells, members) -> None:
@@ -275,14 +276,16 @@ def search(
             rows = rows.filter(F.expr(f"cell_id IN ({', '.join(map(str, sorted(block.members)))})"))
         # Few long tasks: fewer partial lists to merge.
         rows = rows.select(*narrow).filter(F.col("vector").isNotNull()).coalesce(slots)
-        hits = ranked(_search_block(rows, block, wide, metric, precisions, shard_col, num_shards))
+        found, shared = _search_block(rows, block, wide, metric, precisions, shard_col, num_shards)
+        hits = ranked(found)
         if not blocked:
             return hits
         path = scratch_path(spark, "hits")
         hits.write.parquet(path)
+        shared.destroy()
         outputs.append(spark.read.schema(hits.schema).parquet(path))
     if not outputs:
-        empty = _search_block(
+        empty, _ = _search_block(
             base.select(*narrow).limit(0), _EmptyBlock(precisions), wide, metric, precisions, shard_col, num_shards
         )
         return ranked(empty)

@@ -42,13 +42,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def base_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vectors_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Base table and query set, both the whole embeddings table."""
     rows = table(spark, sf_dir, "embeddings")
-    return rows.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"), "label")
+    base = rows.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"), "label")
+    return base, rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def base_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors_of(spark, sf_dir)[0]
 
 
 def asked_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vectors_of(spark, sf_dir)[1]
 
 
 def sharded_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,11 +75,11 @@ def id_map_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def truth_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return knn.exact_knn(base_of(spark, sf_dir), asked_of(spark, sf_dir), max(KS), exclude_self=True)
+    return knn.exact_knn(*vectors_of(spark, sf_dir), max(KS), exclude_self=True)
 
 
 def coarse_hits_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return knn.exact_knn(base_of(spark, sf_dir), asked_of(spark, sf_dir), max(KS), precision="i8", exclude_self=True)
+    return knn.exact_knn(*vectors_of(spark, sf_dir), max(KS), precision="i8", exclude_self=True)
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -110,50 +116,52 @@ def written(spark: SparkSession, sf_dir: str, extension: str, vector: Column | N
 
 @query
 def exact_knn_l2(spark, sf_dir):
-    return hits_out(knn.exact_knn(base_of(spark, sf_dir), asked_of(spark, sf_dir), 10, "l2"))
+    return hits_out(knn.exact_knn(*vectors_of(spark, sf_dir), 10, "l2"))
 
 
 @query
 def exact_knn_ip(spark, sf_dir):
-    return hits_out(knn.exact_knn(base_of(spark, sf_dir), asked_of(spark, sf_dir), 10, "ip"))
+    return hits_out(knn.exact_knn(*vectors_of(spark, sf_dir), 10, "ip"))
 
 
 @query
 def exact_knn_cos(spark, sf_dir):
-    return hits_out(knn.exact_knn(base_of(spark, sf_dir), asked_of(spark, sf_dir), 10, "cos"))
+    return hits_out(knn.exact_knn(*vectors_of(spark, sf_dir), 10, "cos"))
 
 
 @query
 def precision_i8_topk(spark, sf_dir):
-    return hits_out(knn.exact_knn(base_of(spark, sf_dir), asked_of(spark, sf_dir), 10, "l2", "i8"))
+    return hits_out(knn.exact_knn(*vectors_of(spark, sf_dir), 10, "l2", "i8"))
 
 
 @query
 def precision_f16_topk(spark, sf_dir):
-    return hits_out(knn.exact_knn(base_of(spark, sf_dir), asked_of(spark, sf_dir), 10, "l2", "f16"))
+    return hits_out(knn.exact_knn(*vectors_of(spark, sf_dir), 10, "l2", "f16"))
 
 
 @query
 def precision_bf16_topk(spark, sf_dir):
-    return hits_out(knn.exact_knn(base_of(spark, sf_dir), asked_of(spark, sf_dir), 10, "l2", "bf16"))
+    return hits_out(knn.exact_knn(*vectors_of(spark, sf_dir), 10, "l2", "bf16"))
 
 
 @query
 def shard_local_topk(spark, sf_dir):
-    base = shards.round_robin(base_of(spark, sf_dir), N_SHARDS)
-    hits = knn.shard_local_topk(base, asked_of(spark, sf_dir), 10, N_SHARDS)
+    base, asked = vectors_of(spark, sf_dir)
+    base = shards.round_robin(base, N_SHARDS)
+    hits = knn.shard_local_topk(base, asked, 10, N_SHARDS)
     return hits_out(hits, F.col("shard_id").cast("int").alias("shard_id"))
 
 
 @query
 def sharded_search(spark, sf_dir):
-    base = shards.round_robin(base_of(spark, sf_dir), N_SHARDS)
-    return hits_out(knn.sharded_knn(base, asked_of(spark, sf_dir), 10, N_SHARDS))
+    base, asked = vectors_of(spark, sf_dir)
+    base = shards.round_robin(base, N_SHARDS)
+    return hits_out(knn.sharded_knn(base, asked, 10, N_SHARDS))
 
 
 @query
 def merge_topk(spark, sf_dir):
-    base, asked = base_of(spark, sf_dir), asked_of(spark, sf_dir)
+    base, asked = vectors_of(spark, sf_dir)
     low = knn.exact_knn(base.filter(F.col("label") < N_LABELS // 2), asked, 10)
     high = knn.exact_knn(base.filter(F.col("label") >= N_LABELS // 2), asked, 10)
     return hits_out(knn.merge_parts([low, high], 10))
@@ -161,15 +169,15 @@ def merge_topk(spark, sf_dir):
 
 @query
 def late_materialize(spark, sf_dir):
-    base = base_of(spark, sf_dir)
-    hits = knn.exact_knn(base, asked_of(spark, sf_dir), 10)
+    base, asked = vectors_of(spark, sf_dir)
+    hits = knn.exact_knn(base, asked, 10)
     found = knn.with_payload(hits, base, ["label"])
     return hits_out(found, "label")
 
 
 @query
 def rerank_i8(spark, sf_dir):
-    return hits_out(knn.quantized_knn(base_of(spark, sf_dir), asked_of(spark, sf_dir), 10, "l2", oversample=2))
+    return hits_out(knn.quantized_knn(*vectors_of(spark, sf_dir), 10, "l2", oversample=2))
 
 
 @query
@@ -229,7 +237,7 @@ def query_by_vector(spark, sf_dir):
 
 @query
 def search_observed(spark, sf_dir):
-    hits, seen = batch.observe_hits(knn.exact_knn(base_of(spark, sf_dir), asked_of(spark, sf_dir), 10))
+    hits, seen = batch.observe_hits(knn.exact_knn(*vectors_of(spark, sf_dir), 10))
     hits.write.format("noop").mode("overwrite").save()
     metrics = seen.get
     row = [(metrics["n_hits"], metrics["max_rank"], metrics["max_distance"])]
@@ -242,25 +250,25 @@ def search_observed(spark, sf_dir):
 
 @query
 def rank_score(spark, sf_dir):
-    hits = knn.exact_knn(base_of(spark, sf_dir), asked_of(spark, sf_dir), 10)
+    hits = knn.exact_knn(*vectors_of(spark, sf_dir), 10)
     return hits.select("query_id", "neighbor_id", F.round(distance.rank_score(F.col("rank")), 6).alias("score"))
 
 
 @query
 def map_external_ids(spark, sf_dir):
-    hits = knn.exact_knn(base_of(spark, sf_dir), asked_of(spark, sf_dir), 10)
+    hits = knn.exact_knn(*vectors_of(spark, sf_dir), 10)
     return hits_out(knn.map_external_ids(hits, id_map_of(spark, sf_dir)))
 
 
 @query
 def checked_int_ids(spark, sf_dir):
-    hits = knn.exact_knn(base_of(spark, sf_dir), asked_of(spark, sf_dir), 10)
+    hits = knn.exact_knn(*vectors_of(spark, sf_dir), 10)
     return knn.checked_int_ids(hits).select("query_id", "neighbor_id", F.col("rank").cast("int").alias("rank"))
 
 
 @query
 def truncate_at_k(spark, sf_dir):
-    return hits_out(knn.truncate_at_k(knn.exact_knn(base_of(spark, sf_dir), asked_of(spark, sf_dir), 100), 5))
+    return hits_out(knn.truncate_at_k(knn.exact_knn(*vectors_of(spark, sf_dir), 100), 5))
 
 
 @query
@@ -486,7 +494,7 @@ def vector_info(spark, sf_dir):
 def _truth_files(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     # The lists are written as they were ranked; both files come from one search.
     stored = scratch_path(spark, "truth")
-    knn.exact_knn(base_of(spark, sf_dir), asked_of(spark, sf_dir), 100).write.parquet(stored)
+    knn.exact_knn(*vectors_of(spark, sf_dir), 100).write.parquet(stored)
     truth = spark.read.parquet(stored)
     ids, distances = scratch_path(spark, "truth-ids"), scratch_path(spark, "truth-distances")
     vecbin.write_truth(truth, ids, "neighbor_id", ".ibin")
@@ -570,7 +578,7 @@ def fill_ratio(spark, sf_dir):
 
 def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.precision_sweep(
-        base_of(spark, sf_dir), asked_of(spark, sf_dir), truth_of(spark, sf_dir), KS, exclude_self=True
+        *vectors_of(spark, sf_dir), truth_of(spark, sf_dir), KS, exclude_self=True
     )
 
 
@@ -668,7 +676,8 @@ def performance_table(spark, sf_dir):
 
 @query
 def union_results(spark, sf_dir):
-    base, asked = shards.round_robin(base_of(spark, sf_dir), N_SHARDS), asked_of(spark, sf_dir)
+    base, asked = vectors_of(spark, sf_dir)
+    base = shards.round_robin(base, N_SHARDS)
     truth = knn.exact_knn(base, asked, 10)
     local = evaluate.eval_summary(knn.exact_knn(base, asked, 10, precision="i8"), truth, (1, 10))
     spread = evaluate.eval_summary(knn.sharded_knn(base, asked, 10, N_SHARDS), truth, (1, 10))
