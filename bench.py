@@ -100,7 +100,7 @@ def search_rates(spark: SparkSession, sf_dir: str) -> dict:
     n, n_queries = base.count(), asked.count()
     rates: dict = {"vectors": n, "queries": n_queries, "k": K, "nlist": NLIST}
     truth_path = scratch_path(spark, "truth")
-    knn.exact_knn(base, asked, K).write.parquet(truth_path)
+    knn.exact_knn(base, asked, K, exclude_self=True).write.parquet(truth_path)
     truth = spark.read.parquet(truth_path)
 
     def scored(name: str, search) -> None:
@@ -115,14 +115,14 @@ def search_rates(spark: SparkSession, sf_dir: str) -> dict:
         }
 
     for precision in ("f32", "f16", "bf16", "i8"):
-        scored(f"flat_{precision}", lambda: knn.exact_knn(base, asked, K, precision=precision))
+        scored(f"flat_{precision}", lambda: knn.exact_knn(base, asked, K, precision=precision, exclude_self=True))
     centroids = ivf.train_centroids(base, NLIST, min_sample=64 * NLIST)
     paths = [scratch_path(spark, "index") for _ in range(2)]
     seconds = min(timed(lambda: ivf.build_ivf(base, centroids, path)) for path in paths)
     rates["ivf_build_ips"] = round(n / seconds, 1)
     index = ivf.read_index(spark, paths[-1])
     for nprobe in (1, 4, 8):
-        scored(f"ivf_nprobe_{nprobe}", lambda: ivf.search_ivf(index, centroids, asked, K, nprobe))
+        scored(f"ivf_nprobe_{nprobe}", lambda: ivf.search_ivf(index, centroids, asked, K, nprobe, exclude_self=True))
     return rates
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 _NO_ID = np.iinfo(np.int64).max
 _BASE_TILE = 4096
 _QUERY_TILE = 512
-_SCORE_ELEMENTS = 4 << 20
+_SCORE_ELEMENTS = 1 << 16
 
 
 def to_matrix(column: pa.Array, dims: int | None = None) -> np.ndarray:
@@ -110,14 +110,16 @@ class BlockTopK:
             low = left[part] @ right.T
             limit = self.distances[part, -1] - offset[part] + 1e-30
             mask = low <= self._ceil(limit, dtype)[:, None]
-            crowded = np.flatnonzero(mask.sum(axis=1) > 4 * self.k + 16)
-            if len(crowded):
+            found = np.flatnonzero(mask)
+            if len(found) > 2 * self.k * len(part):
                 # At least k rows lie below the k-th lower bound plus the error bound.
+                crowded = np.flatnonzero(mask.sum(axis=1) >= self.k)
                 kth = np.partition(low[crowded], self.k - 1, axis=1)[:, self.k - 1].astype(np.float64)
                 tighter = np.minimum(limit[crowded], kth + slack + 2.0 * query_error[part[crowded]])
                 mask[crowded] = low[crowded] <= self._ceil(tighter, dtype)[:, None]
-            positions, rows = np.divmod(np.flatnonzero(mask), mask.shape[1])
-            if len(positions):
+                found = np.flatnonzero(mask)
+            if len(found):
+                positions, rows = np.divmod(found, mask.shape[1])
                 self._score(part[positions], rows, ids, vectors, norms)
 
     @staticmethod
@@ -163,7 +165,7 @@ class BlockTopK:
         self._pending, self._pending_rows = [], 0
 
     def lists(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query position, id, distance) of every kept hit, best first per query."""
+        """(query position, id, distance) of every kept hit, in query order and best first."""
         self._flush()
         kept = self.ids != _NO_ID
         return np.nonzero(kept)[0], self.ids[kept], self.distances[kept]

@@ -2,8 +2,8 @@
 
 Shape of every search: the queries (small side) travel as one bounded
 broadcast block, base partitions stream past it inside ``mapInArrow`` keeping a
-running top-K, and only ``tasks x queries x K`` narrow rows are shuffled by
-query id and ranked with ``row_number``.  The base table is never shuffled, so
+running top-K, and only one K-long list per task and query is shuffled by query
+id and ranked with ``row_number``.  The base table is never shuffled, so
 its skew does not matter.  Query sets larger than a block are written to the
 shared folder in blocks and searched block after block.
 
@@ -145,11 +145,11 @@ def _search_block(
     shard_col: str | None,
     num_shards: int,
 ) -> tuple[DataFrame, Broadcast]:
-    """Per-task top-K of one query block: unranked rows, K per task and state, and the shared block."""
+    """Per-task top-K of one query block, one row with both lists per query and state; and the shared block."""
     spark = base.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(block)
-    schema = "query_id bigint, neighbor_id bigint, distance double, precision string, shard_id bigint"
+    schema = "query_id bigint, precision string, shard_id bigint, neighbors array<bigint>, distances array<double>"
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = shared.value
@@ -181,18 +181,22 @@ def _search_block(
 
     def emit(key: tuple[str, int], state: BlockTopK) -> Iterator[pa.RecordBatch]:
         position, neighbors, distances = state.lists()
-        for start in range(0, len(position), _EMIT_ROWS):
-            part = slice(start, start + _EMIT_ROWS)
-            n = len(position[part])
+        asked, starts = np.unique(position, return_index=True)
+        starts = np.append(starts, len(position))
+        step = max(1, _EMIT_ROWS // k)
+        for first in range(0, len(asked), step):
+            last = min(first + step, len(asked))
+            rows = slice(starts[first], starts[last])
+            offsets = pa.array((starts[first : last + 1] - starts[first]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(shared.value.ids[position[part]]),
-                    pa.array(neighbors[part]),
-                    pa.array(distances[part]),
-                    pa.array([key[0]] * n, pa.string()),
-                    pa.array(np.full(n, key[1], dtype=np.int64)),
+                    pa.array(shared.value.ids[asked[first:last]]),
+                    pa.array([key[0]] * (last - first), pa.string()),
+                    pa.array(np.full(last - first, key[1], dtype=np.int64)),
+                    pa.ListArray.from_arrays(offsets, pa.array(neighbors[rows])),
+                    pa.ListArray.from_arrays(offsets, pa.array(distances[rows])),
                 ],
-                names=["query_id", "neighbor_id", "distance", "precision", "shard_id"],
+                names=["query_id", "precision", "shard_id", "neighbors", "distances"],
             )
 
     if shard_col and num_shards * len(precisions) > _max_states(len(block.ids), k, len(precisions)):
@@ -255,13 +259,19 @@ def search(
         queries = queries.withColumn("first_cell", F.get("cells", F.lit(0)))
     by = ["query_id"] + (["precision"] if len(precisions) > 1 else []) + (["shard_id"] if local else [])
 
-    def ranked(hits: DataFrame) -> DataFrame:
-        if exclude_self:
-            hits = hits.filter(F.col("query_id") != F.col("neighbor_id"))
+    def unpacked(lists: DataFrame) -> DataFrame:
+        pairs = F.arrays_zip(F.col("neighbors").alias("neighbor_id"), F.col("distances").alias("distance"))
+        hits = lists.select(*[c for c in lists.columns if c not in ("neighbors", "distances")], F.inline(pairs))
+        return hits.filter(F.col("query_id") != F.col("neighbor_id")) if exclude_self else hits
+
+    def ranked(lists: DataFrame) -> DataFrame:
+        # The lists are shuffled whole and unpacked behind the exchange.
         if slots > _SALT_ABOVE:
             # Many tasks answer each query: thin the lists in groups of tasks first.
-            salted = hits.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(math.isqrt(slots))))
-            hits = rank_hits(salted, k, [*by, "salt"]).drop("rank", "salt")
+            salted = lists.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(math.isqrt(slots))))
+            hits = rank_hits(unpacked(salted.repartition("query_id", "salt")), k, [*by, "salt"]).drop("rank", "salt")
+        else:
+            hits = unpacked(lists.repartition("query_id"))
         result = rank_hits(hits, k, by)
         if shard_col is None:
             result = result.drop("shard_id")
