@@ -42,14 +42,18 @@ def batches(df: DataFrame, batch_size: int) -> DataFrame:
     return df.withColumn("batch_id", F.floor(F.col("row_id") / batch_size).cast("bigint"))
 
 
-def position_within(df: DataFrame, group: str, output: str, chunk: int = 1 << 20) -> DataFrame:
+def position_within(df: DataFrame, group: str, output: str, chunks: int | None = None) -> DataFrame:
     """0-based position of ``row_id`` inside its group, however large the group is.
 
-    Rows are numbered inside chunks of ``chunk`` consecutive ids, which bounds
-    every sort group, and the sizes of the earlier chunks are added.
+    Rows are cut into ranges of (group, row_id) of about equal size and numbered
+    inside each range; the sizes of a group's earlier ranges are added.  The
+    ranges are stored, so that all steps see the same ones.
     """
-    chunked = df.withColumn("chunk", F.floor(F.col("row_id") / chunk).cast("bigint"))
+    keys = [group, "row_id"]
+    ranged = df.repartitionByRange(chunks, *keys) if chunks else df.repartitionByRange(*keys)
+    chunked = materialize(ranged.withColumn("chunk", F.spark_partition_id()), "ranges")
     sizes = chunked.groupBy(group, "chunk").agg(F.count("*").alias("chunk_rows"))
+    # One row per range a group reaches into.
     before = Window.partitionBy(group).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(group, "chunk", F.coalesce(F.sum("chunk_rows").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy(group, "chunk").orderBy("row_id")
@@ -78,7 +82,7 @@ def semantic(assigned: DataFrame, max_vectors_per_shard: int) -> DataFrame:
     )
     placed = assigned.join(F.broadcast(first), "cell_id")
     small = placed.filter(F.col("cell_rows") <= cap).withColumn("shard_id", F.col("first_shard").cast("int"))
-    large = position_within(placed.filter(F.col("cell_rows") > cap), "cell_id", "position", chunk=min(cap, 1 << 20))
+    large = position_within(placed.filter(F.col("cell_rows") > cap), "cell_id", "position")
     large = large.withColumn("shard_id", (F.col("first_shard") + F.floor(F.col("position") / cap)).cast("int"))
     columns = [*assigned.columns, "shard_id"]
     return small.select(*columns).unionByName(large.select(*columns))

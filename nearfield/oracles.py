@@ -306,7 +306,7 @@ def oracle() -> dict[str, str]:
     sql["union_results"] = f"""WITH {_knn('t', 10)}, {_knn('h', 10, precision='i8')}, {_scores('s', 'h', 't', (1, 10))},
         {_scores('x', 't', 't', (1, 10))}
       SELECT 'local' AS mode, k, round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg, count(*) AS n_evaluated,
-        NULL::INTEGER AS num_shards FROM s GROUP BY k
+        -1 AS num_shards FROM s GROUP BY k
       UNION ALL SELECT 'cluster', k, round(avg(recall), 6), round(avg(ndcg), 6), count(*), 8 FROM x GROUP BY k"""
 
     sql["tfidf_terms"] = f"WITH {_TERMS} SELECT term, term_id, df, total, round(idf, 6) AS idf FROM terms"

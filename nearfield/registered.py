@@ -685,7 +685,8 @@ def union_results(spark, sf_dir):
         local.withColumn("mode", F.lit("local")),
         spread.withColumn("mode", F.lit("cluster")).withColumn("num_shards", F.lit(N_SHARDS)),
     )
-    return merged.select("mode", "k", r6("recall"), r6("ndcg"), "n_evaluated", "num_shards")
+    shards_or_none = F.coalesce("num_shards", F.lit(-1)).alias("num_shards")
+    return merged.select("mode", "k", r6("recall"), r6("ndcg"), "n_evaluated", shards_or_none)
 
 
 # Text ---------------------------------------------------------------------------

@@ -24,10 +24,11 @@ def test_round_robin_and_batches(spark):
     assert shards.default_num_shards(spark) == 4
 
 
-@pytest.mark.parametrize("chunk", [1, 10, 1000])
-def test_position_within_a_hot_group(spark, chunk):
-    df = spark.range(0, 900, 3).select(F.col("id").alias("row_id"), F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 5).alias("g"))
-    placed = shards.position_within(df, "g", "position", chunk).collect()
+@pytest.mark.parametrize("chunks", [None, 1, 5, 60])
+def test_position_within_a_hot_group(spark, chunks):
+    sparse = F.when(F.col("id") < 600, F.col("id")).otherwise(F.col("id") * 10**12)
+    df = spark.range(0, 900, 3).select(sparse.alias("row_id"), F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 5).alias("g"))
+    placed = shards.position_within(df, "g", "position", chunks).collect()
     want, seen = {}, collections.Counter()
     for r in sorted(df.collect()):
         want[r["row_id"]] = seen[r["g"]]
