@@ -73,6 +73,8 @@ class QueryBlock:
     def __init__(self, table: pa.Table, precisions: Sequence[str]):
         coded = pa.types.is_integer(table.column("vector").type.value_type)
         self.ids = table.column("query_id").to_numpy()
+        if len(np.unique(self.ids)) < len(self.ids):
+            raise ValueError("query ids must be unique")
         vectors = to_matrix(table.column("vector"))
         self.dims = vectors.shape[1]
         self.vectors = {p: vectors if coded else encode(vectors, p) for p in precisions}

@@ -58,5 +58,5 @@ def query_by_vector(spark: SparkSession, base: DataFrame, json_path: str, k: int
     """Top-K for the vectors of a JSON file ``{"query": ..., "vector": [...]}`` (one object or several)."""
     asked = spark.read.schema("query string, vector array<double>").option("multiLine", True).json(json_path)
     rows = asked.select("query", "vector").withColumn("query_id", F.xxhash64("query", F.col("vector").cast("string")))
-    hits = knn.exact_knn(base, rows, k, metric)
+    hits = knn.exact_knn(base, rows.dropDuplicates(["query_id"]), k, metric)
     return hits.join(rows.select("query_id", "query"), "query_id").select("query", "neighbor_id", "distance", "rank")

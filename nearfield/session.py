@@ -19,6 +19,7 @@ BROADCAST_LIMIT = 64 << 20
 STATE_LIMIT = 128 << 20
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
+_local_roots: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -27,12 +28,14 @@ def scratch_root(spark: SparkSession) -> str:
     A temporary folder is used only where the setting is absent *and* the
     session is a single machine; on a cluster a missing setting is an error.
     """
-    root = spark.conf.get(_CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(_CHECKPOINT_CONF, None)
+    context = spark.sparkContext
+    root = spark.conf.get(_CHECKPOINT_CONF, None) or context.getConf().get(_CHECKPOINT_CONF, None)
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError(f"set {_CHECKPOINT_CONF} to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="nearfield-")
-        spark.conf.set(_CHECKPOINT_CONF, root)
+        if context.applicationId not in _local_roots:
+            _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="nearfield-")
+        root = _local_roots[context.applicationId]
     return root.rstrip("/")
 
 

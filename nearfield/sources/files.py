@@ -18,7 +18,7 @@ def _remote(path: str):
         return None
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
 
 
 def plain(path: str) -> str:

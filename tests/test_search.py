@@ -84,6 +84,11 @@ def test_repeated_query_ids_are_refused_when_blocked(spark, monkeypatch, data):
         knn.exact_knn(b, same, 3)
 
 
+def test_repeated_query_ids_are_refused(spark, data):
+    with pytest.raises(ValueError, match="unique"):
+        knn.exact_knn(data[2], table_of(spark, [1, 1], np.zeros((2, 8)), "query_id"), 3)
+
+
 def test_two_step_merge(data, monkeypatch):
     base, queries, b, q = data
     monkeypatch.setattr(knn, "_SALT_ABOVE", 1)
