@@ -7,8 +7,10 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry_points
+from nearfield.oracles import oracle
+from nearfield.registered import registered
 
-QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, SQL = registered(), oracle()
 
 
 @pytest.fixture(scope="module")
@@ -24,6 +26,10 @@ def test_names():
     assert set(QUERIES) - set(SQL) == {"kmeans_ivf_search", "tfidf_svd_embed"}
 
 
+def test_all_are_offered():
+    assert set(QUERIES) <= set(entry_points.queries()) and set(SQL) <= set(entry_points.oracle_sql())
+
+
 def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
 
