@@ -218,6 +218,10 @@ def _named(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
+def _count(kind: int) -> Column:
+    return F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("bigint")
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row.
 
@@ -226,7 +230,7 @@ def spans(docs: DataFrame) -> DataFrame:
     """
     marked = candidates(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))).select("doc_id", "_spans")
     return found(marked).select(
-        "doc_id", *[F.size(F.filter("_base", lambda s, i=i: s["kind"] == i)).cast("bigint").alias(f"n_{k}") for i, k in enumerate(KINDS)],
+        "doc_id", *[_count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
         F.sha2(_named("_base"), 256).alias("base_sha256"), _named("_all").alias("spans"),
     )
 

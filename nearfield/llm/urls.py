@@ -4,8 +4,8 @@ Rules decide the URLs they fit, and their verdicts are the labels of a tree of p
 kept for each host.  Level by level, segments that are numbers or hashes become classes, rare
 children of a wide node become the wildcard ``*``, and children whose share of
 blocked labels does not differ significantly from their parent's merge into it as well.  A template is
-rejected when its smoothed labelled purity (blocked share, drawn to the host's and
-that to the corpus's) reaches ``threshold``; a template without labels is never that pure.
+rejected when its smoothed labelled purity (its blocked share, drawn to one half or to the
+host's share if that is lower) reaches ``threshold``; a template without labels is never that pure.
 
 The tree is built on the counts of distinct (host, path shape), which are
 aggregated per task before they move; the pages themselves move once, for the join with
@@ -87,9 +87,8 @@ def judged(pages: DataFrame, rules: list[Rule], depth: int = 4, wide: int = 20,
         tree = tree.join(named, ["host", "template", s]).drop("template").withColumnRenamed("longer", "template")
         tree = materialize(tree.select("host", *levels, "n", "labelled", "blocked", "template"), "paths")
     drawn = lambda prior: (F.col("blocked") + weight * prior) / (F.col("labelled") + weight)
-    whole = tree.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")).first()
-    overall = ((whole["b"] or 0) + 0.5) / ((whole["l"] or 0) + 1)
-    hosts = tree.groupBy("host").agg(*sums).select("host", drawn(F.lit(overall)).alias("prior"))
+    # A host can only speak for a template that has no labels: its own labels must reject it.
+    hosts = tree.groupBy("host").agg(*sums).select("host", F.least(drawn(F.lit(0.5)), F.lit(0.5)).alias("prior"))
     templates = tree.groupBy("host", "template").agg(*sums).join(hosts, "host").select("host", "template", drawn(F.col("prior")).alias("purity"))
     shapes = tree.join(templates, ["host", "template"]).select("host", *levels, "template", "purity")
     return shaped.join(shapes, ["host", *levels]).select(
