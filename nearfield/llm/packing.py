@@ -13,7 +13,9 @@ rank among the pieces of its length, which tasks count and Spark adds up.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -103,50 +105,79 @@ def plan(histogram: dict[int, int], limits: Limits = Limits()) -> np.ndarray:
     return found[np.lexsort((found[:, 1], found[:, 0]))]
 
 
-class Tokens:
+# A word of Latin letters with stops and the like behind it: two pieces to every splitter of the kind used here.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class Tokens(dict):
     """Token ids of texts under a tokenizer that never looks across white space.
 
-    Texts are cut at blanks, distinct chunks are tokenised once while they recur, and
-    the ids of a slice are gathered in one step.
+    Texts are cut at blanks; each distinct chunk is tokenised once while it recurs, and
+    the ids of a slice are gathered in one step.  Plain chunks skip the general
+    normaliser and splitter, and their pieces (the word in lower case, what follows it)
+    go to the tokenizer's model directly.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.letters = str.maketrans(_byte_letters())
+        self.model = self.tokenizer.model
+        self.pieces: dict[str, array] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.starts, self.counts, self.ids, self.total = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint32)], 0
-
-    def learn(self, words: set[bytes]) -> None:
-        fresh = list(words - self.known.keys())
-        if not fresh:
-            return
-        coded = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8") for w in fresh], add_special_tokens=False)]
-        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
-        counts = np.fromiter(map(len, coded), np.int64, len(coded))
-        self.starts.append(self.total + np.cumsum(counts) - counts)
-        self.counts.append(counts)
-        self.ids.append(np.fromiter((x for c in coded for x in c), np.uint32, int(counts.sum())))
-        self.total += int(counts.sum())
-        self.starts, self.counts, self.ids = [np.concatenate(self.starts)], [np.concatenate(self.counts)], [np.concatenate(self.ids)]
+        self.clear()
+        self.starts, self.ids = array("q", [0]), array("I")
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces.clear()
+
+    def piece(self, text: str) -> array:
+        shown = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+        found = self.pieces[text] = array("I", [x.id for x in self.model.tokenize(shown)])
+        return found
+
+    def __missing__(self, word: bytes) -> int:
+        text = word.decode("utf-8")
+        plain = _PLAIN.fullmatch(text)
+        if plain:
+            body, rest = plain.groups()
+            body = body.lower()
+            self.ids += self.pieces.get(body) or self.piece(body)
+            if rest:
+                self.ids += self.pieces.get(rest) or self.piece(rest)
+        else:
+            self.ids.extend(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        self.starts.append(len(self.ids))
+        self[word] = at = len(self)
+        return at
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and the number of each text."""
-        if len(self.known) > CACHE_WORDS:
+        if len(self) > CACHE_WORDS:
             self.forget()
-        words = [x.split() for x in texts]
-        flat = [w for x in words for w in x]
-        self.learn(set(flat))
-        which = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        counts = self.counts[0][which]
-        ids = self.ids[0][ragged(self.starts[0][which], counts)]
-        sums = np.append(0, np.cumsum(counts))
-        ends = np.cumsum([len(x) for x in words], dtype=np.int64)
-        return ids, np.diff(sums[np.append(0, ends)])
+        counts, which = [], []
+        for text in texts:
+            # Lower case at once, unless an accent follows that would first join a capital.
+            words = (text if b"\xcc" in text or b"\xcd" in text else text.lower()).split()
+            counts.append(len(words))
+            which.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
+        flat = np.concatenate(which) if which else np.empty(0, np.int64)
+        starts, known = np.array(self.starts, np.int64), np.array(self.ids, np.uint32)
+        sizes = (starts[1:] - starts[:-1])[flat]
+        ids = known[ragged(starts[flat], sizes)]
+        sums = np.append(0, np.cumsum(sizes))
+        return ids, np.diff(sums[np.append(0, np.cumsum(counts, dtype=np.int64))])
 
 
 def _pieces(path: str, capacity: int):
@@ -154,7 +185,7 @@ def _pieces(path: str, capacity: int):
         tokens, task = Tokens(path), TaskContext.get().partitionId()
         ranks = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=2 << 20):
                 ids, counts = tokens.of(raw(part.column("text")))
                 owner, number, start, length, crc = [], [], [], [], []
                 at = 0

@@ -84,3 +84,26 @@ def test_plan_size_does_not_follow_the_corpus():
 def test_too_small_a_capacity():
     with pytest.raises(ValueError):
         packing.plan({30: 1}, packing.Limits(tokens=40, cost=100))
+
+
+def test_tokens_are_the_tokenizers(rows):
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    rng = random.Random(8)
+    letters = list("aAbBzZ''sStT. ,!?-|09\t\n\u00a0\u2028\x00\x1c\u0301\u0307\u030c") + ["ß", "É", "ñ", "ÿ", "×", "÷", "µ", "ª", "İ", "Σ", "ς", "ﬁ", "漢", "😀", "'re", "J\u030c", "K", "e\u0301"]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 30))) for _ in range(3000)] + [t or "" for _, t in rows[:100]]
+    tokens = packing.Tokens(tokenizer_path())
+    for at in range(0, len(texts), 50):
+        part = texts[at : at + 50]
+        ids, counts = tokens.of([t.encode() for t in part])
+        ends = np.cumsum(counts)
+        for t, a, b in zip(part, ends - counts, ends):
+            assert ids[a:b].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_tokens_when_the_cache_starts_afresh(monkeypatch, rows):
+    texts = [(t or "").encode() for _, t in rows[:60]]
+    want = packing.Tokens(tokenizer_path()).of(texts)
+    monkeypatch.setattr(packing, "CACHE_WORDS", 20)
+    tokens = packing.Tokens(tokenizer_path())
+    parts = [tokens.of([t]) for t in texts]
+    assert np.concatenate([p[0] for p in parts]).tolist() == want[0].tolist()
