@@ -1,8 +1,8 @@
 """Language identification by words first, character n-grams second.
 
 Training counts words per language over all training documents.  The model keeps
-the ``max_words`` most frequent words with their log frequency per language, and, counted over
-*all* words, the ``max_grams`` most frequent character n-grams of one to five letters, word ends
+up to ``max_words`` of the most frequent words with their log frequency per language, and, counted over
+*all* words, up to ``max_grams`` of the most frequent character n-grams of one to five letters, word ends
 included.  A text's words add up their scores; a word that the model lacks takes the mean score of its
 n-grams of the greatest length of which the model knows any.
 """
@@ -79,81 +79,100 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
+    """Rows of the two score tables (one column per language) by word and by n-gram."""
+
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
-
-    def word(self, word: str) -> np.ndarray | None:
-        """Score per language, or None for what holds no letter."""
-        found = self.words.get(word)
-        if found is not None:
-            return found
-        if not has_letter(word):
-            return None
-        for n in range(LONGEST, 0, -1):
-            known = [x for x in map(self.grams.get, grams(word, n)) if x is not None]
-            if known:
-                return np.mean(known, axis=0)
-        return np.zeros(len(self.languages))
+    words: dict[str, int]
+    word_scores: np.ndarray
+    grams: dict[str, int]
+    gram_scores: np.ndarray
+
+    def known_grams(self, word: str) -> list[int]:
+        """The word's n-grams of the greatest length of which any is known."""
+        marked, known = f"\t{word}\n", self.grams.get
+        for n in range(LONGEST, 1, -1):
+            found = [x for x in map(known, [marked[i : i + n] for i in range(len(marked) - n + 1)]) if x is not None]
+            if found:
+                return found
+        return [x for x in map(known, word) if x is not None]
 
 
 class Scorer:
-    """Predictions with a bounded cache of word scores."""
+    """Predictions with a bounded cache of the scores of unseen words."""
 
     def __init__(self, model: Model):
         self.model = model
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.scores = np.zeros((1024, len(self.model.languages)), np.float64)
-        self.letters = np.zeros(1024, bool)
+        self.place = dict(self.model.words)
+        self.scores = self.model.word_scores.astype(np.float64)
+        self.letters = np.ones(len(self.scores), bool)
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: list[str]) -> None:
+        """Scores of unseen words by n-grams; what holds no letter counts nothing."""
+        flat, counts, letters = [], [], []
         for word in words:
-            at = len(self.place)
-            if at == len(self.scores):
-                self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
-                self.letters = np.concatenate((self.letters, np.zeros_like(self.letters)))
-            found = self.model.word(word)
-            self.letters[at] = found is not None
-            if found is not None:
-                self.scores[at] = found
-            self.place[word] = at
-
-    def predict(self, text: str) -> tuple[str, float]:
-        words = letter_words(text)
-        if len(self.place) > CACHE_WORDS // 2:
+            spelled = word.isalpha() or has_letter(word)
+            found = self.model.known_grams(word) if spelled else []
+            flat += found
+            counts.append(len(found))
+            letters.append(spelled)
+        sizes = np.array(counts, np.int64)
+        fresh = np.zeros((len(words), len(self.model.languages)))
+        some = np.flatnonzero(sizes)
+        if len(some):
+            sums = np.add.reduceat(self.model.gram_scores[flat].astype(np.float64), (np.cumsum(sizes) - sizes)[some], axis=0)
+            fresh[some] = sums / sizes[some, None]
+        self.place.update(zip(words, range(len(self.scores), len(self.scores) + len(words))))
+        self.scores, self.letters = np.concatenate((self.scores, fresh)), np.concatenate((self.letters, np.array(letters, bool)))
+
+    def predict_all(self, texts: list[str]) -> list[tuple[str, float]]:
+        if len(self.place) > len(self.model.words) + CACHE_WORDS // 2:
             self.forget()
-        self.learn(set(words) - self.place.keys())
+        words = [letter_words(x) for x in texts]
+        self.learn(list({w for x in words for w in x} - self.place.keys()))
+        return [self._predict(x) for x in words]
+
+    def _predict(self, words: list[str]) -> tuple[str, float]:
         at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
         n = int(self.letters[at].sum())
         if not n or not self.model.languages:
             return UNKNOWN, 0.0
-        total = self.scores[at].sum(axis=0) * (min(n, EVIDENCE) / n)
+        total = self.scores[at[self.letters[at]]].sum(axis=0) * (min(n, EVIDENCE) / n)
         share = np.exp(total - total.max())
         best = int(share.argmax())
         return self.model.languages[best], float(share[best] / share.sum())
 
 
-def _tables(counts: DataFrame, name: str, most: int, languages: list[str]) -> dict[str, np.ndarray]:
-    """Log frequencies of the ``most`` most frequent entries; at most that many rows reach the driver."""
+def _tables(counts: DataFrame, name: str, most: int, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """Log frequencies of the most frequent entries, at most ``most`` of them.
+
+    Entries as frequent as the first one that finds no place stay out together.  How
+    many entries have which frequency is aggregated, so only the kept ones reach the driver.
+    """
     total = counts.groupBy(name).agg(F.sum("n").alias("all"), *[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(languages)])
-    rows = total.orderBy(F.desc("all"), name).limit(most).toPandas()
-    n = rows[[f"n{i}" for i in range(len(languages))]].to_numpy(np.float64)
-    if name == "gram":
-        # Each length is a distribution of its own.
-        sizes = rows[name].str.len().to_numpy()
-        logs = np.zeros_like(n)
-        for size in np.unique(sizes):
-            own = n[sizes == size]
-            logs[sizes == size] = np.log((own + ALPHA) / (own.sum(axis=0) + ALPHA * len(own)))
-    else:
-        logs = np.log((n + ALPHA) / (n.sum(axis=0) + ALPHA * max(1, len(n))))
-    return dict(zip(rows[name], logs.astype(np.float32)))
-
-
-def train(docs: DataFrame, max_words: int = 100_000, max_grams: int = 100_000) -> Model:
+    total = materialize(total, "totals")
+    # Powers of two up, sixteen steps each: a few hundred classes of frequency.
+    step = F.floor(F.log2("all") * 16)
+    kept, lowest = 0, None
+    for r in sorted(total.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        kept += r["count"]
+        if kept > most:
+            break
+        lowest = r["step"]
+    rows = total.where(step >= lowest if lowest is not None else F.lit(False)).toPandas().sort_values(name, ignore_index=True)
+    n = rows[[f"n{i}" for i in range(len(languages))]].to_numpy(np.float64).reshape(len(rows), len(languages))
+    # Each length of n-gram is a distribution of its own.
+    sizes = rows[name].str.len().to_numpy() if name == "gram" and len(rows) else np.zeros(len(rows), int)
+    logs = np.zeros_like(n)
+    for size in np.unique(sizes):
+        own = n[sizes == size]
+        logs[sizes == size] = np.log((own + ALPHA) / (own.sum(axis=0) + ALPHA * len(own)))
+    return {x: i for i, x in enumerate(rows[name])}, logs.astype(np.float32)
+
+
+def train(docs: DataFrame, max_words: int = 200_000, max_grams: int = 100_000) -> Model:
     """Model of all rows of ``docs`` (text, lang) with a language.
 
     Counting covers every word of every row; only the model's size is bounded, by
@@ -164,17 +183,17 @@ def train(docs: DataFrame, max_words: int = 100_000, max_grams: int = 100_000) -
     words = materialize(words, "words")
     languages = sorted(r["lang"] for r in words.select("lang").distinct().collect())
     counted = in_arrow(words, _count_grams, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return Model(languages, _tables(words, "word", max_words, languages), _tables(counted, "gram", max_grams, languages))
+    return Model(languages, *_tables(words, "word", max_words, languages), *_tables(counted, "gram", max_grams, languages))
 
 
 def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
         for batch in batches:
-            found = [scorer.predict(x.decode("utf-8", "replace")) for x in raw(batch.column("text"))]
-            new = {"lang_pred": pa.array([x[0] for x in found], pa.string()), "score": pa.array([x[1] for x in found], pa.float64())}
-            names = [x for x in batch.schema.names if x not in new]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), *new.values()], [*names, *new])
+            for part in slices(batch):
+                found = scorer.predict_all([x.decode("utf-8", "replace") for x in raw(part.column("text"))])
+                new = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, "lang_pred", "score"])
 
     return run
 

@@ -30,24 +30,46 @@ def model_of(rows):
     by_size = {}
     for size in range(1, langid.LONGEST + 1):
         by_size |= logs(grams, {g for x in languages for g in grams[x] if len(g) == size})
-    return langid.Model(languages, logs(words, every), by_size)
+    return languages, logs(words, every), by_size
+
+
+def tables(model):
+    return [{k: scores[i] for k, i in rows.items()} for rows, scores in ((model.words, model.word_scores), (model.grams, model.gram_scores))]
+
+
+def predict(model, texts):
+    return langid.Scorer(model).predict_all(texts)
 
 
 def test_training_matches_plain_counts(spark):
     rows = [("en", "The cat sat on the mat"), ("de", "Die Katze sitzt auf der Matte"), ("en", "a dog"), ("de", "ein Hund 12"), ("fr", "élan")]
     df = spark.createDataFrame([*rows, (None, "zzz"), ("en", None)], "lang string, text string")
-    got, want = langid.train(df), model_of(rows)
-    assert got.languages == want.languages
-    for a, b in ((got.words, want.words), (got.grams, want.grams)):
-        assert a.keys() == b.keys()
-        for k in a:
-            np.testing.assert_allclose(a[k], b[k], rtol=1e-5)
-    # Unknown words go back to the longest n-grams that are known.
-    assert langid.Scorer(got).predict("Katzen sitzen")[0] == "de"
-    known = [got.grams[g] for g in langid.grams("cats", 4) if g in got.grams]
-    assert not any(g in got.grams for g in langid.grams("xcatx", 5))
-    np.testing.assert_allclose(got.word("cats"), np.mean([got.grams[g] for g in langid.grams("cats", 4) if g in got.grams], axis=0) if not any(g in got.grams for g in langid.grams("cats", 5)) else got.word("cats"))
-    assert known
+    model, (languages, words, grams) = langid.train(df), model_of(rows)
+    assert model.languages == languages
+    for got, want in zip(tables(model), (words, grams)):
+        assert got.keys() == want.keys()
+        for k in got:
+            np.testing.assert_allclose(got[k], want[k], rtol=1e-5)
+    # An unknown word goes back to the longest n-grams that are known.
+    scorer = langid.Scorer(model)
+    assert scorer.predict_all(["Katzen sitzen", "12"]) == [("de", scorer.predict_all(["Katzen sitzen"])[0][1]), ("und", 0.0)]
+    for word in ("cats", "xcatx", "qqq", "zzé"):
+        for n in range(langid.LONGEST, 0, -1):
+            known = [grams[g] for g in langid.grams(word, n) if g in grams]
+            if known:
+                break
+        scorer.learn([word])
+        np.testing.assert_allclose(scorer.scores[scorer.place[word]], np.mean(known, axis=0) if known else 0, rtol=1e-5)
+
+
+def test_model_size_is_bounded(docs):
+    small = langid.train(docs, max_words=100, max_grams=150)
+    assert 0 < len(small.words) <= 100 and 0 < len(small.grams) <= 150
+    whole = langid.train(docs)
+    kept = np.array([whole.words[w] for w in small.words])
+    assert len(kept) == len(small.words)
+    text = [r["text"] for r in docs.limit(40).collect()]
+    assert np.mean([a[0] == b[0] for a, b in zip(predict(small, text), predict(whole, text))]) > 0.9
 
 
 def test_held_out_accuracy(spark, sf_dir, docs):
@@ -74,7 +96,7 @@ def test_held_out_languages_are_not_used(spark, docs):
     held = langid.held_out(F.col("doc_id"), 5, 0)
     a = langid.train(docs.where(~held))
     b = langid.train(docs.withColumn("lang", F.when(held, F.lit("xx")).otherwise(F.col("lang"))).where(~held))
-    assert a.languages == b.languages and a.words.keys() == b.words.keys()
+    assert a.languages == b.languages and a.words == b.words and (a.word_scores == b.word_scores).all()
 
 
 def test_odd_rows(spark, docs, odd, none):
@@ -93,7 +115,7 @@ def test_odd_rows(spark, docs, odd, none):
 def test_cache_starts_afresh(monkeypatch, docs):
     model = langid.train(docs)
     texts = [r["text"] for r in docs.limit(30).collect()]
-    want = [langid.Scorer(model).predict(t) for t in texts]
+    want = predict(model, texts)
     monkeypatch.setattr(langid, "CACHE_WORDS", 10)
     one = langid.Scorer(model)
-    assert [one.predict(t) for t in texts] == want
+    assert [one.predict_all([t])[0] for t in texts] == want
