@@ -156,28 +156,30 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(rows, pa.binary())], ["doc_id", "quality", "passages"])
 
 
-def train(labelled: DataFrame, max_documents: int = 3000, max_bytes: int = 48 << 20) -> Network | None:
-    """Network learned from (doc_id, text, quality 0/1) rows; None without any.
+def train(docs: DataFrame, labels: DataFrame, max_documents: int = 3000, max_bytes: int = 48 << 20) -> Network | None:
+    """Network learned from the rows of ``docs`` that ``labels`` (doc_id, quality 0/1) covers; None without any.
 
-    The sample: the first ``max_documents`` rows by a hash of id and text, as far as their texts
-    (whole ones) stay within ``max_bytes`` together; both bounds are documented parameters.
+    The sample: the first ``max_documents`` labelled rows by a hash of id and text, as far as their
+    (whole) texts stay within ``max_bytes`` together; both bounds are documented parameters.  It is chosen from
+    ids, hashes and sizes; texts are fetched for the chosen ones alone.
     """
-    rows = labelled.where("quality IN (0, 1)").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("quality").cast("int").alias("quality"))
-    rows = rows.withColumns({"mark": F.xxhash64(F.lit(17), "doc_id", "text"), "size": F.octet_length("text")})
-    marks = rows.select("mark", "size").orderBy("mark", "size").limit(max_documents).collect()
-    last, total = None, 0
-    for r in marks:
+    rows = texts_of(docs).withColumns({"mark": F.xxhash64(F.lit(17), "doc_id", "text"), "size": F.octet_length("text")})
+    marked = labels.where("quality IN (0, 1)").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    chosen, total = [], 0
+    for r in rows.select("doc_id", "mark", "size").join(marked, "doc_id").orderBy("mark", "size", "quality").limit(max_documents).collect():
         total += r["size"]
-        if last is not None and total > max_bytes:
+        if chosen and total > max_bytes:
             break
-        last = r["mark"]
-    if last is None:
+        chosen.append((r["doc_id"], r["mark"], r["quality"]))
+    if not chosen:
         return None
-    sample = in_arrow(rows.where(F.col("mark") <= last).select("doc_id", "text", "quality"), _encoded, "doc_id bigint, quality int, passages binary")
-    found = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["quality"], bytes(r["passages"])) for r in sample.collect())
-    bags = np.array([len(r[3]) // (2 * N_FEATURES) for r in found], np.int64)
-    x = np.frombuffer(b"".join(r[3] for r in found), "<f2").reshape(-1, N_FEATURES).astype(np.float32)
-    return fit(x, bags, np.array([r[2] for r in found], np.float64))
+    few = docs.sparkSession.createDataFrame(chosen, "doc_id bigint, mark bigint, quality int").distinct()
+    sample = rows.join(F.broadcast(few), ["doc_id", "mark"]).select("doc_id", "text", "quality")
+    sample = in_arrow(sample, _encoded, "doc_id bigint, quality int, passages binary")
+    found = sorted((r["doc_id"], r["quality"], bytes(r["passages"])) for r in sample.collect())
+    bags = np.array([len(r[2]) // (2 * N_FEATURES) for r in found], np.int64)
+    x = np.frombuffer(b"".join(r[2] for r in found), "<f2").reshape(-1, N_FEATURES).astype(np.float32)
+    return fit(x, bags, np.array([r[1] for r in found], np.float64))
 
 
 def _score(net):

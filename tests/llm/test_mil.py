@@ -49,8 +49,7 @@ def test_held_out_accuracy(spark, sf_dir):
 
 def test_odd_rows(spark, odd, none, docs, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    labelled = docs.join(labels, "doc_id").select("doc_id", "text", "quality")
-    net = mil.train(labelled, max_documents=50)
+    net = mil.train(docs, labels, max_documents=50)
     got = mil.score(odd, net).collect()
     assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
     by = {}
@@ -59,15 +58,15 @@ def test_odd_rows(spark, odd, none, docs, sf_dir):
     assert by[1] == by[2] and by[5] == by[6] and len(by[5]) == 1
     same_rows(mil.score(clashing(odd), net), mil.score(odd, net))
     assert mil.score(none, net).count() == 0
-    assert mil.train(labelled.where("false")) is None
+    assert mil.train(docs, labels.where("false")) is None
     assert {r["score"] for r in mil.score(odd, None).collect()} == {0.5}
-    odd_labels = frame(spark, ODD).selectExpr("doc_id", "text", "int(doc_id % 3) AS quality")
-    assert mil.train(odd_labels) is not None
+    odd_labels = frame(spark, ODD).selectExpr("doc_id", "int(doc_id % 3) AS quality")
+    assert mil.train(clashing(odd), odd_labels) is not None
 
 
 def test_sample_bounds(spark, docs, sf_dir):
-    labelled = docs.join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").select("doc_id", "text", "quality")
-    a, b = (mil.train(labelled.repartition(n), max_documents=30) for n in (2, 5))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    a, b = (mil.train(docs.repartition(n), labels, max_documents=30) for n in (2, 5))
     for k in a.weights:
         np.testing.assert_array_equal(a.weights[k], b.weights[k])
-    assert mil.train(labelled, max_bytes=1) is not None
+    assert mil.train(docs, labels, max_bytes=1) is not None
