@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +17,10 @@ from pyspark.sql.types import StructType
 
 from nearfield.session import materialize, ship_package
 
-# Words that one Python step holds at a time; bounds the memory of a task.
-SLICE_WORDS = 1_000_000
+# Bytes of text that one Python step holds at a time (or one row); bounds the memory of a task.
+SLICE_BYTES = 2 << 20
 # Entries of a per-task word cache; it starts afresh beyond this.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +33,20 @@ def texts_of(docs: DataFrame) -> DataFrame:
 
 
 def in_arrow(df: DataFrame, make: Callable, schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with this package at hand on the executors."""
+    """``mapInArrow`` with this package at hand on the executors.
+
+    Python workers live on after a task; each hands its freed memory back to the machine.
+    """
     ship_package(df.sparkSession)
-    return df.mapInArrow(make, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from make(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(run, schema)
 
 
 def raw(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
@@ -39,11 +54,11 @@ def raw(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", size: int = 8 * SLICE_WORDS) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of whole rows with about ``size`` bytes of text each (one row may be larger)."""
-    lengths = np.array([len(x) for x in raw(batch.column(column))], dtype=np.int64)
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start, held = 0, 0
-    for i, n in enumerate(lengths.tolist()):
+    for i, n in enumerate(lengths):
         if held and held + n > size:
             yield batch.slice(start, i - start)
             start, held = i, 0

@@ -322,7 +322,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, bloc
 
     What stands between two cut words goes with them.
     """
-    held = F.struct(*[F.col(f"`{x}`") for x in docs.columns])
+    # The other columns travel as one; the text only once.
+    held = F.struct(F.lit(0).alias("_"), *[F.col(f"`{x}`") for x in docs.columns if x != "text"])
     found = contamination(docs.select(F.col("doc_id"), F.col("text"), held.alias("_row")), benchmark, size, block_bytes, "_row")
     rows = in_arrow(found, _clean, found.schema)
     return rows.select(*[F.col("text") if x == "text" else F.col(f"_row.`{x}`").alias(x) for x in docs.columns])

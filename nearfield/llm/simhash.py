@@ -173,11 +173,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3, scan_limit:
     found = components(similar_pairs(firsts.select("print"), most, scan_limit)).withColumnRenamed("node", "print")
     groups = found.join(firsts, "print")
     lowest = groups.groupBy("root").agg(F.min("first").alias("lowest"))
-    named = materialize(groups.join(lowest, "root").select("print", "lowest"), "groups")
-    return (
-        prints.join(firsts, "print").join(named, "print", "left")
-        .select("doc_id", "print", F.coalesce("lowest", "first").alias("component_id"))
-    )
+    named = groups.join(lowest, "root").select("print", "lowest")
+    # A written table, so that the join below has plain shuffles on both sides and a print that
+    # a large group of copies shares can be split.
+    labels = firsts.join(named, "print", "left").select("print", F.coalesce("lowest", "first").alias("component_id"))
+    return prints.join(materialize(labels, "groups"), "print").select("doc_id", "print", "component_id")
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
