@@ -110,14 +110,16 @@ def svd_embed(rows: DataFrame, width: int, components: int = 512) -> DataFrame:
 
     The width x width Gram matrix is decomposed on the driver; its size is set
     by the vocabulary, not by the data.  The largest entry of every singular
-    vector is made positive.
+    vector is made positive.  Components beyond the rank of the matrix are zero, so
+    that embeddings always have ``components`` entries.
     """
     values, vectors = np.linalg.eigh(gram_matrix(rows, width))
     order = np.argsort(-values, kind="stable")
     rank = int((values > max(values.max(), 0.0) * 1e-10).sum())
     order = order[: min(components, rank)]
-    basis = vectors[:, order]
-    signs = np.sign(basis[np.abs(basis).argmax(axis=0), np.arange(basis.shape[1])])
+    basis = np.zeros((width, components))
+    basis[:, : len(order)] = vectors[:, order]
+    signs = np.sign(basis[np.abs(basis).argmax(axis=0), np.arange(components)])
     shared = rows.sparkSession.sparkContext.broadcast(basis * np.where(signs == 0, 1.0, signs))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

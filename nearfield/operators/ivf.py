@@ -94,12 +94,15 @@ def nearest_cells(df: DataFrame, centroids: DataFrame, count: int, metric: str,
 def assign_cells(base: DataFrame, centroids: DataFrame, metric: str = "l2") -> DataFrame:
     """Add ``cell_id``, the nearest centroid (ties to the smaller id).
 
-    A vector without a distance to any centroid (a zero vector under cosine)
-    gets a NULL cell.
+    A row without a vector, or whose vector has no distance to any centroid (a zero
+    vector under cosine), gets a NULL cell.
     """
     usable = base.filter(F.col("vector").isNotNull()).withColumn("vector", F.col("vector").cast("array<float>"))
     found = nearest_cells(usable, centroids, 1, _ASSIGN[check_metric(metric)], "cells")
-    return found.withColumn("cell_id", F.get("cells", F.lit(0))).drop("cells")
+    found = found.withColumn("cell_id", F.get("cells", F.lit(0))).drop("cells")
+    cell = found.schema["cell_id"].dataType
+    missing = base.filter(F.col("vector").isNull()).withColumns({"vector": F.col("vector").cast("array<float>"), "cell_id": F.lit(None).cast(cell)})
+    return found.unionByName(missing)
 
 
 def write_index(assigned: DataFrame, path: str) -> None:
@@ -115,7 +118,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 def build_ivf(base: DataFrame, centroids: DataFrame, path: str, metric: str = "l2", precision: str = "f32") -> DataFrame:
     """Assign, write and reopen the index table; cells follow the full vectors, storage the precision."""
-    assigned = assign_cells(base, centroids, metric)
+    assigned = assign_cells(base.filter(F.col("vector").isNotNull()), centroids, metric)
     write_index(assigned.withColumn("vector", stored_at(F.col("vector"), precision)), path)
     return read_index(base.sparkSession, path)
 

@@ -65,14 +65,19 @@ def position_within(df: DataFrame, group: str, output: str, chunks: int | None =
     )
 
 
+# Holds the rows that no centroid is nearest to.
+REST_CELL = -1
+
+
 def semantic(assigned: DataFrame, max_vectors_per_shard: int) -> DataFrame:
     """Shards from clusters: one per ``cell_id``, split where a cell exceeds the cap.
 
-    Shards are numbered by (cell, part).  The assignment is stored once, as its
+    Shards are numbered by (cell, part).  Rows without a cell are kept in a rest
+    cell, numbered -1, which comes first.  The assignment is stored once, as its
     cell sizes are needed before the rows can be placed.
     """
     cap = max_vectors_per_shard
-    assigned = materialize(assigned, "cells")
+    assigned = materialize(assigned.withColumn("cell_id", F.coalesce("cell_id", F.lit(REST_CELL))), "cells")
     sizes = assigned.groupBy("cell_id").agg(F.count("*").alias("cell_rows"))
     parts = F.ceil(F.col("cell_rows") / cap).cast("bigint")
     # One row per cell: the number of cells is the number of centroids, which is bounded.

@@ -129,3 +129,21 @@ def test_a_failing_batch_fails_the_job(spark, rng):
 
     with pytest.raises(Exception, match="no such batch"):
         batch.apply_to_batches(table_of(spark, range(5), rng.normal(size=(5, 2))), fail, "x int", 2).collect()
+
+
+def test_semantic_keeps_rows_without_a_cell(spark):
+    """NULL and zero vectors under cosine have no nearest centroid; rows in are rows out."""
+    from nearfield.operators import ivf
+
+    rows = [(i, [float(i % 3 - 1), float(i % 5)]) for i in range(40)] + [(100, None), (101, [0.0, 0.0]), (102, None)]
+    base = spark.createDataFrame(rows, "row_id bigint, vector array<float>")
+    centroids = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "cell_id int, centroid array<float>")
+    for cap in (1, 2, 30):
+        got = shards.semantic(ivf.assign_cells(base, centroids, "cos"), cap)
+        placed = {r["row_id"]: (r["cell_id"], r["shard_id"]) for r in got.collect()}
+        assert set(placed) == {r[0] for r in rows}
+        assert all(placed[i][0] == shards.REST_CELL for i in (100, 101, 102))
+        sizes = {}
+        for _, shard in placed.values():
+            sizes[shard] = sizes.get(shard, 0) + 1
+        assert max(sizes.values()) <= cap
