@@ -19,9 +19,7 @@ from nearfield.session import materialize, ship_package
 
 # Bytes of text that one Python step holds at a time (or one row); bounds the memory of a task.
 SLICE_BYTES = 2 << 20
-# Rows of an Arrow batch of texts.
-BATCH_ROWS = "1000"
-_ROWS, _DEFAULT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+_BATCH, _DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 # Entries of a per-task word cache; it starts afresh beyond this.
 CACHE_WORDS = 250_000
 
@@ -39,12 +37,12 @@ def in_arrow(df: DataFrame, make: Callable, schema: str | StructType) -> DataFra
     """``mapInArrow`` with this package at hand on the executors.
 
     Python workers live on after a task; each hands its freed memory back to the machine.
-    Batches of whole texts hold fewer rows than Spark's default, unless the session sets another number.
+    Arrow batches are bounded by their bytes, as texts of any length come, unless the session sets its own bound.
     """
     ship_package(df.sparkSession)
     conf = df.sparkSession.conf
-    if conf.get(_ROWS) == _DEFAULT_ROWS:
-        conf.set(_ROWS, BATCH_ROWS)
+    if conf.get(_BATCH) == _DEFAULT_BATCH:
+        conf.set(_BATCH, str(SLICE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from make(batches)
