@@ -219,12 +219,13 @@ def occurrences(ids: np.ndarray, ends: np.ndarray, phrases: Phrases) -> tuple[np
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
-def _search(shared, size: int):
+def _search(shared, size: int, cut: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases.of(shared, size)
         for batch in batches:
             for part in slices(batch):
-                words = [words_of(x) for x in raw(part.column("text"))]
+                texts = raw(part.column("text"))
+                words = [words_of(x) for x in texts]
                 ends = np.cumsum([len(x) for x in words], dtype=np.int64)
                 begins = np.append(0, ends)[:-1]
                 n = int(ends[-1]) if len(ends) else 0
@@ -258,13 +259,17 @@ def _search(shared, size: int):
                     "n_words": pa.array([len(x) for x in words], pa.int64()), "spans": pa.array(spans, _SPAN),
                     "items": pa.array([sorted(x) for x in items], pa.list_(pa.string())),
                 }
+                if cut:
+                    new["text"] = pa.array([_removed(x, s) if s else x for x, s in zip(texts, spans)], pa.binary()).cast(pa.string())
                 names = part.schema.names
                 yield pa.RecordBatch.from_arrays([new[x] if x in new else part.column(x) for x in names], names)
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES, carried: str | None = None) -> DataFrame:
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES, carried: str | None = None, cut: bool = False
+) -> DataFrame:
     """(doc_id, text, n_words, spans, items): where windows of benchmark items occur in each row.
 
     Words are runs of ASCII letters and digits (lower-cased) and non-ASCII characters.
@@ -273,6 +278,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, blo
     ``size`` words is one window; one without words, without text or without id has
     none.  A null text comes back empty and has no words; repeated rows and items are
     judged each for itself; other columns are ignored, but for the one named as ``carried``.
+    With ``cut`` the texts come back without their spans.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *([carried] if carried else []))
     rows = rows.withColumns({
@@ -285,7 +291,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, blo
     for block in range(blocks):
         chosen = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
         shared = [(r["item"], r["text"].encode()) for r in chosen.collect()]
-        rows = in_arrow(rows, _search(shared, size), rows.schema)
+        rows = in_arrow(rows, _search(shared, size, cut and block == blocks - 1), rows.schema)
     return rows
 
 
@@ -301,13 +307,6 @@ def _removed(text: bytes, spans: list[dict]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [_removed(x, s) if s else x for x, s in zip(raw(batch.column("text")), batch.column("spans").to_pylist())]
-        text = pa.array(texts, pa.binary()).cast(pa.string())
-        yield pa.RecordBatch.from_arrays([text if x == "text" else batch.column(x) for x in batch.schema.names], batch.schema.names)
-
-
 def digests(found: DataFrame) -> DataFrame:
     """Counts and a hash of the item list per document of :func:`contamination`."""
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, x: n + x["stop"] - x["start"])
@@ -324,6 +323,5 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, bloc
     """
     # The other columns travel as one; the text only once.
     held = F.struct(F.lit(0).alias("_"), *[F.col(f"`{x}`") for x in docs.columns if x != "text"])
-    found = contamination(docs.select(F.col("doc_id"), F.col("text"), held.alias("_row")), benchmark, size, block_bytes, "_row")
-    rows = in_arrow(found, _clean, found.schema)
+    rows = contamination(docs.select(F.col("doc_id"), F.col("text"), held.alias("_row")), benchmark, size, block_bytes, "_row", cut=True)
     return rows.select(*[F.col("text") if x == "text" else F.col(f"_row.`{x}`").alias(x) for x in docs.columns])
