@@ -48,7 +48,7 @@ def cos(a: Column, b: Column) -> Column:
 def check_metric(metric: str) -> str:
     name = metric.lower()
     if name not in METRICS:
-        raise ValueError(f"Unsupported metric: {metric}. Supported metrics are: {', '.join(METRICS)}")
+        raise ValueError(f"{metric} is not one of the metrics {', '.join(METRICS)}")
     return name
 
 

@@ -28,7 +28,7 @@ def to_matrix(column: pa.Array, dims: int | None = None) -> np.ndarray:
         dims = len(values) // n if n else 0
     lengths = np.diff(column.offsets.to_numpy())
     if column.null_count or (lengths != dims).any():
-        raise ValueError(f"vector dimension mismatch: expected {dims}, got {sorted(set(lengths.tolist()))[:5]}")
+        raise ValueError(f"a vector does not have {dims} elements; lengths seen: {sorted(set(lengths.tolist()))[:5]}")
     return np.ascontiguousarray(values.reshape(n, dims))
 
 
@@ -87,6 +87,9 @@ class BlockTopK:
         for start in range(0, len(ids), _BASE_TILE):
             rows = slice(start, start + _BASE_TILE)
             self._offer_tile(ids[rows], vectors[rows], members)
+        # A few queries' limits tighten long before all lists together would be merged.
+        if self._pending_rows >= max(len(members) * self.k // 2, 1 << 14):
+            self._flush()
 
     def _offer_tile(self, ids: np.ndarray, vectors: np.ndarray, members: np.ndarray) -> None:
         norms = _squared_norms(vectors)

@@ -104,7 +104,7 @@ def distinct_shards(df: DataFrame) -> DataFrame:
 def validate_dims(df: DataFrame, dims: int, column: str = "embedding") -> DataFrame:
     """Pass rows through; a vector of another length raises."""
     ok = F.size(column) == dims
-    message = F.concat(F.lit(f"vector dimension mismatch: expected {dims}, got "), F.size(column).cast("string"))
+    message = F.concat(F.lit(f"a vector does not have {dims} elements but "), F.size(column).cast("string"))
     checked = F.when(ok, F.col(column)).otherwise(F.raise_error(message).cast(df.schema[column].dataType))
     return df.withColumn(column, checked)
 

@@ -67,7 +67,7 @@ def test_small_splits_and_slices(spark, tmp_path, rng):
     np.testing.assert_array_equal(values.astype("f4"), matrix[10:30])
     assert loaded(vecbin.read_vectors(spark, path, 95, 50))[0] == list(range(95, 101))
     assert vecbin.read_vectors(spark, path, 0, -1).count() == 101
-    with pytest.raises(Exception, match="Start row 101"):
+    with pytest.raises(Exception, match="row 101 is past the end"):
         vecbin.read_vectors(spark, path, 101, 1).count()
 
 
@@ -81,7 +81,7 @@ def test_filters_give_the_same_rows(spark, tmp_path, rng):
 
 
 def test_bad_files(spark, tmp_path):
-    with pytest.raises(Exception, match="Unknown vector file type"):
+    with pytest.raises(Exception, match="names no element type"):
         vecbin.read_vectors(spark, store(tmp_path / "x.vec", np.zeros((1, 1)), "<f4")).count()
     path = store(tmp_path / "x.fbin", np.zeros((10, 4)), "<f4")
     os.truncate(path, 100)
@@ -90,7 +90,7 @@ def test_bad_files(spark, tmp_path):
     (tmp_path / "e.fbin").write_bytes(b"12")
     with pytest.raises(Exception, match="no header"):
         vecbin.read_vectors(spark, str(tmp_path / "e.fbin")).count()
-    with pytest.raises(Exception, match="Unsupported vector type"):
+    with pytest.raises(Exception, match="are ids, not vectors"):
         vecbin.read_vectors(spark, store(tmp_path / "x.f32bin", np.zeros((1, 1)), "<f4")).count()
     with pytest.raises(Exception):
         vecbin.read_vectors(spark, str(tmp_path / "missing.fbin")).count()
@@ -142,7 +142,7 @@ def test_values_that_do_not_fit_are_refused(spark, tmp_path):
         vecbin.write_vectors(table_of(spark, [0], [[300.0]]), str(tmp_path / "a"), ".i8bin")
     with pytest.raises(Exception, match="do not fit"):
         vecbin.write_vectors(table_of(spark, [0], [[0.5]]), str(tmp_path / "b"), ".ibin")
-    with pytest.raises(Exception, match="dimension mismatch"):
+    with pytest.raises(Exception, match="does not have"):
         vecbin.write_vectors(table_of(spark, [0, 1], [[1.0], [1.0, 2.0]]).coalesce(1), str(tmp_path / "c"))
 
 
@@ -201,7 +201,7 @@ def test_catalog(spark):
     assert (known.dimensions, known.metric, known.format, known.ids_format) == (100, "l2", "i8bin", "i32bin")
     assert catalog.is_valid_dataset("Yandex-Deep-10M") and not catalog.is_valid_dataset("yandex-deep-1m")
     assert not catalog.is_valid_dataset("any-wiki-1m")
-    with pytest.raises(ValueError, match="Unknown dataset: laion-5b. Available"):
+    with pytest.raises(ValueError, match="no dataset is called laion-5b"):
         catalog.dataset_definition("laion-5b")
 
 
