@@ -116,7 +116,7 @@ def search_rates(spark: SparkSession, sf_dir: str) -> dict:
 
     for precision in ("f32", "f16", "bf16", "i8"):
         scored(f"flat_{precision}", lambda: knn.exact_knn(base, asked, K, precision=precision, exclude_self=True))
-    centroids = ivf.train_centroids(base, NLIST, min_sample=64 * NLIST)
+    centroids = ivf.train_centroids(base, NLIST, sample_rate=0.1)
     paths = [scratch_path(spark, "index") for _ in range(2)]
     seconds = min(timed(lambda: ivf.build_ivf(base, centroids, path)) for path in paths)
     rates["ivf_build_ips"] = round(n / seconds, 1)

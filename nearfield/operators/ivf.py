@@ -17,7 +17,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from nearfield.functions.distance import check_metric
 from nearfield.functions.quantize import stored_at
 from nearfield.operators.kernel import BlockTopK, to_matrix
-from nearfield.operators.knn import search
+from nearfield.operators.knn import merge_topk, search
 from nearfield.session import BROADCAST_LIMIT, ship_package, spread_by
 
 # Metric for putting a vector into a cell and for choosing the cells of a query.
@@ -28,23 +28,18 @@ _MAX_CELLS = 1 << 20
 
 
 def train_centroids(
-    vectors: DataFrame, nlist: int, sample_rate: float = 0.01, iterations: int = 10, seed: int = 42, min_sample: int = 0
+    vectors: DataFrame, nlist: int, sample_rate: float = 1.0, iterations: int = 10, seed: int = 42
 ) -> DataFrame:
-    """K-means centroids ``(cell_id, centroid)`` from a sample of ``vector``.
-
-    ``min_sample`` widens the rate on small tables so that the sample holds
-    about that many vectors.
-    """
+    """K-means centroids ``(cell_id, centroid)`` from all vectors, or from a share of them."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     usable = vectors.filter(F.col("vector").isNotNull())
-    rate = sample_rate
-    if min_sample:
-        rate = min(1.0, max(sample_rate, min_sample / max(1, usable.count())))
     points = usable.select(F.col("vector").cast("array<double>").alias("vector"))
-    if rate < 1.0:
-        points = points.sample(rate, seed=seed)
+    if sample_rate < 1.0:
+        points = points.sample(sample_rate, seed=seed)
+        if points.isEmpty():
+            raise ValueError(f"no vector is in the sample; raise the sample rate of {sample_rate}")
     points = points.select(array_to_vector("vector").alias("features"))
     model = KMeans(k=nlist, maxIter=iterations, seed=seed).fit(points)
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
@@ -139,6 +134,11 @@ def search_ivf(
     metric: str = "l2",
     precision: str | Sequence[str] = "f32",
     exclude_self: bool = False,
+    *,
+    shard_col: str | None = None,
+    num_shards: int = 1,
+    local: bool = False,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Approximate top-K: every query looks only at its ``nprobe`` nearest cells.
 
@@ -150,4 +150,33 @@ def search_ivf(
     asked = queries.select("query_id", F.col("vector").cast("array<float>").alias("vector"))
     probed = nearest_cells(asked.filter(F.col("vector").isNotNull()), centroids, nprobe, probe_metric, "cells")
     precisions = [precision] if isinstance(precision, str) else list(precision)
-    return search(index, probed, k, metric, precisions, exclude_self=exclude_self)
+    return search(
+        index,
+        probed,
+        k,
+        metric,
+        precisions,
+        exclude_self=exclude_self,
+        shard_col=shard_col,
+        num_shards=num_shards,
+        local=local,
+        block_rows=block_rows,
+    )
+
+
+def sharded_ivf(
+    index: DataFrame,
+    centroids: DataFrame,
+    queries: DataFrame,
+    k: int,
+    nprobe: int,
+    num_shards: int,
+    metric: str = "l2",
+    shard_col: str = "shard_id",
+    precision: str = "f32",
+) -> DataFrame:
+    """Scatter-gather index search: every shard answers from its own part of the probed cells."""
+    hits = search_ivf(
+        index, centroids, queries, k, nprobe, metric, precision, shard_col=shard_col, num_shards=num_shards, local=True
+    )
+    return merge_topk(hits.drop("shard_id"), k)

@@ -36,8 +36,6 @@ from nearfield.session import (
 )
 
 _EMIT_ROWS = 1 << 16
-# Query sets up to this many rows are tried as one block without counting first.
-_ONE_BLOCK_ROWS = 16384
 # With more tasks than this the lists are merged in two steps.
 _SALT_ABOVE = 1024
 
@@ -73,8 +71,6 @@ class QueryBlock:
     def __init__(self, table: pa.Table, precisions: Sequence[str]):
         coded = pa.types.is_integer(table.column("vector").type.value_type)
         self.ids = table.column("query_id").to_numpy()
-        if len(np.unique(self.ids)) < len(self.ids):
-            raise ValueError("query ids must be unique")
         vectors = to_matrix(table.column("vector"))
         self.dims = vectors.shape[1]
         self.vectors = {p: vectors if coded else encode(vectors, p) for p in precisions}
@@ -99,24 +95,28 @@ def _max_states(n_queries: int, k: int, precisions: int) -> int:
     return max(precisions, STATE_LIMIT // (32 * k * max(1, n_queries)))
 
 
-def _blocks(queries: DataFrame, k: int, states: int, order: str | None) -> Iterator[tuple[pa.Table, bool]]:
+def _blocks(
+    queries: DataFrame, k: int, states: int, order: str | None, block_rows: int | None = None
+) -> Iterator[tuple[pa.Table, bool]]:
     """Arrow tables of at most one block of queries each, with a 'more than one' flag.
 
+    The set is stored and its ids are checked as a whole before any block is made.
     ``order`` names a column that should be close within a block (the first
     probed cell of an index search), so each block touches few index parts.
     """
     spark = queries.sparkSession
-    first = queries.limit(_ONE_BLOCK_ROWS + 1).toArrow()
-    if first.num_rows == 0:
+    queries = materialize(queries, "queries")
+    ids = queries.groupBy("query_id").agg(F.count("*").alias("times"), F.max(F.size("vector")).alias("dims"))
+    seen = ids.agg(F.count("*").alias("n"), F.max("times").alias("times"), F.max("dims").alias("dims")).first()
+    if not seen["n"]:
         return
-    dims = len(first.column("vector")[0])
-    limit = _block_rows(dims, k, states)
-    if first.num_rows <= min(limit, _ONE_BLOCK_ROWS):
-        yield first, False
+    if seen["times"] > 1:
+        raise ValueError("query ids must be unique")
+    limit = block_rows or _block_rows(seen["dims"], k, states)
+    if seen["n"] <= limit:
+        yield queries.toArrow(), False
         return
-    del first
-    queries = materialize(queries, "queries")
-    wanted = math.ceil(queries.count() / max(1, limit // 2))
+    wanted = math.ceil(seen["n"] / max(1, limit // 2))
     path = scratch_path(spark, "blocks")
     keys = ([order] if order else []) + ["query_id"]
     (
@@ -127,15 +127,19 @@ def _blocks(queries: DataFrame, k: int, states: int, order: str | None) -> Itera
     )
     stored = spark.read.parquet(path)
     for block, n in sorted(tuple(r) for r in stored.groupBy("block").count().collect()):
-        rows = stored.filter(F.col("block") == block).drop("block")
-        pieces = 1 if n <= limit else math.ceil(2 * n / limit)
-        for piece in range(pieces):
-            part = rows if pieces == 1 else rows.filter(F.pmod(F.xxhash64("query_id"), F.lit(pieces)) == piece)
-            table = part.limit(limit + 1).toArrow()
-            if table.num_rows > limit:
-                raise ValueError("query ids repeat too often to be split into blocks")
-            if table.num_rows:
-                yield table, True
+        for table in _pieces(stored.filter(F.col("block") == block).drop("block"), n, limit):
+            yield table, True
+
+
+def _pieces(rows: DataFrame, n: int, limit: int, level: int = 0) -> Iterator[pa.Table]:
+    """``n`` rows in tables of at most ``limit``, halved by the bits of the hashed id."""
+    if n <= limit:
+        if n:
+            yield rows.toArrow()
+        return
+    for bit in (0, 1):
+        half = rows.filter(F.shiftrightunsigned(F.xxhash64("query_id"), level).bitwiseAND(1) == bit)
+        yield from _pieces(half, half.count(), limit, level + 1)
 
 
 def _search_block(
@@ -231,6 +235,7 @@ def search(
     shard_col: str | None = None,
     num_shards: int = 1,
     local: bool = False,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Top-K of every query; see the module text for the plan.
 
@@ -238,6 +243,7 @@ def search(
     ``cells`` array, plus ``shard_col``).  ``queries``: ``query_id, vector``.
     Vectors of type ``array<tinyint>`` are int8 codes and need precision i8; all
     others are brought to the precision here.  ``local=True`` returns the K best per (query, shard) instead of merging.
+    ``block_rows`` bounds the queries of a block; by default memory does.  Repeated query ids raise.
     """
     metric = check_metric(metric)
     precisions = [check_precision(p) for p in precisions]
@@ -279,8 +285,8 @@ def search(
             result = result.drop("shard_id")
         return result if len(precisions) > 1 else result.drop("precision")
 
-    outputs: list[DataFrame] = []
-    for table, blocked in _blocks(queries, wide, len(precisions), "first_cell" if probing else None):
+    path = None
+    for table, blocked in _blocks(queries, wide, len(precisions), "first_cell" if probing else None, block_rows):
         block = QueryBlock(table, precisions)
         rows = base
         if block.members is not None:
@@ -292,19 +298,15 @@ def search(
         hits = ranked(found)
         if not blocked:
             return hits
-        path = scratch_path(spark, "hits")
-        hits.write.parquet(path)
+        path = path or scratch_path(spark, "hits")
+        hits.write.mode("append").parquet(path)
         shared.destroy()
-        outputs.append(spark.read.schema(hits.schema).parquet(path))
-    if not outputs:
+    if path is None:
         empty, _ = _search_block(
             base.select(*narrow).limit(0), _EmptyBlock(precisions), wide, metric, precisions, shard_col, num_shards
         )
         return ranked(empty)
-    result = outputs[0]
-    for other in outputs[1:]:
-        result = result.unionByName(other)
-    return result
+    return spark.read.schema(hits.schema).parquet(path)
 
 
 def _searchable(df: DataFrame, precisions: Sequence[str]) -> Column:
@@ -327,9 +329,10 @@ def exact_knn(
     metric: str = "l2",
     precision: str = "f32",
     exclude_self: bool = False,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Exact top-K of every query over the whole base table."""
-    return search(base, queries, k, metric, [precision], exclude_self=exclude_self)
+    return search(base, queries, k, metric, [precision], exclude_self=exclude_self, block_rows=block_rows)
 
 
 def precision_knn(
@@ -346,17 +349,29 @@ def precision_knn(
 
 
 def shard_local_topk(
-    base: DataFrame, queries: DataFrame, k: int, num_shards: int, metric: str = "l2", shard_col: str = "shard_id"
+    base: DataFrame,
+    queries: DataFrame,
+    k: int,
+    num_shards: int,
+    metric: str = "l2",
+    shard_col: str = "shard_id",
+    precision: str = "f32",
 ) -> DataFrame:
     """Top-K of every query inside every shard, all queries in one job."""
-    return search(base, queries, k, metric, shard_col=shard_col, num_shards=num_shards, local=True)
+    return search(base, queries, k, metric, [precision], shard_col=shard_col, num_shards=num_shards, local=True)
 
 
 def sharded_knn(
-    base: DataFrame, queries: DataFrame, k: int, num_shards: int, metric: str = "l2", shard_col: str = "shard_id"
+    base: DataFrame,
+    queries: DataFrame,
+    k: int,
+    num_shards: int,
+    metric: str = "l2",
+    shard_col: str = "shard_id",
+    precision: str = "f32",
 ) -> DataFrame:
     """Scatter-gather search: shard-local lists merged by true distance."""
-    return merge_topk(shard_local_topk(base, queries, k, num_shards, metric, shard_col), k)
+    return merge_topk(shard_local_topk(base, queries, k, num_shards, metric, shard_col, precision).drop("shard_id"), k)
 
 
 def rerank(candidates: DataFrame, base: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:

@@ -74,7 +74,8 @@ _CENTROIDS = f"{_MEANS}, c AS (SELECT label AS cell_id, v::FLOAT[]::DOUBLE[] AS
 
 def _nearest(metric: str = "l2") -> str:
     """Ranked cells of every vector."""
-    measure = {"l2": "list_distance(e.v, c.v)", "ip": "-list_inner_product(e.v, c.v)"}[metric]
+    measure = {"l2": "list_distance(e.v, c.v)", "ip": "-list_inner_product(e.v, c.v)",
+        "cos": "-list_cosine_similarity(e.v, c.v)"}[metric]
     return f"""SELECT e.vec_id, c.cell_id, row_number() OVER (PARTITION BY e.vec_id ORDER BY {measure}, c.cell_id) AS pos
       FROM e, c"""
 
@@ -173,7 +174,7 @@ def oracle() -> dict[str, str]:
         CAST(n.vec_id % 8 AS INTEGER) AS shard_id, {_DISTANCES['l2']} AS distance FROM e q, e n)
       SELECT query_id, neighbor_id, round(distance, 6) AS distance, shard_id, CAST(row_number() OVER
         (PARTITION BY query_id, shard_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM d QUALIFY rank <= 10"""
-    sql["sharded_search"] = sql["merge_topk"] = _topk()
+    sql["sharded_search"] = sql["merge_topk"] = sql["exact_knn_blocks"] = _topk()
     sql["late_materialize"] = (
         f"WITH {_knn('h', 10)} SELECT query_id, neighbor_id, round(distance, 6) AS distance, rank, label FROM h"
     )
@@ -185,6 +186,9 @@ def oracle() -> dict[str, str]:
         max(vec_id) AS max_id FROM a GROUP BY cell_id"""
     hits = "SELECT query_id, neighbor_id, round(distance, 6) AS distance, rank FROM h"
     sql["ivf_search"] = f"WITH {_CELLS}, {_ivf('h', 10, 3)} {hits}"
+    sql["ivf_search_blocks"] = sql["sharded_ivf_search"] = sql["ivf_search"]
+    sql["kmeans_ivf_checks"] = """SELECT nprobe, (SELECT count(*) FROM embeddings) AS n_queries, 0 AS n_worse, 0 AS n_wrong
+        FROM (VALUES (1), (4), (16)) t(nprobe)"""
     sql["ivf_search_ip"] = f"WITH {_CELLS}, {_ivf('h', 10, 3, 'ip')} {hits}"
     probes = (1, 2, 4, 10)
     sweeps = ", ".join(_ivf(f"h{n}", 10, n, exclude_self=True) for n in probes)
@@ -243,6 +247,11 @@ def oracle() -> dict[str, str]:
         (row_number() OVER (PARTITION BY cell_id ORDER BY vec_id) - 1) // 30 AS part FROM a)
       SELECT vec_id AS row_id, cell_id::BIGINT AS cell_id,
         CAST(dense_rank() OVER (ORDER BY cell_id, part) - 1 AS INTEGER) AS shard_id FROM p"""
+    sql["semantic_shards_all_rows"] = f"""WITH {_E}, {_CENTROIDS}, a AS (SELECT vec_id,
+          CASE WHEN vec_id % 10 IN (3, 7) THEN -1 ELSE cell_id END AS cell_id FROM ({_nearest('cos')}) WHERE pos = 1),
+        p AS (SELECT vec_id, cell_id, (row_number() OVER (PARTITION BY cell_id ORDER BY vec_id) - 1) // 30 AS part FROM a)
+      SELECT vec_id AS row_id, cell_id::BIGINT AS cell_id,
+        CAST(dense_rank() OVER (ORDER BY cell_id, part) - 1 AS INTEGER) AS shard_id FROM p"""
     sql["shard_filter"] = _elements("(SELECT vec_id AS id, embedding FROM embeddings WHERE label = 3)", "id", "embedding")
     sql["shard_stats"] = f"""WITH {_MEANS}, n AS (SELECT label, count(*) AS n_vectors FROM embeddings GROUP BY label)
       SELECT label::BIGINT AS shard_id, n_vectors, round(sqrt(list_inner_product(v, v)), 6) AS centroid_norm
@@ -312,6 +321,11 @@ def oracle() -> dict[str, str]:
     sql["tfidf_terms"] = f"WITH {_TERMS} SELECT term, term_id, df, total, round(idf, 6) AS idf FROM terms"
     sql["tfidf_weights"] = f"""WITH {_TERMS} SELECT doc_id, term_id, tf, round(tf * idf, 6) AS weight
         FROM d JOIN terms USING (term)"""
+    sql["tfidf_svd_products"] = f"""WITH {_TERMS}, cells AS (SELECT doc_id, term_id, tf * idf AS weight FROM d JOIN terms USING (term)),
+        sums AS (SELECT a.doc_id, sum(a.weight * a.weight) AS square, sum(a.weight * coalesce(b.weight, 0)) AS product
+          FROM cells a LEFT JOIN cells b ON b.doc_id = a.doc_id + 1 AND b.term_id = a.term_id GROUP BY a.doc_id)
+      SELECT doc_id, round(coalesce(square, 0), 3) AS square, round(coalesce(product, 0), 3) AS product, TRUE AS same
+        FROM documents LEFT JOIN sums USING (doc_id)"""
     sql["text_to_shards"] = """SELECT count(*) AS n_vectors, TRUE AS within_cap, min(doc_id) AS min_id, max(doc_id) AS max_id
         FROM documents"""
     whole = [_knn("t", 100)] + [_knn(f"h_{p}", 100, precision=p) for p in _VECTORS]
@@ -322,4 +336,5 @@ def oracle() -> dict[str, str]:
         any_value(n_vectors * dims * element_bytes)::BIGINT AS memory_bytes
       FROM s JOIN (SELECT * FROM {_SIZES}, {_BYTES}) USING (precision), (VALUES ('flat'), ('ivf')) x(engine)
       GROUP BY engine, precision, k"""
+    sql["run_evaluation_local"] = sql["run_evaluation"]
     return sql

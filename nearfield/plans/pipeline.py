@@ -42,20 +42,19 @@ def text_to_shards(spark: SparkSession, config: PipelineConfig) -> DataFrame:
     documents = spark.read.parquet(config.input_path).select("doc_id", "text")
     embedded = embed.tfidf_svd(documents, config.tfidf_features, config.svd_components, config.min_doc_freq)
     vectors = materialize(embedded.select(F.col("doc_id").alias("row_id"), F.col("embedding").alias("vector")), "embedded")
-    centroids = ivf.train_centroids(
-        vectors,
-        config.num_clusters,
-        config.clustering_sample_rate,
-        config.kmeans_iterations,
-        min_sample=64 * config.num_clusters,
-    )
+    centroids = ivf.train_centroids(vectors, config.num_clusters, config.clustering_sample_rate, config.kmeans_iterations)
     placed = shards.semantic(ivf.assign_cells(vectors, centroids), config.max_vectors_per_shard)
     rows = placed.select(F.col("row_id").alias("id"), F.col("vector").alias("embedding"), "shard_id")
     return shards.write_shards(rows, config.output_path)
 
 
-def query_by_vector(spark: SparkSession, base: DataFrame, json_path: str, k: int = 10, metric: str = "l2") -> DataFrame:
-    """Top-K for the vectors of a JSON file ``{"query": ..., "vector": [...]}`` (one object or several)."""
+def query_by_vector(
+    spark: SparkSession, base: DataFrame, json_path: str, k: int = PipelineConfig.default_top_k, metric: str = "l2"
+) -> DataFrame:
+    """Top-K for the vectors of a JSON file ``{"query": ..., "vector": [...]}`` (one object or several).
+
+    Pass ``config.default_top_k`` as ``k`` to follow a pipeline file.
+    """
     asked = spark.read.schema("query string, vector array<double>").option("multiLine", True).json(json_path)
     rows = asked.select("query", "vector").withColumn("query_id", F.xxhash64("query", F.col("vector").cast("string")))
     hits = knn.exact_knn(base, rows.dropDuplicates(["query_id"]), k, metric)

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions import distance, quantize, text
 from nearfield.operators import batch, embed, evaluate, ivf, knn, report, shards
 from nearfield.plans import evaluation, pipeline
-from nearfield.session import scratch_path
+from nearfield.session import materialize, scratch_path
 from nearfield.sources import catalog, vecbin
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,8 +83,8 @@ def coarse_hits_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    centroids = centroids_of(spark, sf_dir)
-    base = base_of(spark, sf_dir).select("row_id", "vector")
+    centroids = materialize(centroids_of(spark, sf_dir), "centroids")
+    base = shards.round_robin(base_of(spark, sf_dir).select("row_id", "vector"), N_SHARDS)
     return ivf.build_ivf(base, centroids, scratch_path(spark, "index")), centroids
 
 
@@ -129,6 +129,12 @@ def exact_knn_cos(spark, sf_dir):
     return hits_out(knn.exact_knn(*vectors_of(spark, sf_dir), 10, "cos"))
 
 
+@query
+def exact_knn_blocks(spark, sf_dir):
+    """The same lists when the query set is searched block by block."""
+    return hits_out(knn.exact_knn(*vectors_of(spark, sf_dir), 10, block_rows=300))
+
+
 @query
 def precision_i8_topk(spark, sf_dir):
     return hits_out(knn.exact_knn(*vectors_of(spark, sf_dir), 10, "l2", "i8"))
@@ -192,6 +198,18 @@ def ivf_search(spark, sf_dir):
     return hits_out(ivf.search_ivf(index, centroids, asked_of(spark, sf_dir), 10, nprobe=3))
 
 
+@query
+def ivf_search_blocks(spark, sf_dir):
+    index, centroids = index_of(spark, sf_dir)
+    return hits_out(ivf.search_ivf(index, centroids, asked_of(spark, sf_dir), 10, nprobe=3, block_rows=300))
+
+
+@query
+def sharded_ivf_search(spark, sf_dir):
+    index, centroids = index_of(spark, sf_dir)
+    return hits_out(ivf.sharded_ivf(index, centroids, asked_of(spark, sf_dir), 10, 3, N_SHARDS))
+
+
 @query
 def ivf_search_ip(spark, sf_dir):
     index, centroids = index_of(spark, sf_dir)
@@ -210,7 +228,7 @@ def nprobe_sweep(spark, sf_dir):
 @query
 def kmeans_ivf_search(spark, sf_dir):
     base = base_of(spark, sf_dir).select("row_id", "vector")
-    centroids = ivf.train_centroids(base, 16, sample_rate=1.0)
+    centroids = ivf.train_centroids(base, 16)
     index = ivf.build_ivf(base, centroids, scratch_path(spark, "index"))
     return hits_out(ivf.search_ivf(index, centroids, asked_of(spark, sf_dir), 10, nprobe=4))
 
@@ -219,11 +237,35 @@ def kmeans_ivf_search(spark, sf_dir):
 def kmeans_ivf_full_probe(spark, sf_dir):
     """Probing every cell must give the exact answer, whatever the centroids are."""
     base = base_of(spark, sf_dir).select("row_id", "vector")
-    centroids = ivf.train_centroids(base, 16, sample_rate=0.5)
+    centroids = ivf.train_centroids(base, 16)
     index = ivf.build_ivf(base, centroids, scratch_path(spark, "index"))
     return hits_out(ivf.search_ivf(index, centroids, asked_of(spark, sf_dir), 10, nprobe=16))
 
 
+@query
+def kmeans_ivf_checks(spark, sf_dir):
+    """What holds for any centroids: more probes never worsen a best distance, and distances are those of the pairs."""
+    base, asked = vectors_of(spark, sf_dir)
+    centroids = ivf.train_centroids(base, 16)
+    index = ivf.build_ivf(base.select("row_id", "vector"), centroids, scratch_path(spark, "index"))
+    runs = None
+    for nprobe in (1, 4, 16):
+        hits = ivf.search_ivf(index, centroids, asked, 10, nprobe).withColumn("nprobe", F.lit(nprobe))
+        runs = hits if runs is None else runs.unionByName(hits)
+    runs = materialize(runs, "runs")
+    best = runs.filter(F.col("rank") == 1).withColumn(
+        "fewer", F.lag("distance").over(Window.partitionBy("query_id").orderBy("nprobe"))
+    )
+    worse = best.groupBy("nprobe").agg(
+        F.count("*").alias("n_queries"), F.count_if(F.col("distance") > F.col("fewer")).alias("n_worse")
+    )
+    pairs = runs.join(asked, "query_id").join(
+        base.select(F.col("row_id").alias("neighbor_id"), F.col("vector").alias("found")), "neighbor_id"
+    )
+    gap = F.abs(distance.l2sq(F.col("vector"), F.col("found")) - F.col("distance"))
+    return worse.join(pairs.groupBy("nprobe").agg(F.count_if(gap > 1e-9).alias("n_wrong")), "nprobe")
+
+
 @query
 def query_by_vector(spark, sf_dir):
     means = batch.vector_means(base_of(spark, sf_dir), "label", "vector")
@@ -407,6 +449,15 @@ def semantic_shards(spark, sf_dir):
     return shards.semantic(assigned, 30).select("row_id", "cell_id", "shard_id")
 
 
+@query
+def semantic_shards_all_rows(spark, sf_dir):
+    """Zero and missing vectors have no cell under cosine and are kept all the same."""
+    base, number = base_of(spark, sf_dir), F.col("row_id") % 10
+    vector = F.when(number == 3, _stretched(0.0)).when(number != 7, F.col("vector"))
+    assigned = ivf.assign_cells(base.select("row_id", vector.alias("vector")), centroids_of(spark, sf_dir), "cos")
+    return shards.semantic(assigned, 30).select("row_id", "cell_id", "shard_id")
+
+
 @query
 def shard_filter(spark, sf_dir):
     path = scratch_path(spark, "shards")
@@ -713,11 +764,45 @@ def tfidf_svd_embed(spark, sf_dir):
     return embed.tfidf_svd(table(spark, sf_dir, "documents"))
 
 
+@query
+def tfidf_svd_products(spark, sf_dir):
+    """With as many components as terms, embeddings keep the products of the weight rows.
+
+    Each document with itself and with the next number; the products of the weights are
+    returned, and whether those of the embeddings equal them.
+    """
+    documents, features = table(spark, sf_dir, "documents"), 1024
+    weights = embed.tfidf(documents, embed.vocabulary(documents, features)).select("doc_id", "term_id", "weight")
+    after = weights.select((F.col("doc_id") - 1).alias("doc_id"), "term_id", F.col("weight").alias("next"))
+    sums = weights.join(after, ["doc_id", "term_id"], "left").groupBy("doc_id").agg(
+        F.sum(F.col("weight") * F.col("weight")).alias("square"),
+        F.sum(F.col("weight") * F.coalesce("next", F.lit(0.0))).alias("product"),
+    )
+    embedded = materialize(embed.tfidf_svd(documents, features, features), "embedded")
+    later = embedded.select((F.col("doc_id") - 1).alias("doc_id"), F.col("embedding").alias("next"))
+
+    def dot(a: str, b: str) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+
+    found = embedded.join(later, "doc_id", "left").select(
+        "doc_id",
+        dot("embedding", "embedding").alias("own"),
+        F.coalesce(dot("embedding", "next"), F.lit(0.0)).alias("other"),
+        F.coalesce(dot("next", "next"), F.lit(0.0)).alias("size"),
+    )
+    expected = {name: F.coalesce(name, F.lit(0.0)) for name in ("square", "product")}
+    bound = 1e-4 * F.greatest(F.lit(1.0), F.col("square"), F.sqrt(F.col("square") * F.col("size")))
+    checked = found.join(sums, "doc_id", "left").withColumns(expected)
+    same = (F.abs(F.col("own") - F.col("square")) <= bound) & (F.abs(F.col("other") - F.col("product")) <= bound)
+    return checked.select("doc_id", F.round("square", 3).alias("square"), F.round("product", 3).alias("product"), same.alias("same"))
+
+
 @query
 def text_to_shards(spark, sf_dir):
     cap = 200
     config = pipeline.PipelineConfig(
-        f"{sf_dir}/documents.parquet", scratch_path(spark, "vectors"), svd_components=64, max_vectors_per_shard=cap
+        f"{sf_dir}/documents.parquet", scratch_path(spark, "vectors"), svd_components=64, max_vectors_per_shard=cap,
+        clustering_sample_rate=1.0,
     )
     metadata = pipeline.text_to_shards(spark, config)
     return metadata.agg(
@@ -733,6 +818,15 @@ def text_to_shards(spark, sf_dir):
 
 @query
 def run_evaluation(spark, sf_dir):
+    return _evaluated(spark, sf_dir, "cluster")
+
+
+@query
+def run_evaluation_local(spark, sf_dir):
+    return _evaluated(spark, sf_dir, "local")
+
+
+def _evaluated(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     """The embeddings as dataset files, then every engine and precision.
 
     The index search probes all cells here, so its scores are reproducible.
@@ -745,7 +839,7 @@ def run_evaluation(spark, sf_dir):
     vecbin.write_truth(knn.exact_knn(base, asked_of(spark, sf_dir), 100), f"{folder}/groundtruth.ibin")
     definition = catalog.DatasetDefinition("embeddings", 64, "l2", "fbin", "ibin", None, 0, 100)
     dataset = catalog.load_dataset(spark, "embeddings", root, definition)
-    config = evaluation.EvaluationConfig(nlist=16, nprobe=16, num_queries=-1)
+    config = evaluation.EvaluationConfig(mode, nlist=16, nprobe=16, num_queries=-1)
     runs = evaluation.run_evaluation(spark, dataset, config)
     scores = runs.select("*", F.explode("recall_at_k").alias("k", "recall"))
     return scores.select(

@@ -71,7 +71,7 @@ def test_text_to_shards(spark, sf_dir, tmp_path):
     settings = {
         "pipeline": {"input_path": f"{sf_dir}/documents.parquet", "output_path": str(tmp_path / "out"), "vector_dimensions": 512},
         "embedding": {"model_type": "tfidf_svd", "tfidf_features": 200, "svd_components": 16, "min_doc_freq": 2},
-        "sharding": {"max_vectors_per_shard": 30, "clustering_sample_rate": 0.01, "kmeans_iterations": 5},
+        "sharding": {"max_vectors_per_shard": 30, "clustering_sample_rate": 1.0, "kmeans_iterations": 5},
         "query": {"default_top_k": 10},
     }
     (tmp_path / "config.json").write_text(json.dumps(settings))

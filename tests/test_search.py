@@ -37,7 +37,7 @@ def test_k_larger_than_the_base(data, spark):
 
 def test_unknown_metric_and_bad_k(data):
     _, _, b, q = data
-    with pytest.raises(ValueError, match="Unsupported metric"):
+    with pytest.raises(ValueError, match="not one of the metrics"):
         knn.exact_knn(b, q, 5, "hamming")
     with pytest.raises(ValueError, match="k must be"):
         knn.exact_knn(b, q, 0)
@@ -58,30 +58,32 @@ def test_null_vectors_are_left_out(data, spark):
     assert_lists(knn.exact_knn(b.unionByName(extra), q, 5), range(41), brute_force(range(900), base, queries, 5))
 
 
-def test_many_query_blocks(data, monkeypatch):
+def test_many_query_blocks(data):
     base, queries, b, q = data
-    monkeypatch.setattr(knn, "_ONE_BLOCK_ROWS", 4)
-    monkeypatch.setattr(knn, "_block_rows", lambda *_: 10)
-    assert_lists(knn.exact_knn(b, q, 12), range(41), brute_force(range(900), base, queries, 12))
+    assert_lists(knn.exact_knn(b, q, 12, block_rows=10), range(41), brute_force(range(900), base, queries, 12))
+
+
+@pytest.mark.parametrize("block_rows", [1, 3, 40, 41])
+def test_blocks_hold_every_query_once(data, block_rows):
+    base, queries, b, q = data
+    tables = [t for t, _ in knn._blocks(q.repartition(1), 5, 1, None, block_rows)]
+    assert max(t.num_rows for t in tables) <= block_rows
+    assert sorted(i for t in tables for i in t.column("query_id").to_pylist()) == list(range(41))
 
 
-def test_blocks_split_when_a_range_is_too_large(spark, data, monkeypatch):
+def test_blocks_of_three(data):
     base, queries, b, q = data
-    monkeypatch.setattr(knn, "_ONE_BLOCK_ROWS", 4)
-    sizes = iter([10] + [3] * 1000)
-    blocks = list(knn._blocks(q.repartition(1), 5, 1, None))
-    assert sum(t.num_rows for t, _ in blocks) == 41
-    monkeypatch.setattr(knn, "_block_rows", lambda *_: next(sizes))
-    assert_lists(knn.exact_knn(b, q, 3), range(41), brute_force(range(900), base, queries, 3))
+    assert_lists(knn.exact_knn(b, q, 3, block_rows=3), range(41), brute_force(range(900), base, queries, 3))
 
 
-def test_repeated_query_ids_are_refused_when_blocked(spark, monkeypatch, data):
+def test_repeated_query_ids_are_refused_on_every_path(spark, data, centroids):
     _, _, b, _ = data
-    monkeypatch.setattr(knn, "_ONE_BLOCK_ROWS", 4)
-    monkeypatch.setattr(knn, "_block_rows", lambda *_: 10)
-    same = table_of(spark, [1] * 50, np.zeros((50, 8)), "query_id")
-    with pytest.raises(ValueError, match="repeat"):
-        knn.exact_knn(b, same, 3)
+    same = table_of(spark, [*range(49), 7], np.random.default_rng(1).normal(size=(50, 8)), "query_id")
+    for block_rows in (None, 10):
+        with pytest.raises(ValueError, match="unique"):
+            knn.exact_knn(b, same, 3, block_rows=block_rows)
+        with pytest.raises(ValueError, match="unique"):
+            ivf.search_ivf(b.withColumn("cell_id", F.lit(0)), centroids[0], same, 3, 2, block_rows=block_rows)
 
 
 def test_repeated_query_ids_are_refused(spark, data):
@@ -215,13 +217,18 @@ def test_cells_and_probes(spark, data, centroids):
         assert found.get(i, ([], []))[0] == list(want)
 
 
-def test_blocked_index_search(spark, data, centroids, monkeypatch):
+def test_sharded_index_search(spark, data, centroids):
+    _, _, b, q = data
+    index = ivf.build_ivf(shards.round_robin(b, 5), centroids[0], scratch_path(spark, "index"))
+    whole = lists_of(ivf.search_ivf(index, centroids[0], q, 8, 3))
+    assert lists_of(ivf.sharded_ivf(index, centroids[0], q, 8, 3, 5)) == whole
+
+
+def test_blocked_index_search(spark, data, centroids):
     _, _, b, q = data
     index = ivf.build_ivf(b, centroids[0], scratch_path(spark, "index"))
     whole = lists_of(ivf.search_ivf(index, centroids[0], q, 8, 3))
-    monkeypatch.setattr(knn, "_ONE_BLOCK_ROWS", 4)
-    monkeypatch.setattr(knn, "_block_rows", lambda *_: 12)
-    assert lists_of(ivf.search_ivf(index, centroids[0], q, 8, 3)) == whole
+    assert lists_of(ivf.search_ivf(index, centroids[0], q, 8, 3, block_rows=12)) == whole
 
 
 def test_more_probes_find_no_less(spark, data, centroids):
