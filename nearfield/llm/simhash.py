@@ -60,7 +60,8 @@ def _fingerprints(width: int):
         for batch in batches:
             for part in slices(batch):
                 prints = np.array([fingerprint(x, width) for x in raw(part.column("text"))], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints)], ["doc_id", "print"])
+                kept = [x for x in part.schema.names if x != "text"]
+                yield pa.RecordBatch.from_arrays([*map(part.column, kept), pa.array(prints)], [*kept, "print"])
 
     return run
 
@@ -180,11 +181,21 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3, scan_limit:
     return prints.join(materialize(labels, "groups"), "print").select("doc_id", "print", "component_id")
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without near duplicates: of each group the row named by its component stays.
+def keep_first(docs: DataFrame, width: int = 3, most: int = 3, scan_limit: int = 4096) -> DataFrame:
+    """``docs`` without near duplicates: of each group exactly one row stays, whatever its doc_id.
 
-    Where rows repeat that doc_id, one of them stays.
+    It is the row with the smallest doc_id (null after all others), then with the smallest hash
+    of its text; of rows equal in both one stays.
     """
-    found = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(found.withColumnRenamed("doc_id", "_kept_id"), F.col("doc_id").cast("bigint").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    marked = in_arrow(texts_of(docs).withColumn("mark", mark), _fingerprints(width), "doc_id bigint, mark bigint, print bigint")
+    prints = materialize(marked, "prints")
+    # A null doc_id is ranked by its own field, as a null is the smallest value of a struct.
+    firsts = prints.groupBy("print").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first"))
+    firsts = materialize(firsts, "firsts")
+    found = components(similar_pairs(firsts.select("print"), most, scan_limit)).withColumnRenamed("node", "print")
+    groups = firsts.join(found, "print", "left").groupBy(F.coalesce("root", "print").alias("root")).agg(F.min("first").alias("first"))
+    chosen = groups.select(F.col("first.doc_id").alias("_kept_id"), F.col("first.mark").alias("_kept_mark"))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_kept_id")) & (F.col("_mark") == F.col("_kept_mark"))
+    kept = docs.withColumn("_mark", mark).join(materialize(chosen, "chosen"), same, "left_semi")
+    return kept.dropDuplicates(["doc_id", "_mark"]).drop("_mark")

@@ -118,3 +118,12 @@ def test_keep_first(docs, odd, rows):
     assert kept == sorted({c for _, _, c in brute(rows)})
     assert set(simhash.keep_first(docs).columns) == set(docs.columns)
     assert len(simhash.keep_first(odd).collect()) == len({c for _, _, c in brute(ODD)})
+
+
+def test_keep_first_keeps_one_row_of_each_group(spark):
+    """Whatever the ids: null ones, and ids that rows with different texts repeat."""
+    texts = [" ".join(random.Random(i).choices([f"w{j}" for j in range(500)], k=60)) for i in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (5, texts[2]), (None, texts[4]), (9, texts[4]), (9, texts[5])]
+    assert len({plain_print(t) for t in texts}) == 6
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_first(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(None, texts[0]), (None, texts[1]), (5, texts[2]), (7, texts[3]), (9, texts[4]), (9, texts[5])], key=str)
