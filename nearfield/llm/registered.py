@@ -51,7 +51,7 @@ def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_word_backoff_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = langid.held_out(F.col("doc_id"), 5, 0)
-    found = langid.predict(docs, langid.train(docs.where(~held)))
+    found = langid.predict(docs, langid.train(docs.where(~held)), with_text=False)
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 

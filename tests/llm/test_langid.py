@@ -119,3 +119,17 @@ def test_cache_starts_afresh(monkeypatch, docs):
     monkeypatch.setattr(langid, "CACHE_WORDS", 10)
     one = langid.Scorer(model)
     assert [one.predict_all([t])[0] for t in texts] == want
+
+
+def test_small_broadcasts_cut_nothing(spark, docs, odd):
+    """What is not broadcast is looked up: all predictions and scores are those of the whole tables."""
+    whole = langid.train(docs.where("doc_id % 2 = 0"))
+    assert whole.all_words is None
+    texts = docs.select("doc_id", "text").union(odd)
+    want = sorted(map(tuple, langid.predict(texts, whole).collect()), key=str)
+    for words, grams in ((50, 100), (0, 0), (50, 10**9)):
+        small = langid.train(docs.where("doc_id % 2 = 0"), max_words=words, max_grams=grams)
+        assert len(small.words) <= words and small.all_words.count() == len(whole.words) and small.all_grams.count() == len(whole.grams)
+        got = sorted(map(tuple, langid.predict(texts, small).collect()), key=str)
+        assert [x[:3] for x in got] == [x[:3] for x in want]
+        np.testing.assert_allclose([x[3] for x in got], [x[3] for x in want], atol=1e-3)
