@@ -7,6 +7,7 @@ blocked labels does not differ significantly from their parent's merge into it a
 rejected when its smoothed labelled purity (its blocked share, drawn to one half or to the
 host's share if that is lower) reaches ``threshold``; a template without labels is never that pure.
 
+Paths of any depth count whole: a round of the tree takes each node to its next branching.
 The tree is built on the counts of distinct (host, path shape), which are
 aggregated per task before they move; the pages themselves move once, for the join with
 their shape's verdict, an equi-join that adaptive execution splits at a hot host.
@@ -42,14 +43,13 @@ def parsed(url: Column) -> tuple[Column, Column]:
     return F.translate(host, UPPER, LOWER), path
 
 
-def _segment(segments: Column, i: int) -> Column:
-    """Segment i with numbers, hashes and identifiers as classes; '' beyond the end."""
-    found = F.coalesce(F.get(segments, F.lit(i)), F.lit(""))
-    found = F.regexp_replace(found, "[0-9a-fA-F]{16,}", "{h}")
-    return F.regexp_replace(found, "[0-9]+", "{n}")
+def _shape(path: Column) -> Column:
+    """The path without its outer slashes, numbers, hashes and identifiers in it as classes."""
+    shape = F.regexp_replace(F.regexp_replace(path, "^/", ""), "/+$", "")
+    return F.regexp_replace(F.regexp_replace(shape, "[0-9a-fA-F]{16,}", "{h}"), "[0-9]+", "{n}")
 
 
-def judged(pages: DataFrame, rules: list[Rule], depth: int = 4, wide: int = 20, rare: float = 0.02, z: float = 1.96, weight: float = 4.0, threshold: float = 0.8) -> DataFrame:
+def judged(pages: DataFrame, rules: list[Rule], wide: int = 20, rare: float = 0.02, z: float = 1.96, weight: float = 4.0, threshold: float = 0.8) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity) of every row.
 
     ``rule`` is the longest fitting rule's target, else null.  Null and empty
@@ -63,17 +63,24 @@ def judged(pages: DataFrame, rules: list[Rule], depth: int = 4, wide: int = 20,
     for r in reversed(ordered):
         fits = r.fits(F.col("host"), F.col("path"))
         rule, verdict = F.when(fits, F.lit(r.target)).otherwise(rule), F.when(fits, F.lit(r.verdict)).otherwise(verdict)
-    segments = F.split(F.regexp_replace("path", "^/", ""), "/", depth + 1)
-    levels = [f"s{i}" for i in range(depth)]
-    shaped = rows.select(
-        "page_id", "host", "path", rule.alias("rule"), verdict.alias("fixed"), *[_segment(segments, i).alias(s) for i, s in enumerate(levels)]
-    )
+    shaped = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("fixed"), _shape(F.col("path")).alias("shape"))
     labelled, blocked = F.col("fixed").isNotNull().cast("bigint"), (F.col("fixed") == "block").cast("bigint")
     sums = [F.sum(x).alias(x) for x in ("n", "labelled", "blocked")]
-    tree = shaped.groupBy("host", *levels).agg(F.count("*").alias("n"), F.sum(labelled).alias("labelled"), F.coalesce(F.sum(blocked), F.lit(0)).alias("blocked"))
-    tree = materialize(tree.withColumn("template", F.lit("")), "paths")
-    for s in levels:
-        children = tree.groupBy("host", "template", s).agg(*sums)
+    tree = shaped.groupBy("host", "shape").agg(F.count("*").alias("n"), F.sum(labelled).alias("labelled"), F.coalesce(F.sum(blocked), F.lit(0)).alias("blocked"))
+    rest = F.when(F.col("shape") == "", F.array().cast("array<string>")).otherwise(F.split("shape", "/"))
+    tree = materialize(tree.withColumns({"template": F.lit(""), "rest": rest}), "paths")
+    ready = []
+    while not tree.isEmpty():
+        # What all shapes below a node begin with is no branch, so long paths take no round a segment.
+        nodes = tree.groupBy("host", "template").agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"))
+        nodes = nodes.withColumn("apart", F.expr("int(array_position(zip_with(lo, hi, (a, b) -> a <=> b), false))"))
+        nodes = nodes.select("host", "template", "apart", F.expr("if(apart = 0, size(lo), apart - 1)").alias("skip"))
+        longer = F.expr("if(skip = 0, template, concat(template, '/', array_join(slice(rest, 1, skip), '/')))")
+        tree = tree.join(nodes, ["host", "template"]).withColumns({"template": longer, "rest": F.expr("slice(rest, skip + 1, size(rest))")})
+        tree = materialize(tree.withColumn("s", F.expr("if(size(rest) = 0, '', concat('/', rest[0]))")).drop("skip"), "paths")
+        ready.append(tree.where("apart = 0"))
+        tree = tree.where("apart > 0").drop("apart")
+        children = tree.groupBy("host", "template", "s").agg(*sums)
         parents = children.groupBy("host", "template").agg(
             F.sum("n").alias("all"), F.count("*").alias("kids"), F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked")
         )
@@ -82,16 +89,23 @@ def judged(pages: DataFrame, rules: list[Rule], depth: int = 4, wide: int = 20,
         apart = (F.col("labelled") > 0) & (F.abs(own - F.col("all_blocked") / F.col("all_labelled")) > z * F.sqrt(p * (1 - p) / F.col("labelled")))
         odd = (F.col("kids") > wide) & (F.col("n") < rare * F.col("all"))
         alike = (F.col("kids") > 1) & ~F.coalesce(apart, F.lit(False))
-        branch = F.when(F.col(s) == "", "").when(odd | alike, "/*").otherwise(F.concat(F.lit("/"), F.col(s)))
-        named = children.join(parents, ["host", "template"]).select("host", "template", s, F.concat("template", branch).alias("longer"))
-        tree = tree.join(named, ["host", "template", s]).drop("template").withColumnRenamed("longer", "template")
-        tree = materialize(tree.select("host", *levels, "n", "labelled", "blocked", "template"), "paths")
+        branch = F.when(F.col("s") == "", "").when(odd | alike, "/*").otherwise(F.col("s"))
+        named = children.join(parents, ["host", "template"]).select("host", "template", "s", F.concat("template", branch).alias("longer"))
+        tree = tree.join(named, ["host", "template", "s"]).drop("template").withColumnRenamed("longer", "template")
+        tree = materialize(tree.withColumn("rest", F.expr("slice(rest, 2, size(rest))")), "paths")
+        ready.append(tree.where("s = ''"))
+        tree = tree.where("s != ''").drop("s")
+    columns = ["host", "shape", "n", "labelled", "blocked", "template"]
+    tree = tree.select(*columns)
+    for part in ready:
+        tree = tree.union(part.select(*columns))
+    tree = materialize(tree, "paths")
     drawn = lambda prior: (F.col("blocked") + weight * prior) / (F.col("labelled") + weight)
     # A host can only speak for a template that has no labels: its own labels must reject it.
     hosts = tree.groupBy("host").agg(*sums).select("host", F.least(drawn(F.lit(0.5)), F.lit(0.5)).alias("prior"))
     templates = tree.groupBy("host", "template").agg(*sums).join(hosts, "host").select("host", "template", drawn(F.col("prior")).alias("purity"))
-    shapes = tree.join(templates, ["host", "template"]).select("host", *levels, "template", "purity")
-    return shaped.join(shapes, ["host", *levels]).select(
+    shapes = tree.join(templates, ["host", "template"]).select("host", "shape", "template", "purity")
+    return shaped.join(shapes, ["host", "shape"]).select(
         "page_id", "host", "path", "rule",
         F.coalesce("fixed", F.when(F.col("purity") >= threshold, "block").otherwise("allow")).alias("verdict"), "template", "purity",
     )

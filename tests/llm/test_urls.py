@@ -82,3 +82,19 @@ def test_wide_branches_become_wildcards(spark):
     rows = [(i, f"http://a.net/item/slug{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(400)]
     found = {r["template"] for r in urls.judged(pages(spark, rows), []).collect()}
     assert found == {"/item/*"}
+
+
+def test_deep_segments_are_told_apart(spark):
+    """Branches that begin at the fifth segment and below, and long paths that differ at their ends."""
+    rows, n = [], 0
+    for i in range(100):
+        for branch in ("bad", "good", "good/x/y/bad", "good/x/y/fine"):
+            rows.append((n := n + 1, f"http://a.net/a/b/c/d/{branch}/{i}"))
+    long = "l/" * 900
+    rows += [(n + 1, f"http://b.net/{long}x"), (n + 2, f"http://b.net/{long}y"), (n + 3, f"http://b.net/{long}")]
+    rules = [urls.Rule("block", "a.net/a/b/c/d/bad/1"), urls.Rule("allow", "a.net/a/b/c/d/good/1"), urls.Rule("block", "a.net/a/b/c/d/good/x/y/bad/1"), urls.Rule("allow", "a.net/a/b/c/d/good/x/y/fine/1")]
+    got = {r["page_id"]: r for r in urls.judged(pages(spark, rows), rules).collect()}
+    assert len(got) == len(rows)
+    for page, url in rows:
+        assert got[page]["verdict"] == ("block" if "/bad/" in url else "allow"), got[page]
+    assert {got[n + i]["template"] for i in (1, 2, 3)} == {"/" + long + "x", "/" + long + "y", "/" + long[:-1]}
