@@ -1,9 +1,10 @@
 """URL filtering by a tree of path templates.
 
 Rules decide the URLs they fit, and their verdicts are the labels of a tree of path templates
-kept for each host.  Level by level, segments that are numbers or hashes become classes, rare
-children of a wide node become the wildcard ``*``, and children whose share of
-blocked labels does not differ significantly from their parent's merge into it as well.  A template is
+kept for each host.  Level by level, segments that are numbers or hashes become classes, labelled
+children whose share of blocked labels does not differ significantly from their parent's merge into
+``{alike}``, and rare children of a wide node that have no labels become the wildcard ``*``.  A child that
+differs keeps its segment however rare it is, and one without labels never meets those of its siblings.  A template is
 rejected when its smoothed labelled purity (its blocked share, drawn to one half or to the
 host's share if that is lower) reaches ``threshold``; a template without labels is never that pure.
 
@@ -82,14 +83,16 @@ def judged(pages: DataFrame, rules: list[Rule], wide: int = 20, rare: float = 0.
         tree = tree.where("apart > 0").drop("apart")
         children = tree.groupBy("host", "template", "s").agg(*sums)
         parents = children.groupBy("host", "template").agg(
-            F.sum("n").alias("all"), F.count("*").alias("kids"), F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked")
+            F.sum("n").alias("all"), F.count("*").alias("kids"), F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"),
+            F.count(F.when(F.col("labelled") > 0, 1)).alias("labelled_kids"),
         )
         p = (F.col("all_blocked") + 0.5) / (F.col("all_labelled") + 1)
         own = F.col("blocked") / F.col("labelled")
         apart = (F.col("labelled") > 0) & (F.abs(own - F.col("all_blocked") / F.col("all_labelled")) > z * F.sqrt(p * (1 - p) / F.col("labelled")))
-        odd = (F.col("kids") > wide) & (F.col("n") < rare * F.col("all"))
-        alike = (F.col("kids") > 1) & ~F.coalesce(apart, F.lit(False))
-        branch = F.when(F.col("s") == "", "").when(odd | alike, "/*").otherwise(F.col("s"))
+        # Labels speak for siblings that have some; the others are merged, if at all, among themselves.
+        alike = (F.col("labelled") > 0) & (F.col("labelled_kids") > 1) & ~F.coalesce(apart, F.lit(False))
+        odd = (F.col("labelled") == 0) & (F.col("kids") > wide) & (F.col("n") < rare * F.col("all"))
+        branch = F.when(F.col("s") == "", "").when(alike, "/{alike}").when(odd, "/*").otherwise(F.col("s"))
         named = children.join(parents, ["host", "template"]).select("host", "template", "s", F.concat("template", branch).alias("longer"))
         tree = tree.join(named, ["host", "template", "s"]).drop("template").withColumnRenamed("longer", "template")
         tree = materialize(tree.withColumn("rest", F.expr("slice(rest, 2, size(rest))")), "paths")

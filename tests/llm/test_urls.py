@@ -98,3 +98,26 @@ def test_deep_segments_are_told_apart(spark):
     for page, url in rows:
         assert got[page]["verdict"] == ("block" if "/bad/" in url else "allow"), got[page]
     assert {got[n + i]["template"] for i in (1, 2, 3)} == {"/" + long + "x", "/" + long + "y", "/" + long[:-1]}
+
+
+def test_labels_reject_no_unlabelled_siblings(spark):
+    """Few siblings of a blocked branch, and many rare ones."""
+    rows, n = [], 0
+    for path, times in [("de", 7), ("fr", 2), ("en", 17), ("es", 2)]:
+        rows += [(n := n + 1, f"http://a.net/{path}/{i}") for i in range(times)]
+    rows += [(n := n + 1, f"http://b.net/{'spam' if i == 0 else f'branch{chr(97 + i % 26)}{chr(97 + i // 26)}'}/{j}") for i in range(100) for j in range(10)]
+    got = {r["page_id"]: r["verdict"] for r in urls.judged(pages(spark, rows), [urls.Rule("block", "a.net/de/"), urls.Rule("allow", "a.net/fr/"), urls.Rule("block", "b.net/spam/")]).collect()}
+    for page, url in rows:
+        assert got[page] == ("block" if "/de/" in url or "/spam/" in url else "allow"), url
+
+
+def test_rare_blocked_branch_of_a_wide_host_stays(spark):
+    names = [f"n{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100)]
+    rows, n = [], 0
+    for name in names:
+        rows += [(n := n + 1, f"http://a.net/{name}/{i}") for i in range(80)]
+    rows += [(n := n + 1, f"http://a.net/spam/{i}") for i in range(100)]
+    rules = [urls.Rule("allow", f"a.net/{name}/1") for name in names] + [urls.Rule("block", f"a.net/spam/{i}") for i in range(1, 6)]
+    got = {r["page_id"]: r for r in urls.judged(pages(spark, rows), rules).collect()}
+    for page, url in rows:
+        assert got[page]["verdict"] == ("block" if "/spam/" in url else "allow"), got[page]
