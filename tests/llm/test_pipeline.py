@@ -71,3 +71,12 @@ def test_odd_documents(spark, sf_dir, docs, odd):
     assert found[-1].count() == 0
     kept = {r["doc_id"] for r in stages(spark, labelled, sf_dir)[1].collect()}
     assert kept == {d for d, t in ODD if any(c.isalpha() for c in t or "")}
+
+
+def test_language_stage_without_any_language(spark, sf_dir, odd):
+    """Nothing can be learned: rows with a letter stay all the same."""
+    from pyspark.sql import functions as F
+
+    df = odd.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s")})
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.language(spark, df, sf_dir).collect()), key=str)
+    assert got == sorted(((d, t) for d, t in ODD if any(c.isalpha() for c in t or "")), key=str)
