@@ -1,4 +1,4 @@
-"""The ten corpus operators as registered queries over whole tables."""
+"""The corpus operators as registered queries over whole tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import debruijn, digest, feistel, fmindex, langid, mil, packing, pii, simhash, urls
+from nearfield.llm import debruijn, digest, divergence, feistel, fmindex, langid, maxscore, mil, packing, permutation, pii, simhash, urls
 from nearfield.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,11 +71,25 @@ def op10_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(table(spark, sf_dir, "documents"))
 
 
+def op11_pair_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return permutation.search(rows, rows.where(F.col("vec_id") % 20 == 0))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def registered() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
             op1_attention_quality, op2_simhash_components, op3_feistel_shards, op4_fm_decontamination, op5_vector_packing,
             op6_word_backoff_language, op7_quartile_digest, op8_debruijn_repeats, op9_path_templates, op10_weak_supervision_pii,
+            op11_pair_maxscore, op12_permutation_index, op13_source_divergence,
         )
     }
