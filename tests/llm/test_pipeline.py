@@ -22,7 +22,7 @@ def stages(spark, docs, sf_dir):
 
 def test_registered_names():
     names = [x for x in __spark_entry__.queries() if x.startswith("op")]
-    assert sorted(int(x[2:].split("_")[0]) for x in names) == list(range(1, 11))
+    assert sorted(int(x[2:].split("_")[0]) for x in names) == list(range(1, 14))
     assert "pipeline" in __spark_entry__.queries()
     assert set(registered.registered()) <= set(__spark_entry__.queries())
 
