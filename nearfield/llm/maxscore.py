@@ -1,7 +1,7 @@
 """Ranked lexical search by MaxScore with bounds for pairs of terms.
 
-Documents are cut into shards of bounded size.  A shard keeps, by term, the rows that hold it
-with their impacts, the largest impact, and for chosen pairs of terms what their intersection
+Documents are cut into shards of bounded size.  A shard keeps, by term, the rows that hold it,
+the largest impact, and for chosen pairs of terms what their intersection
 list gives: the largest joint impact of a row that holds both, and the k-th largest.
 
 A query's terms are taken two by two.  No row gets more from a pair than the largest of its
@@ -30,13 +30,15 @@ from nearfield.session import materialize
 
 # Runs of ASCII letters and digits (A-Z lower-cased) and of non-ASCII characters.
 _TERMS = bytes(ord(chr(b).lower()) if chr(b).isascii() and chr(b).isalnum() else b if b > 0x7F else 0x20 for b in range(256))
-# Rows and postings of a shard, and bytes of queries that one broadcast holds.
+# Rows (at most 2**16) and postings of a shard, and bytes of queries that one broadcast holds.
 SHARD_ROWS = 4096
-SHARD_POSTINGS = 1 << 19
+SHARD_POSTINGS = 1 << 18
 BLOCK_BYTES = 4 << 20
 
-_POSTED = "ids array<bigint>, lengths array<bigint>, terms array<int>, starts array<int>, rows array<int>, times array<bigint>, n_docs bigint, n_terms bigint"
-_INDEX = "ids array<bigint>, terms array<int>, starts array<int>, rows array<int>, impacts array<bigint>, pairs array<int>, joint array<bigint>, kth array<bigint>"
+# A posting is a row of the shard (two bytes) and how often it holds the term (four).
+_SHARD = "ids array<bigint>, lengths array<bigint>, terms array<int>, starts array<int>, rows binary, times binary"
+_POSTED = f"{_SHARD}, n_docs bigint, n_terms bigint"
+_INDEX = f"{_SHARD}, single array<bigint>, pairs array<int>, joint array<bigint>, kth array<bigint>"
 
 
 def terms_of(text: bytes) -> list[bytes]:
@@ -89,13 +91,11 @@ def _post(vocabulary: dict[bytes, int]):
         term, row = key // SHARD_ROWS, key % SHARD_ROWS
         terms, starts = np.unique(term, return_index=True)
         length = np.concatenate(lengths)
-        row_of = {
-            "ids": ids, "lengths": length, "terms": terms.astype(np.int32), "starts": np.append(starts, len(key)).astype(np.int32),
-            "rows": row.astype(np.int32), "times": times.astype(np.int64),
-        }
-        lists = [pa.array([x], pa.list_(pa.int64() if name in ("ids", "lengths", "times") else pa.int32())) for name, x in row_of.items()]
+        made = {"ids": (ids, pa.int64()), "lengths": (length, pa.int64()), "terms": (terms.astype(np.int32), pa.int32()), "starts": (np.append(starts, len(key)).astype(np.int32), pa.int32())}
+        lists = [pa.array([x], pa.list_(kind)) for x, kind in made.values()]
+        postings = [pa.array([x.tobytes()], pa.binary()) for x in (row.astype(np.uint16), times.astype(np.uint32))]
         sums = [pa.array([int((length > 0).sum())], pa.int64()), pa.array([int(length.sum())], pa.int64())]
-        return pa.RecordBatch.from_arrays([*lists, *sums], [*row_of, "n_docs", "n_terms"])
+        return pa.RecordBatch.from_arrays([*lists, *postings, *sums], [*made, "rows", "times", "n_docs", "n_terms"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, lengths, places, found, posted = [], [], [], [], 0
@@ -121,43 +121,66 @@ def _post(vocabulary: dict[bytes, int]):
     return run
 
 
-def _lists(batch: pa.RecordBatch, i: int, *names: str) -> list[np.ndarray]:
-    return [batch.column(x)[i].values.to_numpy(zero_copy_only=False) for x in names]
+class Shard:
+    """The postings of one shard with their impacts."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int, weights: np.ndarray, n_docs: int, n_terms: int):
+        self.lengths, self.terms, self.starts = (self.list(batch, i, x) for x in ("lengths", "terms", "starts"))
+        self.rows = np.frombuffer(batch.column("rows")[i].as_py(), np.uint16).astype(np.int64)
+        times = np.frombuffer(batch.column("times")[i].as_py(), np.uint32).astype(np.int64)
+        m = 10 + (90 * self.lengths * n_docs) // n_terms if n_terms else self.lengths
+        self.sizes = np.diff(self.starts)
+        self.impacts = weights[np.repeat(self.terms, self.sizes)] * ((1_000_000_000 * times) // (1000 * times + 8 * m[self.rows]))
+        # Where the postings of a term of the vocabulary are; -1 if the shard has none.
+        self.place = np.full(len(weights), -1)
+        self.place[self.terms] = np.arange(len(self.terms))
+
+    @staticmethod
+    def list(batch: pa.RecordBatch, i: int, name: str) -> np.ndarray:
+        return batch.column(name)[i].values.to_numpy(zero_copy_only=False)
+
+    def postings(self, t: int) -> tuple[np.ndarray, np.ndarray]:
+        at = slice(self.starts[t], self.starts[t + 1])
+        return self.rows[at], self.impacts[at]
+
+
+def joint_maxima(shard: Shard, pairs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers of the pairs with both terms in the shard, largest joint impact, k-th largest; 0 for none)."""
+    here = np.flatnonzero((shard.place[pairs] >= 0).all(axis=1))
+    both, sizes = shard.place[pairs[here]], shard.sizes
+    # The longer list is spread out once for all pairs it is in.
+    both = np.where((sizes[both[:, 0]] >= sizes[both[:, 1]])[:, None], both, both[:, ::-1])
+    joint, kth = np.zeros(len(here), np.int64), np.zeros(len(here), np.int64)
+    wide, last = np.full(len(shard.lengths), -1), -1
+    for j in np.argsort(both[:, 0], kind="stable").tolist():
+        a, b = both[j]
+        if a != last:
+            wide[:] = -1
+            rows, impacts = shard.postings(a)
+            wide[rows] = impacts
+            last = a
+        rows, impacts = shard.postings(b)
+        sums = (wide[rows] + impacts)[wide[rows] >= 0]
+        if len(sums):
+            joint[j] = sums.max()
+            if len(sums) >= k:
+                kth[j] = np.partition(sums, len(sums) - k)[len(sums) - k]
+    return here, joint, kth
 
 
 def _weigh(coupled: Coupled, n_docs: int, n_terms: int, k: int):
-    """Impacts of all postings, and the joint maxima of the pairs."""
+    """Shards with the largest impact of each term and the joint maxima of the pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                lengths, terms, starts, rows, times = _lists(batch, i, "lengths", "terms", "starts", "rows", "times")
-                m = 10 + (90 * lengths * n_docs) // n_terms if n_terms else lengths
-                sizes = np.diff(starts)
-                impacts = coupled.weights[np.repeat(terms, sizes)] * ((1_000_000_000 * times) // (1000 * times + 8 * m[rows]))
-                place = np.full(len(coupled.weights), -1)
-                place[terms] = np.arange(len(terms))
-                here = np.flatnonzero((place[coupled.pairs] >= 0).all(axis=1))
-                # The longer list is spread out once for all pairs it is in.
-                both = place[coupled.pairs[here]]
-                both = np.where((sizes[both[:, 0]] >= sizes[both[:, 1]])[:, None], both, both[:, ::-1])
-                joint, kth = np.zeros(len(here), np.int64), np.zeros(len(here), np.int64)
-                wide, last = np.zeros(len(lengths), np.int64), -1
-                for j in np.argsort(both[:, 0], kind="stable").tolist():
-                    a, b = both[j]
-                    if a != last:
-                        wide[:] = -1
-                        wide[rows[starts[a] : starts[a + 1]]] = impacts[starts[a] : starts[a + 1]]
-                        last = a
-                    theirs = wide[rows[starts[b] : starts[b + 1]]]
-                    sums = (theirs + impacts[starts[b] : starts[b + 1]])[theirs >= 0]
-                    if len(sums):
-                        joint[j] = sums.max()
-                        if len(sums) >= k:
-                            kth[j] = np.partition(sums, len(sums) - k)[len(sums) - k]
-                made = {"impacts": (impacts, pa.int64()), "pairs": (here.astype(np.int32), pa.int32()), "joint": (joint, pa.int64()), "kth": (kth, pa.int64())}
-                kept = [batch.column(x).slice(i, 1) for x in ("ids", "terms", "starts", "rows")]
-                yield pa.RecordBatch.from_arrays([*kept, *[pa.array([x], pa.list_(kind)) for x, kind in made.values()]], ["ids", "terms", "starts", "rows", *made])
+                shard = Shard(batch, i, coupled.weights, n_docs, n_terms)
+                here, joint, kth = joint_maxima(shard, coupled.pairs, k)
+                single = np.maximum.reduceat(shard.impacts, shard.starts[:-1]) if len(shard.terms) else np.empty(0, np.int64)
+                made = {"single": (single, pa.int64()), "pairs": (here.astype(np.int32), pa.int32()), "joint": (joint, pa.int64()), "kth": (kth, pa.int64())}
+                kept = ["ids", "lengths", "terms", "starts", "rows", "times"]
+                lists = [pa.array([x], pa.list_(kind)) for x, kind in made.values()]
+                yield pa.RecordBatch.from_arrays([*[batch.column(x).slice(i, 1) for x in kept], *lists], [*kept, *made])
 
     return run
 
@@ -207,32 +230,26 @@ def _candidates(units: list[tuple[int, list[int]]], postings, n_rows: int, least
     return rows, scores, skipped
 
 
-def _search(coupled: Coupled, least: list[int], k: int):
+def _search(coupled: Coupled, n_docs: int, n_terms: int, least: list[int], k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = [Best(k, x) for x in least]
+        both = coupled.pairs.tolist()
         for batch in batches:
             for i in range(batch.num_rows):
-                terms, starts, rows, impacts, pairs, joint = _lists(batch, i, "terms", "starts", "rows", "impacts", "pairs", "joint")
+                shard = Shard(batch, i, coupled.weights, n_docs, n_terms)
                 named = batch.column("ids")[i].values
                 absent, ids = np.asarray(named.is_null()), named.fill_null(0).to_numpy(zero_copy_only=False)
-                place = np.full(len(coupled.weights), -1)
-                place[terms] = np.arange(len(terms))
-                single = np.zeros(len(coupled.weights), np.int64)
-                if len(terms):
-                    single[terms] = np.maximum.reduceat(impacts, starts[:-1])
+                most = np.zeros(len(coupled.weights), np.int64)
+                most[shard.terms] = shard.list(batch, i, "single")
                 # A pair's bound: the best row with both terms, or with one of them.
-                bound = single[coupled.pairs].max(axis=1)
-                bound[pairs] = np.maximum(bound[pairs], joint)
-                place, single, bound, both = place.tolist(), single.tolist(), bound.tolist(), coupled.pairs.tolist()
-
-                def postings(t: int) -> tuple[np.ndarray, np.ndarray]:
-                    return rows[starts[t] : starts[t + 1]], impacts[starts[t] : starts[t + 1]]
-
+                bound, pairs = most[coupled.pairs].max(axis=1), shard.list(batch, i, "pairs")
+                bound[pairs] = np.maximum(bound[pairs], shard.list(batch, i, "joint"))
+                place, most, bound = shard.place.tolist(), most.tolist(), bound.tolist()
                 for state, (two, one) in zip(best, coupled.units):
-                    units = [(bound[x], [place[t] for t in both[x] if place[t] >= 0]) for x in two] + [(single[t], [place[t]]) for t in one]
+                    units = [(bound[x], [place[t] for t in both[x] if place[t] >= 0]) for x in two] + [(most[t], [place[t]]) for t in one]
                     units = [x for x in units if x[0]]
                     if sum(x for x, _ in units) >= state.least:
-                        found, scores, _ = _candidates(units, postings, len(ids), state.least)
+                        found, scores, _ = _candidates(units, shard.postings, len(ids), state.least)
                         if len(found):
                             state.offer(scores, ids[found], absent[found])
         for query, state in enumerate(best):
@@ -252,10 +269,10 @@ def _block(rows: DataFrame, queries: Queries, k: int) -> DataFrame:
         holders[term] = n
     weights = np.array([math.floor(1000 * math.log((2 * n_docs + 2) / (2 * int(n) + 1))) if n else 0 for n in holders], np.int64)
     coupled = queries.coupled(holders, weights)
-    index = materialize(in_arrow(posted, _weigh(coupled, n_docs, n_terms, k), _INDEX), "impacts")
+    index = materialize(in_arrow(posted, _weigh(coupled, n_docs, n_terms, k), _INDEX), "bounds")
     start = dict(map(tuple, index.select(F.inline(F.arrays_zip("pairs", "kth"))).groupBy("pairs").agg(F.max("kth")).collect()))
     least = [max([start.get(x, 0) for x in two], default=0) for two, _ in coupled.units]
-    return in_arrow(index, _search(coupled, least, k), "query int, doc_id bigint, score bigint")
+    return in_arrow(index, _search(coupled, n_docs, n_terms, least, k), "query int, doc_id bigint, score bigint")
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
