@@ -6,7 +6,7 @@ holds a large part of the data is written by many tasks as many files.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +17,9 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from nearfield.functions.distance import check_metric
 from nearfield.functions.quantize import stored_at
 from nearfield.operators.kernel import BlockTopK, to_matrix
-from nearfield.operators.knn import merge_topk, search
-from nearfield.session import BROADCAST_LIMIT, ship_package, spread_by
+from nearfield.operators.knn import merge_topk, rank_hits, search
+from nearfield.operators.pairing import paired_lists
+from nearfield.session import BROADCAST_LIMIT, materialize, ship_package, spread_by
 
 # Metric for putting a vector into a cell and for choosing the cells of a query.
 # Inner product: cells follow L2, queries go to the centroids of largest product.
@@ -142,28 +143,58 @@ def search_ivf(
 ) -> DataFrame:
     """Approximate top-K: every query looks only at its ``nprobe`` nearest cells.
 
-    The cells probed by a block become a filter on the partition column, so
+    The cells probed by a broadcast block become a filter on the partition column, so
     unprobed cells are never read.  Inside a task a cell's rows meet only the
-    queries that probe it.
+    queries that probe it.  Larger query sets are joined to the cells they probe.
     """
-    probe_metric = _PROBE[check_metric(metric)]
     asked = queries.select("query_id", F.col("vector").cast("array<float>").alias("vector"))
-    probed = nearest_cells(asked.filter(F.col("vector").isNotNull()), centroids, nprobe, probe_metric, "cells")
-    precisions = [precision] if isinstance(precision, str) else list(precision)
     return search(
         index,
-        probed,
+        asked,
         k,
         metric,
-        precisions,
+        [precision] if isinstance(precision, str) else list(precision),
         exclude_self=exclude_self,
         shard_col=shard_col,
         num_shards=num_shards,
         local=local,
         block_rows=block_rows,
+        cells=_probed(centroids, nprobe, metric),
     )
 
 
+def _probed(centroids: DataFrame, nprobe: int, metric: str) -> Callable[[DataFrame], DataFrame]:
+    probe_metric = _PROBE[check_metric(metric)]
+    return lambda asked: nearest_cells(asked, centroids, nprobe, probe_metric, "cells")
+
+
+def sweep_ivf(
+    index: DataFrame,
+    centroids: DataFrame,
+    queries: DataFrame,
+    k: int,
+    nprobes: Sequence[int],
+    metric: str = "l2",
+    precision: str = "f32",
+    exclude_self: bool = False,
+) -> DataFrame:
+    """Hits of :func:`search_ivf` for several probe counts (column ``nprobe``) from one scan of the index.
+
+    A query's list of a cell is the same for every count that reaches the cell, so each list
+    carries the cell's place among the query's cells and counts for all larger settings.
+    """
+    asked = queries.select("query_id", F.col("vector").cast("array<float>").alias("vector")).filter(F.col("vector").isNotNull())
+    asked = materialize(_probed(centroids, max(nprobes), metric)(asked), "queries")
+    rows = index.select("row_id", "vector", "cell_id", F.lit(0).cast("bigint").alias("shard_id"))
+    lists = paired_lists(rows, asked, k + 1 if exclude_self else k, metric, [precision])
+    settings = F.filter(F.array(*[F.lit(n) for n in sorted(set(nprobes))]), lambda n: n > F.col("probe"))
+    pairs = F.arrays_zip(F.col("neighbors").alias("neighbor_id"), F.col("distances").alias("distance"))
+    hits = lists.select("query_id", "probe", F.inline(pairs)).select("query_id", F.explode(settings).alias("nprobe"), "neighbor_id", "distance")
+    if exclude_self:
+        hits = hits.filter(F.col("query_id") != F.col("neighbor_id"))
+    return rank_hits(hits, k, ("query_id", "nprobe"))
+
+
 def sharded_ivf(
     index: DataFrame,
     centroids: DataFrame,

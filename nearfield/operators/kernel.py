@@ -44,16 +44,24 @@ def _sorted_by(q: np.ndarray, d: np.ndarray, i: np.ndarray, n: int) -> np.ndarra
     order = by_distance[np.argsort(q[by_distance].astype(small), kind="stable")]
     q, d = q[order], d[order]
     equal = (q[1:] == q[:-1]) & (d[1:] == d[:-1]) & np.isfinite(d[1:])
-    return order[np.lexsort((i[order], d, q))] if equal.any() else order
+    if equal.any():
+        # Only runs of equal distances are put into the order of their ids.
+        tied = np.flatnonzero(np.append(equal, False) | np.append(False, equal))
+        order[tied] = order[tied][np.lexsort((i[order[tied]], d[tied], q[tied]))]
+    return order
 
 
 class BlockTopK:
     """Running top-K lists of a fixed set of queries."""
 
-    def __init__(self, queries: np.ndarray, k: int, metric: str):
+    def __init__(self, queries: np.ndarray, k: int, metric: str, codes: bool = False):
+        """``codes``: all vectors, of the base too, hold whole numbers from -128 to 127."""
         n, dims = queries.shape
         self.k, self.metric, self.dims = k, metric, dims
+        # Where sums of whole numbers are exact.
+        self._exact = None if not codes else np.float32 if 4 * dims * 128**2 < 1 << 24 else np.float64
         self.queries = queries.astype(np.float64)
+        self._codes = queries.astype(self._exact) if codes else None
         self.norms = _squared_norms(queries)
         self.distances = np.full((n, k), np.inf)
         self.ids = np.full((n, k), _NO_ID, dtype=np.int64)
@@ -84,9 +92,10 @@ class BlockTopK:
     def offer(self, ids: np.ndarray, vectors: np.ndarray, members: np.ndarray | None = None) -> None:
         """Present base rows to all queries, or only to the query positions ``members``."""
         members = np.arange(len(self.queries)) if members is None else members
+        offer_tile = self._offer_codes if self._exact else self._offer_tile
         for start in range(0, len(ids), _BASE_TILE):
             rows = slice(start, start + _BASE_TILE)
-            self._offer_tile(ids[rows], vectors[rows], members)
+            offer_tile(ids[rows], vectors[rows], members)
         # A few queries' limits tighten long before all lists together would be merged.
         if self._pending_rows >= max(len(members) * self.k // 2, 1 << 14):
             self._flush()
@@ -125,6 +134,42 @@ class BlockTopK:
                 positions, rows = np.divmod(found, mask.shape[1])
                 self._score(part[positions], rows, ids, vectors, norms)
 
+    def _offer_codes(self, ids: np.ndarray, vectors: np.ndarray, members: np.ndarray) -> None:
+        """As :meth:`_offer_tile` where the matrix product is exact already."""
+        dtype = self._exact
+        norms = _squared_norms(vectors)
+        right, norms32 = vectors.astype(dtype).T, norms.astype(dtype)
+        for start in range(0, len(members), _QUERY_TILE):
+            part = members[start : start + _QUERY_TILE]
+            gaps = self._codes[part] @ right
+            if self.metric == "l2":
+                # |a|^2 + |b|^2 - 2ab without the query's own share.
+                gaps *= -2
+                gaps += norms32
+                limit = self.distances[part, -1] - self.norms[part]
+            elif self.metric == "ip":
+                gaps = -gaps
+                limit = self.distances[part, -1] - 1.0
+            else:
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    gaps = 1.0 - gaps / (np.sqrt(self.norms[part])[:, None] * np.sqrt(norms)[None, :])
+                limit = self.distances[part, -1]
+            mask = gaps <= limit.astype(gaps.dtype)[:, None]
+            found = np.flatnonzero(mask)
+            if len(found) > 2 * self.k * len(part):
+                crowded = np.flatnonzero(mask.sum(axis=1) >= self.k)
+                kth = np.partition(gaps[crowded], self.k - 1, axis=1)[:, self.k - 1]
+                mask[crowded] &= gaps[crowded] <= kth[:, None]
+                found = np.flatnonzero(mask)
+            if len(found):
+                q, r = np.divmod(found, mask.shape[1])
+                exact = gaps.ravel()[found].astype(np.float64)
+                exact = exact + self.norms[part[q]] if self.metric == "l2" else exact + 1.0 if self.metric == "ip" else exact
+                self._pending.append((part[q], exact, ids[r]))
+                self._pending_rows += len(found)
+                if self._pending_rows >= self._flush_at:
+                    self._flush()
+
     @staticmethod
     def _ceil(limit: np.ndarray, dtype: type) -> np.ndarray:
         with np.errstate(over="ignore"):

@@ -1,11 +1,10 @@
 """Top-K similarity search as Spark jobs.
 
-Shape of every search: the queries (small side) travel as one bounded
-broadcast block, base partitions stream past it inside ``mapInArrow`` keeping a
-running top-K, and only one K-long list per task and query is shuffled by query
-id and ranked with ``row_number``.  The base table is never shuffled, so
-its skew does not matter.  Query sets larger than a block are written to the
-shared folder in blocks and searched block after block.
+Shape of a search: queries that fit into one bounded block are broadcast, base
+partitions stream past them inside ``mapInArrow`` keeping a running top-K, and
+only one K-long list per task and query is shuffled by query id and ranked with
+``row_number``; the base table is not shuffled then.  A larger query set stays
+a table and meets the base in groups of bounded size, see :mod:`pairing`.
 
 Hit lists: ``query_id, neighbor_id, distance, rank`` (1-based; ties to the
 smaller id), plus ``precision`` / shard columns where asked for.
@@ -14,28 +13,29 @@ smaller id), plus ``precision`` / shard columns where asked for.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator, Sequence
+import sys
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.distance import check_metric, distance
 from nearfield.functions.quantize import check_precision, encode
 from nearfield.operators.kernel import BlockTopK, to_matrix
+from nearfield.operators.pairing import paired_lists, round_rows
 from nearfield.session import (
     BROADCAST_LIMIT,
     STATE_LIMIT,
-    broadcast_if_small,
     materialize,
     parallelism,
-    scratch_path,
     ship_package,
 )
 
 _EMIT_ROWS = 1 << 16
+# Words of the bitmap that cuts a table to a list of ids: at most 64 MB of pairs (word, marks).
+BITMAP_WORDS = 1 << 22
 # With more tasks than this the lists are merged in two steps.
 _SALT_ABOVE = 1024
 
@@ -95,51 +95,18 @@ def _max_states(n_queries: int, k: int, precisions: int) -> int:
     return max(precisions, STATE_LIMIT // (32 * k * max(1, n_queries)))
 
 
-def _blocks(
-    queries: DataFrame, k: int, states: int, order: str | None, block_rows: int | None = None
-) -> Iterator[tuple[pa.Table, bool]]:
-    """Arrow tables of at most one block of queries each, with a 'more than one' flag.
-
-    The set is stored and its ids are checked as a whole before any block is made.
-    ``order`` names a column that should be close within a block (the first
-    probed cell of an index search), so each block touches few index parts.
-    """
-    spark = queries.sparkSession
-    queries = materialize(queries, "queries")
-    ids = queries.groupBy("query_id").agg(F.count("*").alias("times"), F.max(F.size("vector")).alias("dims"))
-    seen = ids.agg(F.count("*").alias("n"), F.max("times").alias("times"), F.max("dims").alias("dims")).first()
-    if not seen["n"]:
-        return
-    if seen["times"] > 1:
+def _one_block(
+    queries: DataFrame, cells: Callable | None, k: int, states: int, block_rows: int | None
+) -> tuple[pa.Table | None, int]:
+    """The query set as an Arrow table if it fits into one block, and its vectors' length."""
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dims")).first()
+    dims = size["dims"] or 0
+    if size["n"] > (block_rows or _block_rows(dims, k, states)):
+        return None, dims
+    table = (cells(queries) if cells else queries).toArrow()
+    if len(np.unique(table.column("query_id").to_numpy())) < table.num_rows:
         raise ValueError("query ids must be unique")
-    limit = block_rows or _block_rows(seen["dims"], k, states)
-    if seen["n"] <= limit:
-        yield queries.toArrow(), False
-        return
-    wanted = math.ceil(seen["n"] / max(1, limit // 2))
-    path = scratch_path(spark, "blocks")
-    keys = ([order] if order else []) + ["query_id"]
-    (
-        queries.repartitionByRange(wanted, *keys)
-        .withColumn("block", F.spark_partition_id())
-        .write.partitionBy("block")
-        .parquet(path)
-    )
-    stored = spark.read.parquet(path)
-    for block, n in sorted(tuple(r) for r in stored.groupBy("block").count().collect()):
-        for table in _pieces(stored.filter(F.col("block") == block).drop("block"), n, limit):
-            yield table, True
-
-
-def _pieces(rows: DataFrame, n: int, limit: int, level: int = 0) -> Iterator[pa.Table]:
-    """``n`` rows in tables of at most ``limit``, halved by the bits of the hashed id."""
-    if n <= limit:
-        if n:
-            yield rows.toArrow()
-        return
-    for bit in (0, 1):
-        half = rows.filter(F.shiftrightunsigned(F.xxhash64("query_id"), level).bitwiseAND(1) == bit)
-        yield from _pieces(half, half.count(), limit, level + 1)
+    return table, dims
 
 
 def _search_block(
@@ -150,8 +117,8 @@ def _search_block(
     precisions: Sequence[str],
     shard_col: str | None,
     num_shards: int,
-) -> tuple[DataFrame, Broadcast]:
-    """Per-task top-K of one query block, one row with both lists per query and state; and the shared block."""
+) -> DataFrame:
+    """Per-task top-K of one query block, one row with both lists per query and state."""
     spark = base.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(block)
@@ -179,7 +146,7 @@ def _search_block(
                             # Rows come sorted by shard then, so the oldest state is complete or nearly so.
                             oldest = next(iter(states))
                             yield from emit(oldest, states.pop(oldest))
-                        states[key] = BlockTopK(queries.vectors[precision], k, metric)
+                        states[key] = BlockTopK(queries.vectors[precision], k, metric, precision == "i8")
                     rows = np.flatnonzero(shards == shard) if shard_col else None
                     _offer(states[key], ids, encoded, rows, cells, queries.members)
         for key, state in states.items():
@@ -207,7 +174,7 @@ def _search_block(
 
     if shard_col and num_shards * len(precisions) > _max_states(len(block.ids), k, len(precisions)):
         base = base.sortWithinPartitions("shard_id")
-    return base.mapInArrow(search, schema), shared
+    return base.mapInArrow(search, schema)
 
 
 def _offer(state, ids, vectors, rows, cells, members) -> None:
@@ -236,35 +203,32 @@ def search(
     num_shards: int = 1,
     local: bool = False,
     block_rows: int | None = None,
+    cells: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Top-K of every query; see the module text for the plan.
 
-    ``base``: ``row_id, vector`` (plus ``cell_id`` when the queries carry a
-    ``cells`` array, plus ``shard_col``).  ``queries``: ``query_id, vector``.
+    ``base``: ``row_id, vector`` (plus ``cell_id`` with ``cells``, plus ``shard_col``).
+    ``queries``: ``query_id, vector``; ``cells`` adds to them the array ``cells`` of
+    those that each query looks at, nearest first.
     Vectors of type ``array<tinyint>`` are int8 codes and need precision i8; all
     others are brought to the precision here.  ``local=True`` returns the K best per (query, shard) instead of merging.
-    ``block_rows`` bounds the queries of a block; by default memory does.  Repeated query ids raise.
+    ``block_rows`` bounds the queries that are broadcast or meet in one group; by default memory does.
+    Repeated query ids raise.
     """
     metric = check_metric(metric)
     precisions = [check_precision(p) for p in precisions]
     if k < 1:
         raise ValueError(f"k must be at least 1, got {k}")
     spark = base.sparkSession
-    probing = "cells" in queries.columns
     wide = k + 1 if exclude_self else k
     narrow = [F.col("row_id").cast("bigint").alias("row_id"), _searchable(base, precisions)]
-    if probing:
+    if cells:
         narrow.append(F.col("cell_id").cast("bigint").alias("cell_id"))
     if shard_col:
         narrow.append(F.col(shard_col).cast("bigint").alias("shard_id"))
     slots = parallelism(spark)
-    queries = queries.select(
-        F.col("query_id").cast("bigint").alias("query_id"),
-        _searchable(queries, precisions),
-        *([F.col("cells").cast("array<bigint>").alias("cells")] if probing else []),
-    ).filter(F.col("vector").isNotNull())
-    if probing:
-        queries = queries.withColumn("first_cell", F.get("cells", F.lit(0)))
+    queries = queries.select(F.col("query_id").cast("bigint").alias("query_id"), _searchable(queries, precisions))
+    queries = queries.filter(F.col("vector").isNotNull())
     by = ["query_id"] + (["precision"] if len(precisions) > 1 else []) + (["shard_id"] if local else [])
 
     def unpacked(lists: DataFrame) -> DataFrame:
@@ -285,28 +249,24 @@ def search(
             result = result.drop("shard_id")
         return result if len(precisions) > 1 else result.drop("precision")
 
-    path = None
-    for table, blocked in _blocks(queries, wide, len(precisions), "first_cell" if probing else None, block_rows):
-        block = QueryBlock(table, precisions)
-        rows = base
-        if block.members is not None:
-            # As text: tens of thousands of cells would be slow as separate literals.
-            rows = rows.filter(F.expr(f"cell_id IN ({', '.join(map(str, sorted(block.members)))})"))
-        # Few long tasks: fewer partial lists to merge.
-        rows = rows.select(*narrow).filter(F.col("vector").isNotNull()).coalesce(slots)
-        found, shared = _search_block(rows, block, wide, metric, precisions, shard_col, num_shards)
-        hits = ranked(found)
-        if not blocked:
-            return hits
-        path = path or scratch_path(spark, "hits")
-        hits.write.mode("append").parquet(path)
-        shared.destroy()
-    if path is None:
-        empty, _ = _search_block(
-            base.select(*narrow).limit(0), _EmptyBlock(precisions), wide, metric, precisions, shard_col, num_shards
-        )
-        return ranked(empty)
-    return spark.read.schema(hits.schema).parquet(path)
+    rows = base.select(*narrow).filter(F.col("vector").isNotNull())
+    table, dims = _one_block(queries, cells, wide, len(precisions), block_rows)
+    if table is None:
+        zero = F.lit(0).cast("bigint")
+        asked = materialize(cells(queries) if cells else queries.withColumn("cells", F.array(zero)), "queries")
+        if not asked.groupBy("query_id").count().filter("count > 1").isEmpty():
+            raise ValueError("query ids must be unique")
+        missing = {name: zero for name in ("cell_id", "shard_id") if name not in rows.columns}
+        most = min(round_rows(dims, wide * len(precisions)), block_rows or sys.maxsize)
+        return ranked(paired_lists(rows.withColumns(missing), asked, wide, metric, precisions, rounds_of=most).drop("probe"))
+    block = QueryBlock(table, precisions) if table.num_rows else _EmptyBlock(precisions)
+    if not table.num_rows:
+        rows = rows.limit(0)
+    elif block.members is not None:
+        # As text: tens of thousands of cells would be slow as separate literals.
+        rows = rows.filter(F.expr(f"cell_id IN ({', '.join(map(str, sorted(block.members)))})"))
+    # Few long tasks: fewer partial lists to merge.
+    return ranked(_search_block(rows.coalesce(slots), block, wide, metric, precisions, shard_col, num_shards))
 
 
 def _searchable(df: DataFrame, precisions: Sequence[str]) -> Column:
@@ -374,16 +334,34 @@ def sharded_knn(
     return merge_topk(shard_local_topk(base, queries, k, num_shards, metric, shard_col, precision).drop("shard_id"), k)
 
 
+def only_listed(df: DataFrame, key: str, ids: DataFrame, words: int = BITMAP_WORDS) -> DataFrame:
+    """The rows of ``df`` whose ``key`` may be among ``ids`` (one column), cut where they are read.
+
+    Tasks mark the hash of every id in a bitmap of ``words`` 64-bit words; only words with a mark are
+    kept and broadcast, so neither side is shuffled.  No listed row is lost; an
+    unlisted one passes where its mark is set (about as often as the bitmap is full).
+    """
+    slot = lambda x: F.pmod(F.xxhash64(x), F.lit(words * 64))
+    marks = ids.select(slot(F.col(ids.columns[0]).cast("bigint")).alias("place"))
+    marks = marks.selectExpr("place div 64 AS word", "shiftleft(1L, int(place % 64)) AS mark")
+    bitmap = F.broadcast(marks.groupBy("word").agg(F.bit_or("mark").alias("marks")))
+    # The table's columns travel as one, whatever their names.
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), slot(F.col(key).cast("bigint")).alias("place"))
+    marked = rows.withColumn("word", F.expr("place div 64")).join(bitmap, "word")
+    return marked.filter(F.expr("(shiftrightunsigned(marks, int(place % 64)) & 1) = 1")).select("row.*")
+
+
 def rerank(candidates: DataFrame, base: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """Re-score candidate pairs on full vectors and keep the K best.
 
-    A short candidate list is broadcast, so the base table is read in place.
+    The base table is cut to the candidates in place; only what is left of it may be shuffled.
     """
-    pairs = broadcast_if_small(candidates.select("query_id", "neighbor_id"), 64)
+    pairs = materialize(candidates.select("query_id", "neighbor_id"), "candidates")
     vectors = base.select(F.col("row_id").alias("neighbor_id"), F.col("vector").alias("neighbor_vector"))
     asked = queries.select("query_id", F.col("vector").alias("query_vector"))
     scored = (
-        pairs.join(vectors, "neighbor_id")
+        only_listed(vectors, "neighbor_id", pairs.select("neighbor_id"))
+        .join(pairs, "neighbor_id")
         .join(asked, "query_id")
         .select(
             "query_id",
@@ -404,10 +382,11 @@ def quantized_knn(
 def with_payload(hits: DataFrame, base: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Fetch wide columns only for the rows that survived the top-K.
 
-    A short hit list is broadcast, so the base table is read in place.
+    The base table is cut to the hits in place; only what is left of it may be shuffled.
     """
+    hits = materialize(hits, "hits")
     payload = base.select(F.col("row_id").alias("neighbor_id"), *columns)
-    return broadcast_if_small(hits, 64).join(payload, "neighbor_id")
+    return hits.join(only_listed(payload, "neighbor_id", hits.select("neighbor_id")), "neighbor_id")
 
 
 def map_external_ids(hits: DataFrame, id_map: DataFrame) -> DataFrame:
@@ -417,8 +396,8 @@ def map_external_ids(hits: DataFrame, id_map: DataFrame) -> DataFrame:
     positions that occur in the hits before it meets the hit list.
     """
     hits = materialize(hits, "hits")
-    used = broadcast_if_small(hits.select(F.col("neighbor_id").alias("row_id")).distinct(), 32)
-    known = id_map.join(used, "row_id", "left_semi").select(F.col("row_id").alias("neighbor_id"), "external_id")
+    known = only_listed(id_map.select("row_id", "external_id"), "row_id", hits.select("neighbor_id"))
+    known = known.select(F.col("row_id").alias("neighbor_id"), "external_id")
     return (
         hits.join(known, "neighbor_id", "left")
         .withColumn("neighbor_id", F.coalesce("external_id", "neighbor_id"))

@@ -94,6 +94,23 @@ def _ivf(name: str, k: int, nprobe: int, metric: str = "l2", exclude_self: bool
       FROM {name}_d QUALIFY rank <= {k})"""
 
 
+def _lsh(k: int, tables: int, bits: int, flips: int) -> str:
+    """Top-K among the rows in a probed bucket: signs of projections, and the weakest bits of each table flipped."""
+    mixed = "(t * 1000003 + b * 10007 + (d - 1) * 101 + 12345) % 2147483647"
+    steps = ", ".join(f"m{i} AS (SELECT t, b, d, (x * x % 2147483647 + x * 48271 + 11) % 2147483647 AS x FROM m{i - 1})" for i in (1, 2, 3))
+    return f"""WITH {_E}, m0 AS (SELECT t, b, d, ({mixed})::BIGINT AS x FROM range({tables}) a(t), range({bits}) f(b),
+        range(1, (SELECT max(len(v)) FROM e) + 1) g(d)), {steps},
+    planes AS (SELECT t, b, list(CASE WHEN x // 65536 % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE ORDER BY d) AS v FROM m3 GROUP BY t, b),
+    p AS (SELECT vec_id, t, b, list_inner_product(e.v, planes.v) AS x FROM e, planes),
+    own AS (SELECT vec_id, t, sum(CASE WHEN x > 0 THEN 1 << b ELSE 0 END)::BIGINT AS code FROM p GROUP BY vec_id, t),
+    weak AS (SELECT vec_id, t, b, row_number() OVER (PARTITION BY vec_id, t ORDER BY abs(x), b) AS place FROM p),
+    probes AS (FROM own UNION ALL SELECT vec_id, t, xor(code, (1 << b)::BIGINT) FROM own JOIN weak USING (vec_id, t) WHERE place <= {flips}),
+    met AS (SELECT DISTINCT q.vec_id AS query_id, n.vec_id AS neighbor_id FROM probes q JOIN own n USING (t, code)),
+    h AS (SELECT query_id, neighbor_id, {_DISTANCES['l2']} AS distance FROM met JOIN e q ON q.vec_id = query_id JOIN e n ON n.vec_id = neighbor_id)
+    SELECT query_id, neighbor_id, round(distance, 6) AS distance,
+      CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM h QUALIFY rank <= {k}"""
+
+
 def _scores(name: str, hits: str, truth: str, ks=KS, by: str = "") -> str:
     """CTE ``<name>`` with the scores of every query and K."""
     on = f"{by}, " if by else ""
@@ -187,6 +204,9 @@ def oracle() -> dict[str, str]:
     hits = "SELECT query_id, neighbor_id, round(distance, 6) AS distance, rank FROM h"
     sql["ivf_search"] = f"WITH {_CELLS}, {_ivf('h', 10, 3)} {hits}"
     sql["ivf_search_blocks"] = sql["sharded_ivf_search"] = sql["ivf_search"]
+    sql["ivf_search_table"] = sql["ivf_search"]
+    sql["lsh_search"] = _lsh(10, 12, 6, 4)
+    sql["ivf_two_level"] = _topk()
     sql["kmeans_ivf_checks"] = """SELECT nprobe, (SELECT count(*) FROM embeddings) AS n_queries, 0 AS n_worse, 0 AS n_wrong
         FROM (VALUES (1), (4), (16)) t(nprobe)"""
     sql["ivf_search_ip"] = f"WITH {_CELLS}, {_ivf('h', 10, 3, 'ip')} {hits}"

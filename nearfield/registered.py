@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions import distance, quantize, text
-from nearfield.operators import batch, embed, evaluate, ivf, knn, report, shards
+from nearfield.operators import batch, embed, evaluate, ivf, knn, lsh, report, shards, twolevel
 from nearfield.plans import evaluation, pipeline
 from nearfield.session import materialize, scratch_path
 from nearfield.sources import catalog, vecbin
@@ -204,6 +204,29 @@ def ivf_search_blocks(spark, sf_dir):
     return hits_out(ivf.search_ivf(index, centroids, asked_of(spark, sf_dir), 10, nprobe=3, block_rows=300))
 
 
+@query
+def ivf_search_table(spark, sf_dir):
+    """The same lists when no query passes through the driver: a table of queries meets the probed cells in a join."""
+    index, centroids = index_of(spark, sf_dir)
+    return hits_out(ivf.search_ivf(index, centroids, asked_of(spark, sf_dir), 10, nprobe=3, block_rows=64))
+
+
+@query
+def ivf_two_level(spark, sf_dir):
+    """K-means cells inside k-means cells; probing all must give the exact answer."""
+    base = base_of(spark, sf_dir).select("row_id", "vector")
+    coarse, fine = twolevel.train_two_level(base, N_LABELS, 8)
+    path = twolevel.build_two_level(base, coarse, fine, scratch_path(spark, "index"))
+    return hits_out(twolevel.search_two_level(path, coarse, fine, asked_of(spark, sf_dir), 10, N_LABELS, 8 * N_LABELS))
+
+
+@query
+def lsh_search(spark, sf_dir):
+    base, asked = vectors_of(spark, sf_dir)
+    index = lsh.build_lsh(base, scratch_path(spark, "index"))
+    return hits_out(lsh.search_lsh(index, asked, 10))
+
+
 @query
 def sharded_ivf_search(spark, sf_dir):
     index, centroids = index_of(spark, sf_dir)

@@ -9,7 +9,6 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from nearfield.sources import files
 
@@ -60,15 +59,6 @@ def spread_by(df: DataFrame, key: str) -> DataFrame:
     return df.hint("rebalance", key)
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """Store ``df``, measure it, and mark it for broadcast only when it fits.
-
-    Used where a short list meets a table that should not be shuffled.
-    """
-    stored = materialize(df, "list")
-    return F.broadcast(stored) if stored.count() * row_bytes <= BROADCAST_LIMIT else stored
-
-
 def parallelism(spark: SparkSession) -> int:
     """Tasks worth starting: two per slot, so that one slow task does not stall the rest.
 

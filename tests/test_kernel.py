@@ -33,6 +33,25 @@ def test_matches_brute_force(rng, metric, k):
     check(rng.normal(size=(30, 24)), np.arange(9000) * 3, base, k, metric, step=2500)
 
 
+@pytest.mark.parametrize("metric", ["l2", "ip", "cos"])
+@pytest.mark.parametrize("dims", [3, 64, 255, 256, 700])
+def test_codes_are_exact(rng, metric, dims):
+    """Whole numbers by the matrix product alone: the same lists as by scoring in float64, ties included."""
+    base = rng.integers(-128, 128, size=(5000, dims)).astype(np.float32)
+    base[::7], base[5], base[:3] = base[0], 0, 127
+    queries = np.vstack([base[0], np.zeros(dims), rng.integers(-128, 128, size=(700, dims))]).astype(np.float32)
+    ids = rng.permutation(5000)
+    lists = []
+    for codes in (False, True):
+        state = BlockTopK(queries, 9, metric, codes)
+        for start in range(0, 5000, 1100):
+            state.offer(ids[start : start + 1100], base[start : start + 1100])
+        lists.append(state.lists())
+    for plain, by_product in zip(*lists):
+        np.testing.assert_array_equal(plain, by_product)
+    assert state._exact is (np.float32 if dims < 256 else np.float64)
+
+
 def test_fewer_rows_than_k(rng):
     check(rng.normal(size=(3, 4)), np.arange(5), rng.normal(size=(5, 4)), 10, "l2")
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nearfield.operators import ivf, knn, shards
+from nearfield.operators import ivf, knn, lsh, pairing, shards, twolevel
 from nearfield.session import scratch_path
 from tests.conftest import assert_lists, brute_force, lists_of, table_of
 
@@ -63,14 +63,6 @@ def test_many_query_blocks(data):
     assert_lists(knn.exact_knn(b, q, 12, block_rows=10), range(41), brute_force(range(900), base, queries, 12))
 
 
-@pytest.mark.parametrize("block_rows", [1, 3, 40, 41])
-def test_blocks_hold_every_query_once(data, block_rows):
-    base, queries, b, q = data
-    tables = [t for t, _ in knn._blocks(q.repartition(1), 5, 1, None, block_rows)]
-    assert max(t.num_rows for t in tables) <= block_rows
-    assert sorted(i for t in tables for i in t.column("query_id").to_pylist()) == list(range(41))
-
-
 def test_blocks_of_three(data):
     base, queries, b, q = data
     assert_lists(knn.exact_knn(b, q, 3, block_rows=3), range(41), brute_force(range(900), base, queries, 3))
@@ -167,6 +159,36 @@ def test_payload_and_external_ids(data, spark):
     assert joined.count() == 41 * 4 and wrong.count() == 0
 
 
+@pytest.mark.parametrize("words", [knn.BITMAP_WORDS, 64, 1])
+def test_a_list_cuts_a_table_in_place(spark, words):
+    """No listed row is lost however full the bitmap is; an ample one lets hardly any other row pass."""
+    table = spark.range(20000).select((F.col("id") * 7919).alias("row_id"), F.lit("x").alias("word"), F.col("id").alias("place"))
+    ids = spark.range(0, 20000, 97).select((F.col("id") * 7919).alias("wanted"))
+    cut = knn.only_listed(table, "row_id", ids.union(ids), words)
+    assert cut.columns == table.columns
+    rows = cut.collect()
+    assert all(r["word"] == "x" and r["place"] * 7919 == r["row_id"] for r in rows)
+    kept, wanted = [r["row_id"] for r in rows], {r[0] for r in ids.collect()}
+    assert wanted <= set(kept) and len(kept) == len(set(kept))
+    if words == knn.BITMAP_WORDS:
+        assert len(kept) <= len(wanted) + 5
+    assert knn.only_listed(table, "row_id", ids.limit(0), words).count() == 0
+
+
+def test_only_listed_base_rows_are_shuffled(spark, data):
+    """Without any broadcast of a list, what moves of the base has passed the bitmap."""
+    _, _, b, q = data
+    hits = knn.exact_knn(b, q, 2)
+    wide = b.withColumn("tag", F.col("row_id") * 2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for found in (knn.with_payload(hits, wide, ["tag"]), knn.rerank(hits, wide, q, 2)):
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == 1 and found.count() == 82
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_checked_ids(spark):
     good = spark.createDataFrame([(1, 2**31 - 1, 0.5, 1)], "query_id bigint, neighbor_id bigint, distance double, rank int")
     assert knn.checked_int_ids(good).schema["neighbor_id"].dataType.simpleString() == "int"
@@ -261,3 +283,125 @@ def test_no_centroids(data, centroids):
     _, _, b, _ = data
     with pytest.raises(ValueError, match="number of centroids"):
         ivf.assign_cells(b, centroids[0].limit(0))
+
+
+# Queries and cells as tables ------------------------------------------------------
+
+
+def _lists(base, queries, k, **sizes):
+    """Hits of the pairing alone, with one cell."""
+    zero = F.lit(0).cast("bigint")
+    lists = pairing.paired_lists(
+        base.withColumns({"cell_id": zero, "shard_id": zero}), queries.withColumn("cells", F.array(zero)), k, "l2", ["f32"], **sizes
+    )
+    found = lists.select("query_id", F.inline(F.arrays_zip(F.col("neighbors").alias("neighbor_id"), F.col("distances").alias("distance"))))
+    return lists, knn.rank_hits(found, k)
+
+
+@pytest.mark.parametrize("part_rows, rounds_of", [(1 << 14, 1 << 13), (50, 7), (1, 41), (900, 1)])
+def test_parts_and_rounds_do_not_matter(data, part_rows, rounds_of):
+    base, queries, b, q = data
+    _, hits = _lists(b, q, 12, part_rows=part_rows, rounds_of=rounds_of)
+    assert_lists(hits, range(41), brute_force(range(900), base, queries, 12))
+
+
+def test_groups_are_bounded(data):
+    """A cell that holds everything is cut: no list comes from more rows than a part holds."""
+    _, _, b, q = data
+    lists, _ = _lists(b, q, 900, part_rows=90, rounds_of=10)
+    sizes = [r[0] for r in lists.select(F.size("neighbors")).collect()]
+    assert sum(sizes) == 41 * 900 and max(sizes) < 150
+
+
+def test_a_table_of_queries_uses_one_scan(spark, data, centroids):
+    _, _, b, q = data
+    index = ivf.build_ivf(b, centroids[0], scratch_path(spark, "index"))
+    hits = ivf.search_ivf(index, centroids[0], q, 8, 3, block_rows=5)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("vector#") and plan.count("ReadSchema: struct<row_id:bigint,vector:array<float>>") == 1
+    assert "FlatMapCoGroupsInArrow" in plan
+
+
+def test_probe_counts_from_one_scan(spark, data, centroids):
+    _, _, b, q = data
+    index = ivf.build_ivf(b, centroids[0], scratch_path(spark, "index"))
+    hits = ivf.sweep_ivf(index, centroids[0], q, 6, [1, 3, 10])
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ReadSchema: struct<row_id:bigint,vector:array<float>>") == 1
+    for n in (1, 3, 10):
+        assert lists_of(hits.filter(F.col("nprobe") == n)) == lists_of(ivf.search_ivf(index, centroids[0], q, 6, n))
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip", "cos"])
+def test_two_levels_probed_in_full_are_exact(spark, data, metric):
+    base, queries, b, q = data
+    coarse, fine = twolevel.train_two_level(b, 5, 4, metric=metric)
+    path = twolevel.build_two_level(b, coarse, fine, scratch_path(spark, "index"), metric)
+    hits = twolevel.search_two_level(path, coarse, fine, q, 12, 5, 20, metric)
+    assert_lists(hits, range(41), brute_force(range(900), base, queries, 12, metric))
+
+
+def test_two_level_cells(spark, data):
+    """Every row lies in the nearest fine cell of its nearest coarse cell, however the coarse cells are cut."""
+    base, _, b, _ = data
+    coarse, fine = twolevel.train_two_level(b, 5, 4, sample_rows=100)
+    tops = {r["cell_id"]: r["centroid"] for r in coarse.collect()}
+    below = {}
+    for r in fine.collect():
+        below.setdefault(r["coarse_id"], []).append((r["cell_id"], r["centroid"]))
+    assert set(below) == set(tops) and sum(map(len, below.values())) > len(tops)
+    odd = spark.createDataFrame([(5000, None)], "row_id bigint, vector array<float>")
+    for part_rows in (1 << 14, 30):
+        found = {r["row_id"]: (r["coarse_id"], r["cell_id"]) for r in twolevel.assign_two_level(b.unionByName(odd), coarse, fine, part_rows=part_rows).collect()}
+        assert found.pop(5000) == (None, None) and len(found) == 900
+        ids = sorted(tops)
+        nearest = [x[0][0] for x in brute_force(ids, [tops[i] for i in ids], base, 1)]
+        for row, top in enumerate(nearest):
+            names = sorted(below[top])
+            want = brute_force([i for i, _ in names], [c for _, c in names], base[[row]], 1)[0][0][0]
+            assert found[row] == (top, want)
+
+
+def test_two_level_index_opens_only_files_with_probed_cells(spark, data):
+    _, _, b, _ = data
+    coarse, fine = twolevel.train_two_level(b, 5, 4)
+    assigned = twolevel.assign_two_level(b, coarse, fine)
+    path = scratch_path(spark, "index")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        twolevel.write_two_level(assigned, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    whole = spark.read.parquet(f"{path}/rows")
+    located = spark.read.parquet(f"{path}/cells")
+    assert located.agg(F.sum("n")).first()[0] == 900
+    some = located.orderBy("cell_id").select("cell_id").limit(1)
+    part = twolevel.rows_of_cells(spark, path, some)
+    cell = some.first()[0]
+    assert part.filter(F.col("cell_id") == cell).count() == whole.filter(F.col("cell_id") == cell).count() > 0
+    files = {r["file"] for r in located.filter(F.col("cell_id") == cell).select("file").distinct().collect()}
+    assert len(files) < len(whole.inputFiles())
+    assert {f.rsplit("/", 1)[1] for f in part.inputFiles()} == {f.rsplit("/", 1)[1] for f in files}
+    assert twolevel.rows_of_cells(spark, path, some.limit(0)).count() == 0
+
+
+def test_hashing_index(spark, embeddings):
+    base = embeddings.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"))
+    q = base.withColumnRenamed("row_id", "query_id")
+    index = lsh.build_lsh(base, scratch_path(spark, "index"))
+    exact, found = lists_of(knn.exact_knn(base, q, 10)), lists_of(lsh.search_lsh(index, q, 10))
+    met = sum(len(set(found[i][0]) & set(ids)) for i, (ids, _) in exact.items())
+    assert met >= 0.9 * 10 * len(exact)
+    for i, (ids, distances) in found.items():
+        assert len(ids) == len(set(ids)) and ids[0] == i and distances == sorted(distances)
+
+
+def test_hashing_index_with_all_buckets_is_exact(spark, data):
+    """One bit and its flip reach both buckets; with a null vector and copies."""
+    base, queries, b, q = data
+    extra = spark.createDataFrame([(5000, None)], "row_id bigint, vector array<float>")
+    index = lsh.build_lsh(b.unionByName(extra), scratch_path(spark, "index"), tables=1, bits=1)
+    hits = lsh.search_lsh(index, q, 12, tables=1, bits=1, flips=1)
+    assert_lists(hits, range(41), brute_force(range(900), base, queries, 12))
+    with pytest.raises(ValueError, match="flips"):
+        lsh.search_lsh(index, q, 3, bits=2, flips=3)

@@ -33,11 +33,3 @@ def test_task_counts():
     assert session.parallelism(fake("yarn", dynamic)) == 16000
     endless = {"spark.sql.shuffle.partitions": "4000", "spark.dynamicAllocation.maxExecutors": "infinity"}
     assert session.parallelism(fake("yarn", endless)) == 4000
-
-
-def test_only_small_lists_are_broadcast(spark, monkeypatch):
-    rows = spark.range(100)
-    plan = lambda df: rows.join(df, "id")._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" in plan(session.broadcast_if_small(rows, 8))
-    monkeypatch.setattr(session, "BROADCAST_LIMIT", 100)
-    assert "broadcast" not in plan(session.broadcast_if_small(rows, 8))
