@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.distance import check_metric, distance
 from nearfield.functions.quantize import check_precision, encode
+from nearfield.operators.bitmap import only_listed
 from nearfield.operators.kernel import BlockTopK, to_matrix
 from nearfield.operators.pairing import paired_lists, round_rows
 from nearfield.session import (
@@ -34,8 +35,6 @@ from nearfield.session import (
 )
 
 _EMIT_ROWS = 1 << 16
-# Words of the bitmap that cuts a table to a list of ids: at most 64 MB of pairs (word, marks).
-BITMAP_WORDS = 1 << 22
 # With more tasks than this the lists are merged in two steps.
 _SALT_ABOVE = 1024
 
@@ -334,23 +333,6 @@ def sharded_knn(
     return merge_topk(shard_local_topk(base, queries, k, num_shards, metric, shard_col, precision).drop("shard_id"), k)
 
 
-def only_listed(df: DataFrame, key: str, ids: DataFrame, words: int = BITMAP_WORDS) -> DataFrame:
-    """The rows of ``df`` whose ``key`` may be among ``ids`` (one column), cut where they are read.
-
-    Tasks mark the hash of every id in a bitmap of ``words`` 64-bit words; only words with a mark are
-    kept and broadcast, so neither side is shuffled.  No listed row is lost; an
-    unlisted one passes where its mark is set (about as often as the bitmap is full).
-    """
-    slot = lambda x: F.pmod(F.xxhash64(x), F.lit(words * 64))
-    marks = ids.select(slot(F.col(ids.columns[0]).cast("bigint")).alias("place"))
-    marks = marks.selectExpr("place div 64 AS word", "shiftleft(1L, int(place % 64)) AS mark")
-    bitmap = F.broadcast(marks.groupBy("word").agg(F.bit_or("mark").alias("marks")))
-    # The table's columns travel as one, whatever their names.
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), slot(F.col(key).cast("bigint")).alias("place"))
-    marked = rows.withColumn("word", F.expr("place div 64")).join(bitmap, "word")
-    return marked.filter(F.expr("(shiftrightunsigned(marks, int(place % 64)) & 1) = 1")).select("row.*")
-
-
 def rerank(candidates: DataFrame, base: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """Re-score candidate pairs on full vectors and keep the K best.
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nearfield.operators import ivf, knn, lsh, pairing, shards, twolevel
+from nearfield.operators import bitmap, ivf, knn, lsh, pairing, shards, twolevel
 from nearfield.session import scratch_path
 from tests.conftest import assert_lists, brute_force, lists_of, table_of
 
@@ -159,20 +159,22 @@ def test_payload_and_external_ids(data, spark):
     assert joined.count() == 41 * 4 and wrong.count() == 0
 
 
-@pytest.mark.parametrize("words", [knn.BITMAP_WORDS, 64, 1])
+@pytest.mark.parametrize("words", [bitmap.BITMAP_WORDS, 64, 1])
 def test_a_list_cuts_a_table_in_place(spark, words):
     """No listed row is lost however full the bitmap is; an ample one lets hardly any other row pass."""
     table = spark.range(20000).select((F.col("id") * 7919).alias("row_id"), F.lit("x").alias("word"), F.col("id").alias("place"))
     ids = spark.range(0, 20000, 97).select((F.col("id") * 7919).alias("wanted"))
-    cut = knn.only_listed(table, "row_id", ids.union(ids), words)
+    cut = bitmap.only_listed(table, "row_id", ids.union(ids), words)
     assert cut.columns == table.columns
     rows = cut.collect()
     assert all(r["word"] == "x" and r["place"] * 7919 == r["row_id"] for r in rows)
     kept, wanted = [r["row_id"] for r in rows], {r[0] for r in ids.collect()}
     assert wanted <= set(kept) and len(kept) == len(set(kept))
-    if words == knn.BITMAP_WORDS:
+    if words == bitmap.BITMAP_WORDS:
         assert len(kept) <= len(wanted) + 5
-    assert knn.only_listed(table, "row_id", ids.limit(0), words).count() == 0
+    both = bitmap.with_listed(table, "row_id", ids, "listed", words)
+    assert both.count() == 20000 and both.filter("listed").count() == len(kept)
+    assert bitmap.only_listed(table, "row_id", ids.limit(0), words).count() == 0
 
 
 def test_only_listed_base_rows_are_shuffled(spark, data):
