@@ -157,22 +157,26 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_documents: int = 3000, max_bytes: int = 48 << 20) -> Network | None:
-    """Network learned from the rows of ``docs`` that ``labels`` (doc_id, quality 0/1) covers; None without any.
+    """Network learned from the rows of ``docs`` that ``labels`` (doc_id, quality 0/1) covers; None without rows of both classes.
 
-    The sample: the first ``max_documents`` labelled rows by a hash of id and text, as far as their
-    (whole) texts stay within ``max_bytes`` together; both bounds are documented parameters.  It is chosen from
+    The sample: of the first ``max_documents`` labelled rows by a hash of id and text those whose
+    (whole) texts fit into ``max_bytes`` together, taken in turn; a text that does not fit is passed over, and a class that
+    is then missing has its shortest text.  Both bounds are documented parameters.  The sample is chosen from
     ids, hashes and sizes; texts are fetched for the chosen ones alone.
     """
     rows = texts_of(docs).withColumns({"mark": F.xxhash64(F.lit(17), "doc_id", "text"), "size": F.octet_length("text")})
     marked = labels.where("quality IN (0, 1)").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    known = rows.select("doc_id", "mark", "size").join(marked, "doc_id")
     chosen, total = [], 0
-    for r in rows.select("doc_id", "mark", "size").join(marked, "doc_id").orderBy("mark", "size", "quality").limit(max_documents).collect():
-        total += r["size"]
-        if chosen and total > max_bytes:
-            break
-        chosen.append((r["doc_id"], r["mark"], r["quality"]))
-    if not chosen:
-        return None
+    for r in known.orderBy("mark", "size", "quality").limit(max_documents).collect():
+        if total + r["size"] <= max_bytes:
+            total += r["size"]
+            chosen.append((r["doc_id"], r["mark"], r["quality"]))
+    for missing in {0, 1} - {x[2] for x in chosen}:
+        shortest = known.where(F.col("quality") == missing).orderBy("size", "mark").first()
+        if shortest is None:
+            return None
+        chosen.append((shortest["doc_id"], shortest["mark"], shortest["quality"]))
     few = docs.sparkSession.createDataFrame(chosen, "doc_id bigint, mark bigint, quality int").distinct()
     sample = rows.join(F.broadcast(few), ["doc_id", "mark"]).select("doc_id", "text", "quality")
     sample = in_arrow(sample, _encoded, "doc_id bigint, quality int, passages binary")

@@ -70,3 +70,19 @@ def test_sample_bounds(spark, docs, sf_dir):
     for k in a.weights:
         np.testing.assert_array_equal(a.weights[k], b.weights[k])
     assert mil.train(docs, labels, max_bytes=1) is not None
+    assert mil.train(docs, labels.where("quality = 1")) is None
+
+
+def test_a_long_text_does_not_end_the_sample(spark, monkeypatch):
+    """Texts that do not fit are passed over, wherever the hash puts them; a missing class has its shortest text."""
+    from pyspark.sql import functions as F
+
+    seen = []
+    monkeypatch.setattr(mil, "fit", lambda x, bags, y: seen.append((len(bags), y.tolist())))
+    rows = [(i, f"good words here {i}") for i in range(200)] + [(200 + i, "bad bad bad") for i in range(40)] + [(500 + i, "long text " * 3000) for i in range(20)]
+    labels = spark.range(600).select(F.col("id").alias("doc_id"), F.when(F.col("id").between(200, 239), 0).otherwise(1).alias("quality"))
+    mil.train(frame(spark, rows), labels, max_bytes=20000)
+    assert seen[-1][0] == 240 and sum(seen[-1][1]) == 200
+    only_long = [(1, "long text " * 3000), (2, "long text " * 2000), (3, "short")]
+    mil.train(frame(spark, only_long), spark.createDataFrame([(1, 1), (2, 1), (3, 0)], "doc_id bigint, quality int"), max_bytes=100)
+    assert sorted(seen[-1][1]) == [0.0, 1.0]
