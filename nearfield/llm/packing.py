@@ -130,11 +130,16 @@ class Tokens(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.letters = str.maketrans(_byte_letters())
         self.model = self.tokenizer.model
         self.pieces: dict[str, array] = {}
+        # Tokens that are found before the text is normalised or split, in any letter case.
+        added = [re.escape(t.content.lower().encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(added)) if added else None
         self.forget()
+        probe = "The caf\u00e9's \u00c9t\u00e9, 12.5% 'Re; \u6f22\u5b57\n\tx_y"
+        if self.of([probe.encode()])[0].tolist() != self.tokenizer.encode(probe, add_special_tokens=False).ids:
+            raise ValueError(f"{path} does not lower-case, or looks across white space")
 
     def forget(self) -> None:
         self.clear()
@@ -168,8 +173,13 @@ class Tokens(dict):
             self.forget()
         counts, which = [], []
         for text in texts:
-            # Lower case at once, unless an accent follows that would first join a capital.
-            words = (text if b"\xcc" in text or b"\xcd" in text else text.lower()).split()
+            low = text.lower()
+            if self.added and self.added.search(low):
+                # As a whole, as only the tokenizer knows what such a token takes with it.
+                words = [text]
+            else:
+                # Lower case at once, unless an accent follows that would first join a capital.
+                words = (text if b"\xcc" in text or b"\xcd" in text else low).split()
             counts.append(len(words))
             which.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
         flat = np.concatenate(which) if which else np.empty(0, np.int64)
@@ -241,7 +251,8 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits()) -> DataFram
     A document is its token ids and one id 0; a null or empty text is that id alone.
     Only documents above the token capacity are cut.  Repeated rows are packed
     each for itself; an empty table gives no rows; other columns are ignored.
-    ``tokenizer`` is a file whose normaliser and splitter act between blanks.
+    ``tokenizer`` is a file whose normaliser lower-cases and whose splitter acts between blanks; another
+    one raises.  Special tokens in a text are what the tokenizer makes of them.
     """
     pieces = in_arrow(
         texts_of(docs), _pieces(tokenizer, limits.tokens),

@@ -100,6 +100,46 @@ def test_tokens_are_the_tokenizers(rows):
             assert ids[a:b].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+SPECIAL = ["<|endoftext|> a", "<|EndOfText|> a", "x<|endoftext|>y", " <|endoftext|>  <|endoftext|>\n b C", "<|endoftext", "A <|im_start|>User<|im_end|> B", "<s> </s> <unk> [CLS] <pad>", "<|endoftext|>"]
+
+
+def test_special_tokens_in_texts(spark):
+    """The plain call of the tokenizer, whatever it makes of such strings."""
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    texts = SPECIAL + [f"Words {x} more Words" for x in SPECIAL]
+    texts += [f"a {t.content} {t.content.upper()}b" for t in tokenizer.get_added_tokens_decoder().values()]
+    tokens = packing.Tokens(tokenizer_path())
+    for t in texts:
+        assert tokens.of([t.encode()])[0].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+    from tests.llm.conftest import frame
+
+    rows = list(enumerate(texts))
+    check(rows, packing.pack(frame(spark, rows), tokenizer_path()).collect())
+
+
+def test_another_kind_of_tokenizer_is_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="lower-case"):
+        packing.Tokens(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_capacities_that_bind(docs, rows, rule):
+    """Few documents and little attention cost to a sequence: both hold, and so do the lengths."""
+    limits = packing.Limits(pieces=3, cost=2048 * 2048 + 300 * 300, rule=rule)
+    got = packing.pack(docs, tokenizer_path(), limits).collect()
+    free, _ = check(rows, packing.pack(docs, tokenizer_path()).collect())
+    used, _ = check(rows, got)
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r["sequence_id"], []).append(r["length"])
+    assert max(map(len, sequences.values())) == 3 and used > free
+    assert max(sum(n * n for n in x) for x in sequences.values()) <= limits.cost
+    tight = packing.Limits(cost=2048 * 2048, pieces=2048, rule=rule)
+    assert check(rows, packing.pack(docs, tokenizer_path(), tight).collect())[0] >= free
+
+
 def test_tokens_when_the_cache_starts_afresh(monkeypatch, rows):
     texts = [(t or "").encode() for _, t in rows[:60]]
     want = packing.Tokens(tokenizer_path()).of(texts)
