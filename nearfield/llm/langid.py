@@ -4,7 +4,8 @@ Training counts words per language over all training documents, and character n-
 one to five letters, word ends included, over all words.  Both tables are kept whole, as written tables of
 log frequencies per language; the most frequent entries of each are broadcast as well.  A text's words add up their scores;
 a word that was never seen takes the mean score of its n-grams of the greatest length of which any was.
-Words beyond the broadcast ones are looked up by equi-joins in the whole tables.
+Words beyond the broadcast ones are looked up by equi-joins in the whole tables; all scores are doubles
+either way, so what is broadcast changes no result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from nearfield.llm.common import CACHE_WORDS, in_arrow, raw, slices
-from nearfield.session import materialize
+from nearfield.session import materialize, parallelism
 
 LONGEST = 5
 ALPHA = 0.5
@@ -112,7 +113,7 @@ class Scorer:
 
     def forget(self) -> None:
         self.place = dict(self.model.words)
-        self.scores = self.model.word_scores.astype(np.float64)
+        self.scores = self.model.word_scores
         self.letters = np.ones(len(self.scores), bool)
 
     def learn(self, words: list[str]) -> None:
@@ -128,7 +129,7 @@ class Scorer:
         fresh = np.zeros((len(words), len(self.model.languages)))
         some = np.flatnonzero(sizes)
         if len(some):
-            sums = np.add.reduceat(self.model.gram_scores[flat].astype(np.float64), (np.cumsum(sizes) - sizes)[some], axis=0)
+            sums = np.add.reduceat(self.model.gram_scores[flat], (np.cumsum(sizes) - sizes)[some], axis=0)
             fresh[some] = sums / sizes[some, None]
         self.place.update(zip(words, range(len(self.scores), len(self.scores) + len(words))))
         self.scores, self.letters = np.concatenate((self.scores, fresh)), np.concatenate((self.letters, np.array(letters, bool)))
@@ -148,7 +149,7 @@ class Scorer:
             place = self.model.words
             known = [x for x in counts if x in place]
             others = [{"word": x, "times": n} for x, n in counts.items() if x not in place and (x.isalpha() or has_letter(x))]
-            scores = self.model.word_scores[[place[x] for x in known]].astype(np.float64)
+            scores = self.model.word_scores[[place[x] for x in known]]
             total = np.array([counts[x] for x in known], np.float64) @ scores
             found.append((sum(counts[x] for x in known) + sum(x["times"] for x in others), total.tolist(), others))
         return found
@@ -191,7 +192,7 @@ def _tables(counts: DataFrame, name: str, most: int, languages: list[str]) -> tu
     sizes = rows[name].str.len().to_numpy(int) if name == "gram" and len(rows) else np.ones(len(rows), int)
     logs = np.log((n + ALPHA) / sums[sizes - 1])
     scores = [F.log((F.col(x) + ALPHA) / F.element_at(F.lit(sums[:, i].tolist()), size.cast("int"))) for i, x in enumerate(columns)]
-    return {x: i for i, x in enumerate(rows[name])}, logs.astype(np.float32), total.select(name, F.array(*scores).alias("scores")), cut
+    return {x: i for i, x in enumerate(rows[name])}, logs, total.select(name, F.array(*scores).alias("scores")), cut
 
 
 def train(docs: DataFrame, max_words: int = 200_000, max_grams: int = 100_000) -> Model:
@@ -204,7 +205,9 @@ def train(docs: DataFrame, max_words: int = 200_000, max_grams: int = 100_000) -
     words = in_arrow(rows, _count_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = materialize(words, "words")
     languages = sorted(r["lang"] for r in words.select("lang").distinct().collect())
-    counted = in_arrow(words, _count_grams, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # The table of words is small next to the work it makes.
+    spread = words.repartition(parallelism(docs.sparkSession), "word")
+    counted = in_arrow(spread, _count_grams, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     *known, all_words, cut_words = _tables(words, "word", max_words, languages)
     *parts, all_grams, cut_grams = _tables(counted, "gram", max_grams, languages)
     return Model(languages, *known, *parts, *((all_words, all_grams) if cut_words or cut_grams else ()))

@@ -132,4 +132,4 @@ def test_small_broadcasts_cut_nothing(spark, docs, odd):
         assert len(small.words) <= words and small.all_words.count() == len(whole.words) and small.all_grams.count() == len(whole.grams)
         got = sorted(map(tuple, langid.predict(texts, small).collect()), key=str)
         assert [x[:3] for x in got] == [x[:3] for x in want]
-        np.testing.assert_allclose([x[3] for x in got], [x[3] for x in want], atol=1e-3)
+        np.testing.assert_allclose([x[3] for x in got], [x[3] for x in want], rtol=1e-9, atol=1e-12)
