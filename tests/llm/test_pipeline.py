@@ -10,7 +10,7 @@ from nearfield.session import materialize
 from tests.llm.conftest import ODD, clashing, frame
 from tests.llm.test_fmindex import brute as contaminated
 from tests.llm.test_pii import base
-from tests.llm.test_simhash import brute as groups
+from tests.llm.test_nearcopies import brute as kept
 
 
 def stages(spark, docs, sf_dir):
@@ -37,7 +37,7 @@ def test_each_stage_on_the_whole_table(spark, sf_dir, docs):
 
     start = texts(whole)
     assert texts(spoken) == {d: t for d, t in start.items() if any(c.isalpha() for c in t or "")}
-    assert set(texts(single)) == {c for _, _, c in groups(sorted(texts(spoken).items()))}
+    assert texts(single) == dict(kept(sorted(texts(spoken).items())))
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
     found = {d: hit for d, _, hit, *_ in contaminated(sorted(texts(single).items()), items)}
     cut = texts(clean)
