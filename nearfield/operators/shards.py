@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,23 +76,40 @@ def semantic(assigned: DataFrame, max_vectors_per_shard: int) -> DataFrame:
 
     Shards are numbered by (cell, part).  Rows without a cell are kept in a rest
     cell, numbered -1, which comes first.  The assignment is stored once, as its
-    cell sizes are needed before the rows can be placed.
+    cell sizes are needed before the rows can be placed.  Only (cell, row_id) pairs of large
+    cells are ranked, to find the first row of every part; the vectors stay where they are.
     """
     cap = max_vectors_per_shard
-    assigned = materialize(assigned.withColumn("cell_id", F.coalesce("cell_id", F.lit(REST_CELL))), "cells")
-    sizes = assigned.groupBy("cell_id").agg(F.count("*").alias("cell_rows"))
-    parts = F.ceil(F.col("cell_rows") / cap).cast("bigint")
-    # One row per cell: the number of cells is the number of centroids, which is bounded.
-    before = Window.orderBy("cell_id").rowsBetween(Window.unboundedPreceding, -1)
-    first = sizes.select(
-        "cell_id", "cell_rows", F.coalesce(F.sum(parts).over(before), F.lit(0)).alias("first_shard")
+    assigned = materialize(assigned.withColumn("cell_id", F.coalesce("cell_id", F.lit(REST_CELL)).cast("bigint")), "cells")
+    sizes = materialize(assigned.groupBy("cell_id").agg(F.count("*").alias("cell_rows")), "sizes")
+    large = assigned.select("cell_id", F.col("row_id").cast("bigint").alias("row_id")).join(
+        F.broadcast(sizes.filter(F.col("cell_rows") > cap).select("cell_id")), "cell_id"
     )
-    placed = assigned.join(F.broadcast(first), "cell_id")
-    small = placed.filter(F.col("cell_rows") <= cap).withColumn("shard_id", F.col("first_shard").cast("int"))
-    large = position_within(placed.filter(F.col("cell_rows") > cap), "cell_id", "position")
-    large = large.withColumn("shard_id", (F.col("first_shard") + F.floor(F.col("position") / cap)).cast("int"))
-    columns = [*assigned.columns, "shard_id"]
-    return small.select(*columns).unionByName(large.select(*columns))
+    heads = position_within(large, "cell_id", "position").filter(F.col("position") % cap == 0)
+    # One row per shard.
+    heads = heads.select("cell_id", "row_id").unionByName(sizes.filter(F.col("cell_rows") <= cap).select("cell_id", F.lit(_LOWEST).alias("row_id")))
+    return _placed(assigned, np.array(sorted(tuple(r) for r in heads.collect()), np.int64).reshape(-1, 2))
+
+
+_LOWEST = -(1 << 63)
+
+
+def _placed(assigned: DataFrame, heads: np.ndarray) -> DataFrame:
+    """Add ``shard_id``: the last of ``heads`` (cell, first row; sorted) of the row's cell that is not after the row."""
+    cells, begins = np.unique(heads[:, 0], return_index=True)
+    ends = np.append(begins[1:], len(heads))
+
+    @F.pandas_udf("int")
+    def shard(cell: pd.Series, row: pd.Series) -> pd.Series:
+        found = np.empty(len(cell), np.int32)
+        owner, rows = np.searchsorted(cells, cell.to_numpy()), row.to_numpy()
+        for own in np.unique(owner):
+            mine = owner == own
+            a, b = begins[own], ends[own]
+            found[mine] = a + np.searchsorted(heads[a:b, 1], rows[mine], side="right") - 1
+        return pd.Series(found)
+
+    return assigned.withColumn("shard_id", shard("cell_id", F.col("row_id").cast("bigint")))
 
 
 def shard_filter(df: DataFrame, shard_id: int) -> DataFrame:

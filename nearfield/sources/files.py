@@ -74,7 +74,7 @@ def list_files(path: str) -> list[str]:
         return [path]
     listed = read_manifest(path)
     if listed is not None:
-        return [f"{path.rstrip('/')}/{name}" for name in listed]
+        return [f"{path.rstrip('/')}/{entry['name']}" for entry in listed]
     found = filesystem.get_file_info(fs.FileSelector(inner, recursive=True))
     names = sorted(
         f.path[len(inner.rstrip("/")) + 1 :] for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))
@@ -82,13 +82,27 @@ def list_files(path: str) -> list[str]:
     return [f"{path.rstrip('/')}/{name}" for name in names]
 
 
-def read_manifest(path: str) -> list[str] | None:
+def read_manifest(path: str) -> list[dict] | None:
+    """One entry per file: its ``name`` and what its writer knew of it (``rows``, ``cols``, ``shard``)."""
     try:
         with open_read(f"{path.rstrip('/')}/{MANIFEST}") as source:
-            return json.loads(source.read())["files"]
-    except FileNotFoundError:
+            listed = json.loads(source.read())["files"]
+    except (FileNotFoundError, NotADirectoryError):
         return None
+    return [{"name": x} if isinstance(x, str) else x for x in listed]
 
 
-def write_manifest(path: str, names: list[str]) -> None:
-    write_bytes(f"{path.rstrip('/')}/{MANIFEST}", json.dumps({"files": names}).encode())
+def write_manifest(path: str, entries: list[dict]) -> None:
+    write_bytes(f"{path.rstrip('/')}/{MANIFEST}", json.dumps({"files": entries}).encode())
+
+
+def qualified(path: str, default: str) -> str:
+    """``path`` as every process reads it: one without a scheme belongs to the default file system.
+
+    ``default`` is ``fs.defaultFS``; local paths become absolute.
+    """
+    if "://" in path or path.startswith("file:"):
+        return path
+    if default.startswith("file:"):
+        return os.path.abspath(path)
+    return f"{default.rstrip('/')}/{path.lstrip('/')}"

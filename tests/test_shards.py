@@ -123,6 +123,25 @@ def test_batches_of_a_user_function(spark, rng):
     assert total == np.floor(vectors.astype("f4") * np.float32(127) + 0.5).astype(int).sum()
 
 
+@pytest.mark.parametrize("held", [64, 1])
+def test_only_rows_of_shared_batches_are_exchanged(spark, rng, monkeypatch, held):
+    """Four partitions in row order: what moves of the vectors are the batches at their edges."""
+    monkeypatch.setattr(batch, "_HELD_BATCHES", held)
+    df = table_of(spark, range(4000), rng.normal(size=(4000, 3))).repartitionByRange(4, "row_id").sortWithinPartitions("row_id")
+    got = batch.apply_to_batches(df, lambda rows: {"n": len(rows), "first": int(rows.keys[0])}, "n int, first bigint", 100)
+    assert sorted(tuple(r) for r in got.collect()) == [(i, 100, 100 * i) for i in range(40)]
+    local = batch.local_batches(df, lambda rows: {"n": len(rows)}, "n int", 100, False)
+    moved = local.filter("vector IS NOT NULL").count()
+    assert moved <= 4 * 2 * 100 and local.filter("out IS NOT NULL").count() >= 40 - 8
+
+
+def test_rows_out_of_order(spark, rng):
+    """No partition has a whole batch, and more batches come than a task keeps."""
+    df = table_of(spark, range(3000), rng.normal(size=(3000, 2))).repartition(5)
+    got = batch.apply_to_batches(df, lambda rows: {"n": len(rows), "ordered": bool((np.diff(rows.keys) == 1).all())}, "n int, ordered boolean", 10)
+    assert sorted(tuple(r) for r in got.collect()) == [(i, 10, True) for i in range(300)]
+
+
 def test_a_failing_batch_fails_the_job(spark, rng):
     def fail(rows):
         raise RuntimeError("no such batch")
@@ -131,6 +150,21 @@ def test_a_failing_batch_fails_the_job(spark, rng):
         batch.apply_to_batches(table_of(spark, range(5), rng.normal(size=(5, 2))), fail, "x int", 2).collect()
 
 
+def test_semantic_moves_no_vectors(spark, rng):
+    cells = table_of(spark, range(500), rng.normal(size=(500, 2))).withColumn("cell_id", F.when(F.col("row_id") % 7 == 0, 1).otherwise(4))
+    placed = shards.semantic(cells, 40)
+    assert "Exchange" not in placed._jdf.queryExecution().executedPlan().toString()
+    rows = sorted((r["cell_id"], r["row_id"], r["shard_id"]) for r in placed.collect())
+    assert len(rows) == 500
+    want, shard = [], -1
+    for cell in (1, 4):
+        own = [r for r in rows if r[0] == cell]
+        for i, (_, row, _) in enumerate(own):
+            shard += i % 40 == 0
+            want.append((cell, row, shard))
+    assert rows == want
+
+
 def test_semantic_keeps_rows_without_a_cell(spark):
     """NULL and zero vectors under cosine have no nearest centroid; rows in are rows out."""
     from nearfield.operators import ivf

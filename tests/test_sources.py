@@ -125,7 +125,9 @@ def test_written_files_are_bounded_and_listed(spark, tmp_path, rng):
     df = table_of(spark, range(100), rng.normal(size=(100, 4))).repartitionByRange(2, "row_id").sortWithinPartitions("row_id")
     vecbin.register(spark)
     df.write.format("vecbin").option("fileBytes", 160).mode("overwrite").save(path)
-    names = files.read_manifest(path)
+    listed = files.read_manifest(path)
+    assert sum(x["rows"] for x in listed) == 100 and {x["cols"] for x in listed} == {4}
+    names = [x["name"] for x in listed]
     assert len(names) >= 10 and all(os.path.getsize(f"{path}/{n}") <= 168 for n in names)
     # A file that no job committed (a lost attempt) does not count.
     store(f"{path}/part-999999-00000-lost.fbin", np.zeros((5, 4)), "<f4")
@@ -179,7 +181,7 @@ def test_shard_files(spark, tmp_path, rng):
     )
     path = str(tmp_path / "out")
     vecbin.write_shard_files(df, path)
-    first = next(n for n in files.read_manifest(path) if n.startswith("shard_1/"))
+    first = next(x["name"] for x in files.read_manifest(path) if x["shard"] == 1)
     raw = open(f"{path}/{first}", "rb").read()
     dims, n = np.frombuffer(raw[:8], ">i4")
     assert dims == 3 and len(raw) == 8 + n * (8 + 12)
@@ -222,8 +224,44 @@ def test_load_dataset(spark, tmp_path, rng):
     assert (limited.base.count(), limited.queries.count()) == (7, 3)
 
 
+def test_planning_opens_the_manifest_only(spark, tmp_path, rng, monkeypatch):
+    """Rows, columns and shard of every file are known from one read, also when one shard of many is asked for."""
+    path, shards = str(tmp_path / "out"), str(tmp_path / "shards")
+    df = table_of(spark, range(100), rng.normal(size=(100, 4)))
+    vecbin.register(spark)
+    df.repartitionByRange(2, "row_id").sortWithinPartitions("row_id").write.format("vecbin").option("fileBytes", 160).mode("overwrite").save(path)
+    rows = df.select(F.col("row_id").alias("id"), F.col("vector").alias("embedding"), (F.col("row_id") % 5).cast("int").alias("shard_id"))
+    vecbin.write_shard_files(rows, shards)
+    opened, read = [], files.open_read
+    monkeypatch.setattr(files, "open_read", lambda p: opened.append(p) or read(p))
+    monkeypatch.setattr(files, "size_of", lambda p: pytest.fail("no file is measured"))
+    matrix = vecbin.VecBinDataSource({"path": path})
+    ranges = matrix.reader(matrix.schema()).partitions()
+    assert len(ranges) >= 10 and sum(r.rows for r in ranges) == 100 and [r.first_id for r in ranges] == sorted(r.first_id for r in ranges)
+    one = vecbin.ShardBinDataSource({"path": shards, "shard": "3"}).reader(None).partitions()
+    assert sum(r.rows for r in one) == 20 and {r.first_id for r in one} == {3}
+    assert opened and all(p.endswith(files.MANIFEST) for p in opened)
+
+
+def test_a_manifest_of_names_alone_is_read(spark, tmp_path, rng):
+    """As folders of other writers: headers are then looked up."""
+    store(tmp_path / "a.fbin", [[1], [2]], "<f4")
+    store(tmp_path / "b.fbin", [[3]], "<f4")
+    (tmp_path / files.MANIFEST).write_text(json.dumps({"files": ["b.fbin"]}))
+    assert loaded(vecbin.read_vectors(spark, str(tmp_path)))[1].ravel().tolist() == [3]
+
+
+def test_paths_belong_to_the_default_file_system(tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    assert files.qualified("a/b.fbin", "file:///") == f"{tmp_path}/a/b.fbin"
+    assert files.qualified("/data/x", "file:///") == "/data/x"
+    assert files.qualified("/data/x", "hdfs://name:9000") == "hdfs://name:9000/data/x"
+    for path in ("file:/data/x", "file:///data/x", "s3a://bucket/x"):
+        assert files.qualified(path, "hdfs://name:9000") == path
+
+
 def test_manifest_is_json(tmp_path):
-    files.write_manifest(str(tmp_path), ["a"])
-    assert json.loads((tmp_path / files.MANIFEST).read_text()) == {"files": ["a"]}
+    files.write_manifest(str(tmp_path), [{"name": "a", "rows": 3}])
+    assert json.loads((tmp_path / files.MANIFEST).read_text()) == {"files": [{"name": "a", "rows": 3}]}
     assert files.list_files(str(tmp_path)) == [f"{tmp_path}/a"]
     assert files.list_files(f"file://{tmp_path}") == [f"file://{tmp_path}/a"]
