@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.text import words
+from nearfield.operators.widesvd import svd_embed_wide
 from nearfield.session import materialize, parallelism, ship_package
 
 
@@ -134,6 +135,15 @@ def svd_embed(rows: DataFrame, width: int, components: int = 512) -> DataFrame:
     return rows.mapInArrow(project, "doc_id bigint, embedding array<float>")
 
 
+def tfidf_svd_wide(
+    documents: DataFrame, max_features: int = 16384, components: int = 512, min_df: int = 2, oversample: int = 10, power: int = 1
+) -> DataFrame:
+    """:func:`tfidf_svd` for wide vocabularies, see :mod:`widesvd`."""
+    vocab = vocabulary(documents, max_features, min_df)
+    rows = materialize(sparse_rows(documents, tfidf(documents, vocab)), "tfidf")
+    return svd_embed_wide(rows, components, oversample, power)
+
+
 def tfidf_svd(documents: DataFrame, max_features: int = 1024, components: int = 512, min_df: int = 2) -> DataFrame:
     """``doc_id, embedding`` of every document.
 

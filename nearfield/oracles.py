@@ -346,6 +346,7 @@ def oracle() -> dict[str, str]:
           FROM cells a LEFT JOIN cells b ON b.doc_id = a.doc_id + 1 AND b.term_id = a.term_id GROUP BY a.doc_id)
       SELECT doc_id, round(coalesce(square, 0), 3) AS square, round(coalesce(product, 0), 3) AS product, TRUE AS same
         FROM documents LEFT JOIN sums USING (doc_id)"""
+    sql["tfidf_svd_wide"] = sql["tfidf_svd_products"].replace("LIMIT 1024", "LIMIT 16384")
     sql["text_to_shards"] = """SELECT count(*) AS n_vectors, TRUE AS within_cap, min(doc_id) AS min_id, max(doc_id) AS max_id
         FROM documents"""
     whole = [_knn("t", 100)] + [_knn(f"h_{p}", 100, precision=p) for p in _VECTORS]

@@ -795,13 +795,24 @@ def tfidf_svd_products(spark, sf_dir):
     returned, and whether those of the embeddings equal them.
     """
     documents, features = table(spark, sf_dir, "documents"), 1024
+    return _products(documents, features, embed.tfidf_svd(documents, features, features))
+
+
+@query
+def tfidf_svd_wide(spark, sf_dir):
+    """The same over sixteen times the vocabulary; 1,034 columns of the sketch are as many as 1,000 documents can span."""
+    documents, features = table(spark, sf_dir, "documents"), 16384
+    return _products(documents, features, embed.tfidf_svd_wide(documents, features, 1024))
+
+
+def _products(documents: DataFrame, features: int, embedded: DataFrame) -> DataFrame:
     weights = embed.tfidf(documents, embed.vocabulary(documents, features)).select("doc_id", "term_id", "weight")
     after = weights.select((F.col("doc_id") - 1).alias("doc_id"), "term_id", F.col("weight").alias("next"))
     sums = weights.join(after, ["doc_id", "term_id"], "left").groupBy("doc_id").agg(
         F.sum(F.col("weight") * F.col("weight")).alias("square"),
         F.sum(F.col("weight") * F.coalesce("next", F.lit(0.0))).alias("product"),
     )
-    embedded = materialize(embed.tfidf_svd(documents, features, features), "embedded")
+    embedded = materialize(embedded, "embedded")
     later = embedded.select((F.col("doc_id") - 1).alias("doc_id"), F.col("embedding").alias("next"))
 
     def dot(a: str, b: str) -> Column:

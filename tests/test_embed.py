@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nearfield.operators import embed
+from nearfield.operators import embed, widesvd
 from nearfield.plans import evaluation, pipeline
 from nearfield.sources import catalog, vecbin
 from tests.conftest import table_of
@@ -123,3 +123,60 @@ def test_limits(spark):
     rows = spark.range(10).select(F.col("id").alias("row_id"), F.col("id").alias("query_id"))
     assert evaluation.limit_base(rows, 4).count() == 4 and evaluation.limit_base(rows, -1).count() == 10
     assert evaluation.limit_queries(rows, 3).count() == 3 and evaluation.limit_queries(rows, 99).count() == 10
+
+
+def sparse(spark, matrix):
+    rows = [(i, np.flatnonzero(r).tolist(), r[np.flatnonzero(r)].tolist()) for i, r in enumerate(matrix)]
+    return spark.createDataFrame(rows, "doc_id bigint, terms array<int>, weights array<double>").repartition(5)
+
+
+def embedded(df):
+    return np.array([r["embedding"] for r in df.orderBy("doc_id").collect()])
+
+
+def test_wide_svd_of_low_rank_is_exact(spark, rng):
+    """Rank 12 over 3,000 terms, with empty rows: products and singular values are those of the rows."""
+    matrix = (rng.normal(size=(90, 12)) @ rng.normal(size=(12, 3000))) * (rng.random((1, 3000)) < 0.4)
+    matrix[:5] = 0
+    got = embedded(widesvd.svd_embed_wide(sparse(spark, matrix), 20))
+    assert got.shape == (90, 20) and (got[:, 12:] == 0).all()
+    np.testing.assert_allclose(got @ got.T, matrix @ matrix.T, rtol=1e-4, atol=1e-2)
+    np.testing.assert_allclose(np.linalg.norm(got[:, :12], axis=0), np.linalg.svd(matrix)[1][:12], rtol=1e-5)
+
+
+def test_wide_svd_by_power_rounds(spark, rng):
+    """Full rank: the leading singular values come out, the closer the more rounds; pieces of the products do not matter."""
+    u, _ = np.linalg.qr(rng.normal(size=(300, 60)))
+    v, _ = np.linalg.qr(rng.normal(size=(800, 60)))
+    values = 100 * 0.93 ** np.arange(60)
+    rows = sparse(spark, (u * values) @ v.T)
+    errors = []
+    for power in (0, 1, 2):
+        got = embedded(widesvd.svd_embed_wide(rows, 10, 5, power))
+        assert got.shape == (300, 10)
+        errors.append(np.abs(np.linalg.norm(got, axis=0) / values[:10] - 1).max())
+    assert errors[2] < 0.02 and errors[2] < errors[1] < errors[0]
+
+
+def test_wide_svd_in_pieces(spark, rng, monkeypatch):
+    matrix = rng.normal(size=(40, 50)) * (rng.random((40, 50)) < 0.5)
+    whole = embedded(widesvd.svd_embed_wide(sparse(spark, matrix), 6, 4, 1))
+    monkeypatch.setattr(widesvd, "_HELD_BYTES", 10 * 8 * 7)
+    np.testing.assert_allclose(embedded(widesvd.svd_embed_wide(sparse(spark, matrix), 6, 4, 1)), whole, rtol=1e-3, atol=1e-4)
+
+
+def test_tall_skinny_qr(spark, rng, monkeypatch):
+    """Many small factors, stacked in several steps."""
+    matrix = rng.normal(size=(700, 6))
+    rows = spark.createDataFrame([(x.tolist(),) for x in matrix], "x array<double>").repartition(30)
+    monkeypatch.setattr(widesvd, "parallelism", lambda _: 30)
+    monkeypatch.setattr(widesvd, "_FAN_IN", 3)
+    r = widesvd.triangular_factor(rows, "x", 6)
+    np.testing.assert_allclose(r.T @ r, matrix.T @ matrix, rtol=1e-9, atol=1e-9)
+
+
+def test_wide_svd_of_nothing(spark):
+    rows = spark.createDataFrame([], "doc_id bigint, terms array<int>, weights array<double>")
+    assert widesvd.svd_embed_wide(rows, 3).count() == 0
+    zero = spark.createDataFrame([(1, [], []), (2, None, None)], "doc_id bigint, terms array<int>, weights array<double>")
+    assert (embedded(widesvd.svd_embed_wide(zero, 3)) == 0).all()
