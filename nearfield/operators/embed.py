@@ -2,33 +2,53 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from nearfield.functions.text import words
 from nearfield.operators.widesvd import svd_embed_wide
 from nearfield.session import materialize, parallelism, ship_package
 
 
+def term_counts(documents: DataFrame) -> DataFrame:
+    """``doc_id, terms, times``: the different words of every document and how often it has each.
+
+    Words are runs between ASCII white space, in lower case.  Texts are split once, row by
+    row, and nothing is shuffled; store the result where it is used more than once.
+    """
+    ship_package(documents.sparkSession)
+    listed = documents.select("doc_id", F.lower("text").alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counted = [Counter((x or b"").split()) for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            offsets = pa.array(np.append(0, np.cumsum([len(x) for x in counted])).astype(np.int32))
+            terms = pa.array([t for x in counted for t in x], pa.binary()).cast(pa.string())
+            times = pa.array([n for x in counted for n in x.values()], pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (terms, times)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], names=["doc_id", "terms", "times"])
+
+    schema = StructType([listed.schema["doc_id"], *StructType.fromDDL("terms array<string>, times array<int>").fields])
+    return listed.mapInArrow(count, schema)
+
+
+def _counted(documents: DataFrame) -> DataFrame:
+    return term_counts(documents) if "text" in documents.columns else documents
+
+
 def vocabulary(documents: DataFrame, max_features: int = 1024, min_df: int = 2) -> DataFrame:
     """``term, term_id, df, total, idf`` of the most frequent terms (ties by term).
 
-    One scan: every document lists all its words and then its distinct words;
-    both are counted per term before the shuffle.
+    ``documents``: the texts, or their :func:`term_counts`.
     """
-    listed = documents.select(words(F.col("text")).alias("words"))
-    both = listed.select(
-        F.size("words").alias("n"), F.posexplode(F.concat("words", F.array_distinct("words"))).alias("pos", "term")
-    )
-    counted = (
-        both.filter(F.col("term") != "")
-        .groupBy("term")
-        .agg(F.count_if(F.col("pos") >= F.col("n")).alias("df"), F.count_if(F.col("pos") < F.col("n")).alias("total"))
-    )
+    counts = _counted(documents)
+    both = counts.select(F.inline(F.arrays_zip("terms", "times")).alias("term", "times"))
+    counted = both.groupBy("term").agg(F.count("*").alias("df"), F.sum("times").alias("total"))
     n_documents = documents.select(F.count("*")).scalar()
     kept = counted.filter(F.col("df") >= min_df).orderBy(F.col("total").desc(), "term").limit(max_features)
     # At most max_features rows from here on.
@@ -41,22 +61,40 @@ def vocabulary(documents: DataFrame, max_features: int = 1024, min_df: int = 2)
 
 
 def tfidf(documents: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``doc_id, term_id, tf, weight``; only vocabulary words reach the shuffle.
+    """``doc_id, term_id, tf, weight`` of every row of ``documents`` (texts or :func:`term_counts`); no shuffle.
 
     ``vocab`` holds at most the vocabulary size of rows, so it is broadcast.
     """
-    tokens = documents.select("doc_id", F.explode(words(F.col("text"))).alias("term"))
+    tokens = _counted(documents).select("doc_id", F.inline(F.arrays_zip("terms", "times")).alias("term", "times"))
     known = tokens.join(F.broadcast(vocab.select("term", "term_id", "idf")), "term")
-    counted = known.groupBy("doc_id", "term_id").agg(F.count("*").alias("tf"), F.first("idf").alias("idf"))
-    return counted.select("doc_id", "term_id", "tf", (F.col("tf") * F.col("idf")).alias("weight"))
+    return known.select("doc_id", "term_id", F.col("times").cast("bigint").alias("tf"), (F.col("times") * F.col("idf")).alias("weight"))
+
 
+def sparse_rows(documents: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``doc_id, terms, weights`` by term number, one row per document, also those without any vocabulary word."""
+    counts = _counted(documents)
+    # At most the vocabulary size of rows.
+    found = vocab.select("term", "term_id", "idf").collect()
+    shared = counts.sparkSession.sparkContext.broadcast(({r["term"].encode(): r["term_id"] for r in found}, np.array([r["idf"] for r in sorted(found, key=lambda r: r["term_id"])])))
 
-def sparse_rows(documents: DataFrame, weights: DataFrame) -> DataFrame:
-    """One row per document, also those without any vocabulary word."""
-    cells = F.sort_array(F.collect_list(F.struct("term_id", "weight")))
-    packed = weights.groupBy("doc_id").agg(cells.alias("cells"))
-    joined = documents.select("doc_id").join(packed, "doc_id", "left")
-    return joined.select("doc_id", F.col("cells.term_id").alias("terms"), F.col("cells.weight").alias("weights"))
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, idf = shared.value
+        for batch in batches:
+            listed = batch.column("terms")
+            sizes = np.diff(listed.offsets.to_numpy())
+            flat = listed.flatten().cast(pa.binary()).to_pylist()
+            place = np.fromiter((numbers.get(x, -1) for x in flat), np.int64, len(flat))
+            times = batch.column("times").flatten().to_numpy()
+            owner = np.repeat(np.arange(batch.num_rows), sizes)
+            known = np.flatnonzero(place >= 0)
+            known = known[np.lexsort((place[known], owner[known]))]
+            offsets = pa.array(np.append(0, np.cumsum(np.bincount(owner[known], minlength=batch.num_rows))).astype(np.int32))
+            terms, weights = place[known].astype(np.int32), times[known] * idf[place[known]] if len(idf) else np.empty(0)
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (terms, weights)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], names=["doc_id", "terms", "weights"])
+
+    schema = StructType([counts.schema["doc_id"], *StructType.fromDDL("terms array<int>, weights array<double>").fields])
+    return counts.mapInArrow(weigh, schema)
 
 
 def _dense(batch: pa.RecordBatch, width: int) -> np.ndarray:
@@ -77,7 +115,7 @@ def gram_matrix(rows: DataFrame, width: int) -> np.ndarray:
     def emit(numbers: list[int], cells: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         for start in range(0, len(numbers), 256):
             part = slice(start, start + 256)
-            values = pa.array([c.tolist() for c in cells[part]], pa.list_(pa.float64()))
+            values = pa.ListArray.from_arrays(np.arange(len(cells[part]) + 1, dtype=np.int32) * width, np.concatenate(cells[part]))
             yield pa.RecordBatch.from_arrays([pa.array(numbers[part], pa.int32()), values], names=["i", "cells"])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,17 +177,16 @@ def tfidf_svd_wide(
     documents: DataFrame, max_features: int = 16384, components: int = 512, min_df: int = 2, oversample: int = 10, power: int = 1
 ) -> DataFrame:
     """:func:`tfidf_svd` for wide vocabularies, see :mod:`widesvd`."""
-    vocab = vocabulary(documents, max_features, min_df)
-    rows = materialize(sparse_rows(documents, tfidf(documents, vocab)), "tfidf")
+    counts = materialize(term_counts(documents), "counts")
+    rows = materialize(sparse_rows(counts, vocabulary(counts, max_features, min_df)), "tfidf")
     return svd_embed_wide(rows, components, oversample, power)
 
 
 def tfidf_svd(documents: DataFrame, max_features: int = 1024, components: int = 512, min_df: int = 2) -> DataFrame:
     """``doc_id, embedding`` of every document.
 
-    The sparse rows are read twice (Gram matrix, projection), so they are
-    written to the shared folder once.
+    Word counts and sparse rows are each read twice, so they are written to the shared folder once.
     """
-    vocab = vocabulary(documents, max_features, min_df)
-    rows = materialize(sparse_rows(documents, tfidf(documents, vocab)), "tfidf")
+    counts = materialize(term_counts(documents), "counts")
+    rows = materialize(sparse_rows(counts, vocabulary(counts, max_features, min_df)), "tfidf")
     return svd_embed(rows, max_features, components)

@@ -778,7 +778,8 @@ def tfidf_terms(spark, sf_dir):
 @query
 def tfidf_weights(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
-    weights = embed.tfidf(documents, embed.vocabulary(documents))
+    counts = materialize(embed.term_counts(documents), "counts")
+    weights = embed.tfidf(counts, embed.vocabulary(counts))
     return weights.select("doc_id", F.col("term_id").cast("int").alias("term_id"), "tf", r6("weight"))
 
 

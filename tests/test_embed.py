@@ -50,7 +50,7 @@ def test_svd_equals_numpy(spark, sf_dir):
     matrix = np.zeros((documents.count(), 50))
     for r in weights.collect():
         matrix[r["doc_id"], r["term_id"]] = r["weight"]
-    rows = embed.sparse_rows(documents, weights)
+    rows = embed.sparse_rows(documents, vocab)
     np.testing.assert_allclose(embed.gram_matrix(rows, 50), matrix.T @ matrix, rtol=1e-9)
     values = np.linalg.svd(matrix, compute_uv=False)
     embedded = embed.svd_embed(rows, 50, 8).orderBy("doc_id").collect()
