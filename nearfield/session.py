@@ -47,7 +47,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder and read it back."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that :func:`materialize` wrote, once no later step reads them."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread_by(df: DataFrame, key: str) -> DataFrame:

@@ -33,3 +33,11 @@ def test_task_counts():
     assert session.parallelism(fake("yarn", dynamic)) == 16000
     endless = {"spark.sql.shuffle.partitions": "4000", "spark.dynamicAllocation.maxExecutors": "infinity"}
     assert session.parallelism(fake("yarn", endless)) == 4000
+
+
+def test_discarded_tables_leave_the_shared_folder(spark):
+    import os
+
+    kept, gone = session.materialize(spark.range(5), "kept"), session.materialize(spark.range(7), "gone")
+    session.discard(gone)
+    assert os.path.exists(kept._stored_at) and not os.path.exists(gone._stored_at) and kept.count() == 5
