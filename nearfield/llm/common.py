@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from nearfield.session import materialize, ship_package
+from nearfield.session import discard, materialize, ship_package
 
 # Bytes of text that one Python step holds at a time (or one row); bounds the memory of a task.
 SLICE_BYTES = 2 << 20
@@ -113,7 +113,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating star contraction: every round hangs the larger neighbours of a
     node, then its smaller ones, onto the smallest.  Minima are aggregated per
     task before they move and the joins are plain equi-joins, which adaptive
-    execution splits at a hot node.  Each round is a written table.
+    execution splits at a hot node.  Each round is a written table, and the one before it goes.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     state = materialize(edges.where("a != b").select(high.alias("a"), low.alias("b")).distinct(), "edges")
@@ -131,4 +131,5 @@ def components(edges: DataFrame) -> DataFrame:
         large = materialize(large, "edges")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        state = materialize(hung.where("a != b").distinct(), "edges")
+        before, state = state, materialize(hung.where("a != b").distinct(), "edges")
+        discard(before, large)

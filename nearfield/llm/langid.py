@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from nearfield.llm.common import CACHE_WORDS, in_arrow, raw, slices
-from nearfield.session import materialize, parallelism
+from nearfield.session import discard, materialize, parallelism
 
 LONGEST = 5
 ALPHA = 0.5
@@ -210,6 +210,7 @@ def train(docs: DataFrame, max_words: int = 200_000, max_grams: int = 100_000) -
     counted = in_arrow(spread, _count_grams, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     *known, all_words, cut_words = _tables(words, "word", max_words, languages)
     *parts, all_grams, cut_grams = _tables(counted, "gram", max_grams, languages)
+    discard(words)
     return Model(languages, *known, *parts, *((all_words, all_grams) if cut_words or cut_grams else ()))
 
 
