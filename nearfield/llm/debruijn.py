@@ -1,24 +1,25 @@
 """Repeated spans by a compacted De Bruijn graph of words.
 
-The graph's edges are the windows of ``k`` = 20 consecutive words; a window
-that occurs twice is an edge that two places share.  Edges are never moved one by one:
-
-1. *Compaction in place.* Neighbouring edges that share their minimizer (the 5-word run
-   with the smallest hash inside the window) form one piece of a path, a
-   super-k-mer; a piece travels as (minimizer hash, hash of all its words, doc_id,
-   start, number of edges), about an eighth of the rows.
-2. *Joining in buckets.* Pieces meet by minimizer.  Equal pieces are one path seen
-   at several sources: all sources after the first are repeats.  The first ones of
-   a bucket that holds several different pieces are where paths branch.
-3. *Verification at the sources.* Branching pieces are looked up in their documents by
-   coordinates and their edges compared one by one by 128-bit hashes.  An edge whose earliest
-   source is elsewhere is a repeat.
-4. Repeats that touch are glued to spans, joined to the documents and cut.
-
-Steps 2 and 3 decide every edge: a piece that is not the first of its kind has no first edge,
-and the earliest source of any edge lies in a first piece.
-Pieces that repeat within one slice of a task are marked there and dealt by their own
-place, so the rows of a frequent passage do not meet in one task.
+The graph's edges are the windows of ``k`` = 20 consecutive words, its nodes the runs of 19 between
+them; a window that occurs twice is an edge that two places share.
+
+1. *Pieces.*  Neighbouring edges that share their minimizer (the 5-word run with the smallest
+   hash inside the window) form one piece of a path, a super-k-mer.  Equal windows have equal
+   minimizers, so only pieces whose minimizer occurs more than once take part; the others are
+   dropped where they are read, by a bitmap.
+2. *Graph.*  Equal pieces are one path: a grouped minimum finds its first source, and the pieces that
+   come before and behind it at its sources are its neighbours.  A minimizer with different
+   pieces is where paths branch, which a grouped minimum and maximum of the pieces tell.
+3. *Compaction.*  Two repeated pieces whose node between them has one way in and one way out belong to one
+   nonbranching path.  Joins on the neighbours make them so: each round every piece
+   points as far again towards the head of its path, and learns its place there.
+4. *Spans.*  The graph is joined back to the pieces.  Repeats of one path on one diagonal of
+   a document are one span.  Pieces of branching minimizers are verified at their sources: their edges are
+   read from the documents by coordinates and compared one by one by 128-bit hashes.
+5. Spans are joined to the documents that have any, and cut.
+
+A piece that is not the first of its kind has no first edge, and the earliest source of any edge lies in
+a first piece, so steps 2 and 4 decide every edge.
 """
 
 from __future__ import annotations
@@ -28,14 +29,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import WordHashes, in_arrow, mixed, ragged, raw, slices, texts_of
-from nearfield.session import materialize
+from nearfield.operators.bitmap import only_listed, with_listed
+from nearfield.session import discard, materialize
 
 WINDOW = 20
 SEED_WORDS = 5
+ROUNDS = 5
 _BASES = (0x9E3779B97F4A7C15 | 3, 0xC2B2AE3D27D4EB4F | 3)
 
 
@@ -86,22 +89,6 @@ def pieces(hashes: np.ndarray, ends: np.ndarray, k: int, m: int) -> tuple[np.nda
     return owner, begin, count, seeds[place], mixed(words ^ mixed(shape))
 
 
-def _later(keys: list[np.ndarray], order: list[np.ndarray]) -> np.ndarray:
-    """True where an earlier row (by ``order``) of other coordinates has the same keys."""
-    by = np.lexsort((*order[::-1], *keys))
-    same = np.ones(max(0, len(by) - 1), bool)
-    for key in keys:
-        same &= key[by][1:] == key[by][:-1]
-    # Runs of equal keys: later unless at the coordinates of the run's first row.
-    head = np.maximum.accumulate(np.where(np.append(True, ~same)[: len(by)], np.arange(len(by)), 0))
-    differs = np.zeros(len(by), bool)
-    for x in order:
-        differs |= x[by] != x[by][head]
-    found = np.empty(len(by), bool)
-    found[by] = differs
-    return found
-
-
 def _ids(part: pa.RecordBatch) -> np.ndarray:
     """doc_ids as integers; null sorts before all others."""
     return part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -111,7 +98,22 @@ def _columns(*arrays: np.ndarray) -> list[pa.Array]:
     return [pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in arrays]
 
 
-_PIECE = ["minimizer", "words", "doc_id", "start", "edges", "known"]
+_PIECE = ["minimizer", "words", "doc_id", "start", "edges", "before", "behind"]
+
+
+def _minimizers(k: int, m: int):
+    """The minimizers of a slice, and how many pieces have each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes(1)
+        for batch in batches:
+            for part in slices(batch):
+                words = [x.split() for x in raw(part.column("text"))]
+                seed = pieces(cache.of([w for x in words for w in x]), np.cumsum([len(x) for x in words]), k, m)[3]
+                found, n = np.unique(seed, return_counts=True)
+                yield pa.RecordBatch.from_arrays(_columns(found, np.minimum(n, 100).astype(np.int8)), ["minimizer", "n"])
+
+    return run
 
 
 def _pieces(k: int, m: int):
@@ -123,17 +125,17 @@ def _pieces(k: int, m: int):
                 ends = np.cumsum([len(x) for x in words])
                 owner, begin, count, seed, whole = pieces(cache.of([w for x in words for w in x]), ends, k, m)
                 start = begin - np.append(0, ends)[owner]
+                # The pieces on both sides in the same document; 0 where there is none.
+                next_ = owner[1:] == owner[:-1]
+                before, behind = np.zeros(len(whole), np.uint64), np.zeros(len(whole), np.uint64)
+                before[1:], behind[:-1] = np.where(next_, whole[:-1], 0), np.where(next_, whole[1:], 0)
                 doc = _ids(part)[owner]
-                known = _later([seed, whole], [doc, start])
-                # A known repeat goes where its own place says, not where its words would.
-                apart = mixed(doc.astype(np.uint64) * np.uint64(1 << 20) ^ mixed(start.astype(np.uint64)))
-                seed = np.where(known, apart, seed)
-                yield pa.RecordBatch.from_arrays(_columns(seed, whole, doc, start.astype(np.int32), count.astype(np.int8), known), _PIECE)
+                yield pa.RecordBatch.from_arrays(_columns(seed, whole, doc, start.astype(np.int32), count.astype(np.int8), before, behind), _PIECE)
 
     return run
 
 
-_EDGE = ["low", "high", "doc_id", "start", "known"]
+_EDGE = ["low", "high", "doc_id", "start"]
 
 
 def _edges(k: int):
@@ -142,7 +144,7 @@ def _edges(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes(1)
         for batch in batches:
-            for part in slices(batch.filter(batch.column("branching").is_valid())):
+            for part in slices(batch):
                 listed = part.column("branching")
                 flat = listed.flatten()
                 counts = np.diff(listed.offsets.to_numpy())
@@ -158,11 +160,7 @@ def _edges(k: int):
                 fits = at + k <= ends[owner]
                 owner, start, at = owner[fits], start[fits], at[fits]
                 low, high = (Spans(hashes, base).of(at, at + k) for base in _BASES)
-                doc = _ids(part)[owner]
-                known = _later([low, high], [doc, start])
-                apart = mixed(doc.astype(np.uint64) * np.uint64(1 << 20) ^ mixed(start.astype(np.uint64)))
-                low = np.where(known, apart, low)
-                yield pa.RecordBatch.from_arrays(_columns(low, high, doc, start.astype(np.int32), known), _EDGE)
+                yield pa.RecordBatch.from_arrays(_columns(low, high, _ids(part)[owner], start.astype(np.int32)), _EDGE)
 
     return run
 
@@ -202,7 +200,26 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 _NULL_ID = -(1 << 63)
 
 
-def cut_repeats(docs: DataFrame, k: int = WINDOW, seed_words: int = SEED_WORDS) -> DataFrame:
+def compacted(graph: DataFrame, rounds: int) -> DataFrame:
+    """(minimizer, words, path, place): the head of each repeated piece's nonbranching path, and its first edge's place there.
+
+    ``graph``: repeated pieces with ``edges`` and their only neighbours (``before``, ``behind``; null if several).
+    After ``rounds`` a path holds up to 2**rounds pieces; a longer one stays several.
+    """
+    behind = graph.select(F.col("words").alias("from_"), F.col("behind").alias("to_"), F.col("edges").alias("step"))
+    linked = graph.join(behind, (F.col("before") == F.col("from_")) & (F.col("words") == F.col("to_")), "left")
+    # A piece points at the one before it, or at itself where a path begins.
+    state = linked.select("minimizer", "words", F.coalesce("from_", "words").alias("path"), F.coalesce("step", F.lit(0)).cast("int").alias("place"))
+    state = materialize(state, "paths")
+    for _ in range(rounds):
+        ahead = state.where("path != words").select(F.col("words").alias("path"), F.col("path").alias("further"), F.col("place").alias("step"))
+        longer = state.join(ahead, "path", "left").select("minimizer", "words", F.coalesce("further", "path").alias("path"), (F.col("place") + F.coalesce("step", F.lit(0))).alias("place"))
+        before, state = state, materialize(longer, "paths")
+        discard(before)
+    return state
+
+
+def cut_repeats(docs: DataFrame, k: int = WINDOW, seed_words: int = SEED_WORDS, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_words, n_removed, spans, kept_sha256) of every row.
 
     Words are runs of non-blank characters.  ``spans`` are the removed word
@@ -213,27 +230,44 @@ def cut_repeats(docs: DataFrame, k: int = WINDOW, seed_words: int = SEED_WORDS)
     from one of them is cut from each.  Other columns are ignored.
     """
     rows = texts_of(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NULL_ID)))
-    found = in_arrow(rows, _pieces(k, seed_words), "minimizer bigint, words bigint, doc_id bigint, start int, edges tinyint, known boolean")
-    bucket = Window.partitionBy("minimizer").orderBy("words", "doc_id", "start")
-    whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    same = Window.partitionBy("minimizer", "words").orderBy("doc_id", "start")
-    here = F.struct("doc_id", "start")
-    found = found.select(
-        "doc_id", "start", "edges", (F.col("known") | (here != F.first(here).over(same))).alias("repeat"),
-        (~F.col("known") & (F.first("words").over(whole) != F.last("words").over(whole))).alias("branching"),
-    ).where("repeat OR branching")
-    found = materialize(found, "pieces")
+    shared = in_arrow(rows, _minimizers(k, seed_words), "minimizer bigint, n tinyint").groupBy("minimizer").agg(F.sum("n").alias("n"))
+    shared = materialize(shared.where("n > 1").select("minimizer"), "minimizers")
+    found = in_arrow(rows, _pieces(k, seed_words), "minimizer bigint, words bigint, doc_id bigint, start int, edges tinyint, before bigint, behind bigint")
+    found = materialize(only_listed(found, "minimizer", shared), "pieces")
 
+    here = F.struct("doc_id", "start")
+    only = lambda x: F.when((F.min(x) == F.max(x)) & (F.min(x) != 0), F.min(x)).alias(x)
+    kinds = found.groupBy("minimizer", "words").agg(
+        F.min(here).alias("first"), (F.min(here) != F.max(here)).alias("repeated"), F.max("edges").alias("edges"), only("before"), only("behind")
+    )
+    kinds = materialize(kinds, "kinds")
+    branching = kinds.groupBy("minimizer").agg((F.min("words") != F.max("words")).alias("branching"))
+    paths = compacted(kinds.where("repeated").select("minimizer", "words", "edges", "before", "behind"), rounds)
+    kinds = kinds.select("minimizer", "words", "first", "repeated").join(branching, "minimizer").where("repeated OR branching")
+    kinds = kinds.join(paths, ["minimizer", "words"], "left").select("minimizer", "words", "first", "branching", "path", "place")
+    decided = found.select("minimizer", "words", "doc_id", "start", "edges").join(kinds, ["minimizer", "words"])
+    decided = decided.select("doc_id", "start", "edges", (here != F.col("first")).alias("repeat"), "branching", "path", "place")
+    decided = materialize(decided.where("repeat OR branching"), "decided")
+    discard(found)
+
+    # Repeats of one path on one diagonal follow each other without a gap.
+    spans = decided.where("repeat").groupBy("doc_id", "path", (F.col("start") - F.col("place")).alias("diagonal")).agg(
+        F.min("start").alias("start"), (F.max(F.col("start") + F.col("edges")) - F.min("start")).alias("edges")
+    )
+    spans = materialize(spans.select("doc_id", "start", "edges"), "spans")
     piece = F.collect_list(F.struct("start", "edges"))
-    branching = found.where("branching AND NOT repeat").groupBy("doc_id").agg(piece.alias("branching"))
-    looked_up = rows.join(branching.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "branching")
-    edges = in_arrow(looked_up, _edges(k), "low bigint, high bigint, doc_id bigint, start int, known boolean")
-    same = Window.partitionBy("low", "high").orderBy("doc_id", "start")
-    edges = edges.select("doc_id", "start", F.lit(1).cast("tinyint").alias("edges"), (F.col("known") | (here != F.first(here).over(same))).alias("repeat"))
-
-    repeats = found.where("repeat").select("doc_id", "start", "edges").union(edges.where("repeat").select("doc_id", "start", "edges"))
-    repeats = repeats.groupBy("doc_id").agg(piece.alias("repeats"))
-    cut = rows.join(repeats.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "repeats")
-    cut = cut.withColumn("repeats", F.coalesce("repeats", F.expr("cast(array() as array<struct<start:int,edges:tinyint>>)")))
-    out = in_arrow(cut, _cut(k), "doc_id bigint, n_words bigint, n_removed bigint, spans array<struct<start:int,stop:int>>, kept_sha256 string")
+    branching = decided.where("branching AND NOT repeat").groupBy("doc_id").agg(piece.alias("branching"))
+    looked_up = only_listed(rows, "doc_id", branching.select("doc_id")).join(branching, "doc_id").select("doc_id", "text", "branching")
+    edges = in_arrow(looked_up, _edges(k), "low bigint, high bigint, doc_id bigint, start int")
+    edges = materialize(edges, "edges")
+    first = edges.groupBy("low", "high").agg(F.min(here).alias("first"), (F.min(here) != F.max(here)).alias("repeated")).where("repeated")
+    edges = edges.join(first.drop("repeated"), ["low", "high"]).where(here != F.col("first")).select("doc_id", "start", F.lit(1).alias("edges"))
+
+    repeats = spans.union(edges).groupBy("doc_id").agg(piece.alias("repeats"))
+    repeats = materialize(repeats, "repeats")
+    marked = with_listed(rows, "doc_id", repeats.select("doc_id"), "listed")
+    none = F.expr("cast(array() as array<struct<start:int,edges:int>>)")
+    whole = marked.where("NOT listed").select("doc_id", "text", none.alias("repeats"))
+    cut = marked.where("listed").join(repeats, "doc_id", "left").select("doc_id", "text", F.coalesce("repeats", none).alias("repeats"))
+    out = in_arrow(whole.union(cut), _cut(k), "doc_id bigint, n_words bigint, n_removed bigint, spans array<struct<start:int,stop:int>>, kept_sha256 string")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != _NULL_ID, F.col("doc_id")))
