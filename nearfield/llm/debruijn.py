@@ -38,7 +38,7 @@ from nearfield.session import discard, materialize
 
 WINDOW = 20
 SEED_WORDS = 5
-ROUNDS = 5
+ROUNDS = 4
 _BASES = (0x9E3779B97F4A7C15 | 3, 0xC2B2AE3D27D4EB4F | 3)
 
 
@@ -101,21 +101,6 @@ def _columns(*arrays: np.ndarray) -> list[pa.Array]:
 _PIECE = ["minimizer", "words", "doc_id", "start", "edges", "before", "behind"]
 
 
-def _minimizers(k: int, m: int):
-    """The minimizers of a slice, and how many pieces have each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes(1)
-        for batch in batches:
-            for part in slices(batch):
-                words = [x.split() for x in raw(part.column("text"))]
-                seed = pieces(cache.of([w for x in words for w in x]), np.cumsum([len(x) for x in words]), k, m)[3]
-                found, n = np.unique(seed, return_counts=True)
-                yield pa.RecordBatch.from_arrays(_columns(found, np.minimum(n, 100).astype(np.int8)), ["minimizer", "n"])
-
-    return run
-
-
 def _pieces(k: int, m: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes(1)
@@ -125,10 +110,10 @@ def _pieces(k: int, m: int):
                 ends = np.cumsum([len(x) for x in words])
                 owner, begin, count, seed, whole = pieces(cache.of([w for x in words for w in x]), ends, k, m)
                 start = begin - np.append(0, ends)[owner]
-                # The pieces on both sides in the same document; 0 where there is none.
-                next_ = owner[1:] == owner[:-1]
-                before, behind = np.zeros(len(whole), np.uint64), np.zeros(len(whole), np.uint64)
-                before[1:], behind[:-1] = np.where(next_, whole[:-1], 0), np.where(next_, whole[1:], 0)
+                # Half the hashes of the pieces on both sides in the same document; 0 where there is none.
+                next_, half = owner[1:] == owner[:-1], whole.astype(np.uint32).view(np.int32)
+                before, behind = np.zeros(len(whole), np.int32), np.zeros(len(whole), np.int32)
+                before[1:], behind[:-1] = np.where(next_, half[:-1], 0), np.where(next_, half[1:], 0)
                 doc = _ids(part)[owner]
                 yield pa.RecordBatch.from_arrays(_columns(seed, whole, doc, start.astype(np.int32), count.astype(np.int8), before, behind), _PIECE)
 
@@ -203,17 +188,19 @@ _NULL_ID = -(1 << 63)
 def compacted(graph: DataFrame, rounds: int) -> DataFrame:
     """(minimizer, words, path, place): the head of each repeated piece's nonbranching path, and its first edge's place there.
 
-    ``graph``: repeated pieces with ``edges`` and their only neighbours (``before``, ``behind``; null if several).
+    ``graph``: repeated pieces with ``edges`` and half the hash of their only neighbours (``before``, ``behind``; null if several).
+    Two pieces are linked when each names the other.
     After ``rounds`` a path holds up to 2**rounds pieces; a longer one stays several.
     """
-    behind = graph.select(F.col("words").alias("from_"), F.col("behind").alias("to_"), F.col("edges").alias("step"))
-    linked = graph.join(behind, (F.col("before") == F.col("from_")) & (F.col("words") == F.col("to_")), "left")
+    half = F.shiftright(F.shiftleft("words", 32), 32).cast("int")
+    behind = graph.where("behind IS NOT NULL").select(F.col("words").alias("from_"), half.alias("before"), F.col("behind").alias("own"), F.col("edges").alias("step"))
+    linked = graph.withColumn("own", half).join(behind.hint("shuffle_hash"), ["before", "own"], "left")
     # A piece points at the one before it, or at itself where a path begins.
     state = linked.select("minimizer", "words", F.coalesce("from_", "words").alias("path"), F.coalesce("step", F.lit(0)).cast("int").alias("place"))
     state = materialize(state, "paths")
     for _ in range(rounds):
         ahead = state.where("path != words").select(F.col("words").alias("path"), F.col("path").alias("further"), F.col("place").alias("step"))
-        longer = state.join(ahead, "path", "left").select("minimizer", "words", F.coalesce("further", "path").alias("path"), (F.col("place") + F.coalesce("step", F.lit(0))).alias("place"))
+        longer = state.join(ahead.hint("shuffle_hash"), "path", "left").select("minimizer", "words", F.coalesce("further", "path").alias("path"), (F.col("place") + F.coalesce("step", F.lit(0))).alias("place"))
         before, state = state, materialize(longer, "paths")
         discard(before)
     return state
@@ -230,10 +217,11 @@ def cut_repeats(docs: DataFrame, k: int = WINDOW, seed_words: int = SEED_WORDS,
     from one of them is cut from each.  Other columns are ignored.
     """
     rows = texts_of(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NULL_ID)))
-    shared = in_arrow(rows, _minimizers(k, seed_words), "minimizer bigint, n tinyint").groupBy("minimizer").agg(F.sum("n").alias("n"))
-    shared = materialize(shared.where("n > 1").select("minimizer"), "minimizers")
-    found = in_arrow(rows, _pieces(k, seed_words), "minimizer bigint, words bigint, doc_id bigint, start int, edges tinyint, before bigint, behind bigint")
-    found = materialize(only_listed(found, "minimizer", shared), "pieces")
+    every = in_arrow(rows, _pieces(k, seed_words), "minimizer bigint, words bigint, doc_id bigint, start int, edges tinyint, before int, behind int")
+    every = materialize(every, "pieces")
+    shared = every.groupBy("minimizer").count().where("count > 1").select("minimizer")
+    found = materialize(only_listed(every, "minimizer", shared), "shared")
+    discard(every)
 
     here = F.struct("doc_id", "start")
     only = lambda x: F.when((F.min(x) == F.max(x)) & (F.min(x) != 0), F.min(x)).alias(x)
@@ -243,9 +231,9 @@ def cut_repeats(docs: DataFrame, k: int = WINDOW, seed_words: int = SEED_WORDS,
     kinds = materialize(kinds, "kinds")
     branching = kinds.groupBy("minimizer").agg((F.min("words") != F.max("words")).alias("branching"))
     paths = compacted(kinds.where("repeated").select("minimizer", "words", "edges", "before", "behind"), rounds)
-    kinds = kinds.select("minimizer", "words", "first", "repeated").join(branching, "minimizer").where("repeated OR branching")
-    kinds = kinds.join(paths, ["minimizer", "words"], "left").select("minimizer", "words", "first", "branching", "path", "place")
-    decided = found.select("minimizer", "words", "doc_id", "start", "edges").join(kinds, ["minimizer", "words"])
+    kinds = kinds.select("minimizer", "words", "first", "repeated").join(branching.hint("shuffle_hash"), "minimizer").where("repeated OR branching")
+    kinds = kinds.join(paths.hint("shuffle_hash"), ["minimizer", "words"], "left").select("minimizer", "words", "first", "branching", "path", "place")
+    decided = found.select("minimizer", "words", "doc_id", "start", "edges").join(kinds.hint("shuffle_hash"), ["minimizer", "words"])
     decided = decided.select("doc_id", "start", "edges", (here != F.col("first")).alias("repeat"), "branching", "path", "place")
     decided = materialize(decided.where("repeat OR branching"), "decided")
     discard(found)
@@ -261,7 +249,7 @@ def cut_repeats(docs: DataFrame, k: int = WINDOW, seed_words: int = SEED_WORDS,
     edges = in_arrow(looked_up, _edges(k), "low bigint, high bigint, doc_id bigint, start int")
     edges = materialize(edges, "edges")
     first = edges.groupBy("low", "high").agg(F.min(here).alias("first"), (F.min(here) != F.max(here)).alias("repeated")).where("repeated")
-    edges = edges.join(first.drop("repeated"), ["low", "high"]).where(here != F.col("first")).select("doc_id", "start", F.lit(1).alias("edges"))
+    edges = edges.join(first.drop("repeated").hint("shuffle_hash"), ["low", "high"]).where(here != F.col("first")).select("doc_id", "start", F.lit(1).alias("edges"))
 
     repeats = spans.union(edges).groupBy("doc_id").agg(piece.alias("repeats"))
     repeats = materialize(repeats, "repeats")
