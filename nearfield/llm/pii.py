@@ -12,6 +12,8 @@ of the base kinds stay whatever the classifier says; it adds others.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,17 +83,54 @@ def _gazetteer(kind: str, match: Column) -> Column:
     }[kind]
 
 
-def _candidates(kind: str, strict: bool, matches: str, between: str) -> Column:
+def _in_blocks(items: Column, of: Callable[[Column, Column], Column]) -> Column:
+    """``of(block, number)`` of the blocks of about the square root of the array's size that it falls into; none of an empty array."""
+    n = F.size(items)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _width(n)).cast("int")), lambda b: F.slice(items, b * _width(n) + 1, _width(n)))
+    # A block is a variable of the outer step, so that it is cut out once.
+    return F.when(n > 0, F.transform(blocks, of))
+
+
+def _width(n: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+
+
+def _running(items: Column, blocks: Column, join: Callable[[Column, Column], Column], start: Column) -> Column:
+    """What ``join`` makes of the items up to each one; ``blocks`` holds it for each block.
+
+    A block's list grows item by item, and begins with what the blocks before it make; copying it
+    and walking those makes work grow with the array's size to the power 1.5.
+    """
+    none = F.array().cast("array<int>")
+
+    def inside(block: Column, b: Column) -> Column:
+        before = F.aggregate(F.slice(blocks, 1, b), start, join)
+
+        def step(state: Column, x: Column) -> Column:
+            at = join(state["at"], x)
+            return F.struct(at.alias("at"), F.concat(state["out"], F.array(at)).alias("out"))
+
+        return F.aggregate(block, F.struct(before.alias("at"), none.alias("out")), step, lambda s: s["out"])
+
+    return F.coalesce(F.flatten(_in_blocks(items, inside)), none)
+
+
+def _running_columns(df: DataFrame, items: Column, join: Callable[[Column, Column], Column], start: Column, output: str) -> DataFrame:
+    """Add ``output``, the running values of an int array; in columns of their own, so that each is worked out once."""
+    kept = df.withColumn("_items", items)
+    kept = kept.withColumn("_blocks", _in_blocks(F.col("_items"), lambda block, _: F.aggregate(block, start, join)))
+    return kept.withColumn(output, _running(F.col("_items"), F.col("_blocks"), join, start)).drop("_items", "_blocks")
+
+
+def _candidates(kind: str, strict: bool, matches: str, between: str, ends: str) -> Column:
     """Spans of one pattern with votes and form packed into ``code``.
 
-    Places add up over the pieces between the matches; both counted in code points.
+    ``ends`` are the matches' ends in code points.
     """
-    found, pieces = F.col(matches), F.col(between)
+    pieces = F.col(between)
 
-    def step(state: Column, i: Column) -> Column:
-        match, before = F.get(found, i), F.get(pieces, i)
-        start = state["at"] + F.length(before)
-        stop = start + F.length(match)
+    def span(match: Column, i: Column) -> Column:
+        before, stop = F.get(pieces, i), F.get(F.col(ends), i)
         passes = _passes(kind, match) if strict else F.lit(False)
         near = F.right(before, F.lit(30))
         votes = [
@@ -105,14 +144,13 @@ def _candidates(kind: str, strict: bool, matches: str, between: str) -> Column:
             code = code * 3 + vote
         for bit in form:
             code = code * 2 + F.when(bit, 1).otherwise(0)
-        span = F.struct(start.alias("start"), stop.alias("stop"), F.lit(KINDS.index(kind)).alias("kind"), passes.alias("base"), code.cast("int").alias("code"))
-        # Lone numbers that are far too short for a card are no candidates at all.
-        wanted = passes | (F.length(match) >= 12) if kind == "card" else F.lit(True)
-        return F.struct(stop.alias("at"), F.when(wanted, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
+        return F.struct(
+            (stop - F.length(match)).alias("start"), stop.alias("stop"), F.lit(KINDS.index(kind)).alias("kind"), passes.alias("base"), code.cast("int").alias("code")
+        )
 
-    none = F.expr(f"cast(array() as array<{_SPAN}>)")
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
-    return F.when(F.size(found) > 0, walked).otherwise(none)
+    spans = F.transform(F.col(matches), span)
+    # Lone numbers that are far too short for a card are no candidates at all.
+    return F.filter(spans, lambda s: s["base"] | (s["stop"] - s["start"] >= 12)) if kind == "card" else spans
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -123,7 +161,11 @@ def candidates(docs: DataFrame) -> DataFrame:
     found = docs.withColumns({f"_has{n}": text.rlike(needed) for n, (_, _, _, needed) in enumerate(searches)})
     found = found.withColumns({f"_m{n}": F.when(F.col(f"_has{n}"), F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(empty) for n, (_, _, p, _) in enumerate(searches)})
     found = found.withColumns({f"_p{n}": F.when(F.size(f"_m{n}") > 0, F.split(text, p, -1)).otherwise(empty) for n, (_, _, p, _) in enumerate(searches)})
-    spans = F.concat(*[_candidates(k, strict, f"_m{n}", f"_p{n}") for n, (k, strict, _, _) in enumerate(searches)])
+    for n in range(len(searches)):
+        pieces = F.col(f"_p{n}")
+        sizes = F.transform(F.col(f"_m{n}"), lambda match, i: F.length(F.get(pieces, i)) + F.length(match))  # noqa: B023
+        found = _running_columns(found, sizes, lambda a, b: a + b, F.lit(0), f"_e{n}")
+    spans = F.concat(*[_candidates(k, strict, f"_m{n}", f"_p{n}", f"_e{n}") for n, (k, strict, _, _) in enumerate(searches)])
     return found.select(*[F.col(f"`{x}`") for x in docs.columns], F.array_sort(spans).alias("_spans"))
 
 
@@ -205,12 +247,16 @@ def found(docs: DataFrame) -> DataFrame:
     taken = F.array(*[F.lit(c) for c in sorted(accepted)]) if accepted else F.expr("cast(array() as array<int>)")
     base = F.filter("_spans", lambda s: s["base"])
     with_base = marked.withColumn("_base", base)
+    # Base spans in blocks, so that a span is only held against those around it.
+    block = lambda some, _: F.struct(F.get(some, F.lit(0))["start"].alias("lo"), F.array_max(F.transform(some, lambda s: s["stop"])).alias("hi"), some.alias("held"))
+    with_base = with_base.withColumn("_near", _in_blocks(F.col("_base"), block))
+    meet = lambda lo, hi, s: (lo < s["stop"]) & (s["start"] < hi)
     added = F.filter(
         "_spans",
         lambda s: ~s["base"] & F.array_contains(taken, s["code"])
-        & ~F.exists("_base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])),
+        & ~F.coalesce(F.exists("_near", lambda b: meet(b["lo"], b["hi"], s) & F.exists(b["held"], lambda x: meet(x["start"], x["stop"], s))), F.lit(False)),
     )
-    return with_base.withColumn("_all", F.array_sort(F.concat("_base", added))).drop("_spans")
+    return with_base.withColumn("_all", F.array_sort(F.concat("_base", added))).drop("_spans", "_near")
 
 
 def _named(spans: str) -> Column:
@@ -243,16 +289,27 @@ def masked(docs: DataFrame) -> DataFrame:
     held = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("_row"), F.col("text").cast("string").alias("text"))
     marked = found(candidates(held))
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
-
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), state["at"] + 1, F.greatest(F.lit(0), s["start"] - state["at"]))
-        fresh = s["start"] >= state["at"]
-        put = F.when(fresh, F.concat(state["out"], F.array(F.concat(gap, F.get(names, s["kind"]))))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), put.alias("out"))
-
-    whole = F.aggregate(
-        "_all", F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out")), step,
-        lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text"))),
-    )
+    stops = F.transform("_all", lambda s: s["stop"])
+    marked = _running_columns(marked, stops, lambda a, b: F.greatest(a, b), F.lit(0), "_stops")
+    # A part of a long text is cut out of a short piece of it, as finding a place means walking up to it.
+    width = F.greatest(F.lit(1024), F.ceil(F.sqrt(F.length("text"))).cast("int"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / F.col("_width")).cast("int")), lambda i: F.substring(F.col("text"), i * F.col("_width") + 1, F.col("_width")))
+    marked = marked.withColumn("_width", width).withColumn("_pieces", F.when(F.size("_all") > 0, cut))
+
+    def part(start: Column, stop: Column) -> Column:
+        width, piece = F.col("_width"), lambda i: F.get("_pieces", i)
+        first, last = F.floor(start / width).cast("int"), F.floor((stop - 1) / width).cast("int")
+        head = F.substring(piece(first), start - first * width + 1, F.least(width, stop - start))
+        whole = F.array_join(F.slice("_pieces", first + 2, F.greatest(F.lit(0), last - first - 1)), "")
+        longer = F.concat(head, whole, F.substring(piece(last), F.lit(1), stop - last * width))
+        return F.when(stop <= start, "").when(first == last, head).otherwise(longer)
+
+    def masked_span(s: Column, i: Column) -> Column:
+        # Where the spans before it end; one that starts earlier is masked with them.
+        at = F.when(i > 0, F.get("_stops", i - 1)).otherwise(0)
+        return F.when(s["start"] >= at, F.concat(part(at, s["start"]), F.get(names, s["kind"]))).otherwise("")
+
+    end = F.get("_stops", F.size("_stops") - 1)
+    whole = F.concat(F.array_join(F.transform("_all", masked_span), ""), part(end, F.length("text")))
     text = F.when(F.size("_all") > 0, whole).otherwise(F.col("text"))
     return marked.select(*[text.alias(x) if x == "text" else F.col(f"_row.`{x}`").alias(x) for x in docs.columns])

@@ -112,6 +112,22 @@ def test_masked(spark, docs, odd):
     assert pii.masked(odd).count() == len(ODD)
 
 
+def test_very_many_matches(spark):
+    """Forty thousand addresses in one text, and as many spans that overlap others: no step is quadratic."""
+    import time
+
+    many = " ".join(f"u{i}@host{i % 7}.com" for i in range(40000))
+    mixed = " é".join(f"mail u{i} [at] h{i % 7} [dot] com or +1 555 {100 + i % 900} 4444 10.0.{i % 250}.1" for i in range(4000))
+    rows = [(1, many), (2, mixed), (3, "")]
+    df = frame(spark, rows)
+    started = time.monotonic()
+    got = check(pii.spans(df), rows)
+    assert {r[0]: r[1] for r in got}[1] == 40000
+    masked = {r["doc_id"]: r["text"] for r in pii.masked(df).collect()}
+    assert masked[1] == " ".join(["<email>"] * 40000) and "10.0." not in masked[2] and masked[3] == ""
+    assert time.monotonic() - started < 60
+
+
 def test_native(docs):
     for df in (pii.candidates(docs), pii.spans(docs), pii.masked(docs)):
         plan = df._jdf.queryExecution().executedPlan().toString()
