@@ -1,10 +1,13 @@
 """URL filtering by a tree of path templates.
 
 Rules decide the URLs they fit, and their verdicts are the labels of a tree of path templates
-kept for each host.  Level by level, segments that are numbers or hashes become classes, labelled
-children whose share of blocked labels does not differ significantly from their parent's merge into
-``{alike}``, and rare children of a wide node that have no labels become the wildcard ``*``.  A child that
-differs keeps its segment however rare it is, and one without labels never meets those of its siblings.  A template is
+kept for each host.  Level by level, segments that are numbers or hashes become classes, and branches that are
+statistically similar merge into ``{alike}``: what they hold (how many of their paths end there, go on with a
+number or hash, go on deeper) and, where they have labels, the blocked share must not differ significantly from
+their parent's.  A branch without labels joins them only if most branches of the node have labels, three at least, and all
+of these are clearly blocked or all clearly not; labels that differ among themselves say nothing about it.  Rare
+children of a wide node that have no labels become the wildcard ``*``.  All others keep their
+segment, however rare they are.  A template is
 rejected when its smoothed labelled purity (its blocked share, drawn to one half or to the
 host's share if that is lower) reaches ``threshold``; a template without labels is never that pure.
 
@@ -50,7 +53,13 @@ def _shape(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(shape, "[0-9a-fA-F]{16,}", "{h}"), "[0-9]+", "{n}")
 
 
-def judged(pages: DataFrame, rules: list[Rule], wide: int = 20, rare: float = 0.02, z: float = 1.96, weight: float = 4.0, threshold: float = 0.8) -> DataFrame:
+# What a branch holds, by the segments behind its own (``rest`` begins with that): SQL conditions on a path.
+HELD = {"ends": "size(rest) <= 1", "variable": "size(rest) > 1 AND rest[1] RLIKE '[{][hn][}]'", "deep": "size(rest) > 2"}
+
+
+def judged(
+    pages: DataFrame, rules: list[Rule], wide: int = 20, rare: float = 0.02, z: float = 1.96, weight: float = 4.0, threshold: float = 0.8, speakers: int = 3
+) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity) of every row.
 
     ``rule`` is the longest fitting rule's target, else null.  Null and empty
@@ -81,17 +90,30 @@ def judged(pages: DataFrame, rules: list[Rule], wide: int = 20, rare: float = 0.
         tree = materialize(tree.withColumn("s", F.expr("if(size(rest) = 0, '', concat('/', rest[0]))")).drop("skip"), "paths")
         ready.append(tree.where("apart = 0"))
         tree = tree.where("apart > 0").drop("apart")
-        children = tree.groupBy("host", "template", "s").agg(*sums)
+        held = [F.sum(F.expr(f"if({condition}, n, 0)")).alias(x) for x, condition in HELD.items()]
+        children = tree.groupBy("host", "template", "s").agg(*sums, *held)
+        own = F.col("blocked") / F.col("labelled")
+        is_branch, speaks = F.col("s") != "", F.col("labelled") > 0
         parents = children.groupBy("host", "template").agg(
             F.sum("n").alias("all"), F.count("*").alias("kids"), F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"),
-            F.count(F.when(F.col("labelled") > 0, 1)).alias("labelled_kids"),
-        )
-        p = (F.col("all_blocked") + 0.5) / (F.col("all_labelled") + 1)
-        own = F.col("blocked") / F.col("labelled")
-        apart = (F.col("labelled") > 0) & (F.abs(own - F.col("all_blocked") / F.col("all_labelled")) > z * F.sqrt(p * (1 - p) / F.col("labelled")))
-        # Labels speak for siblings that have some; the others are merged, if at all, among themselves.
-        alike = (F.col("labelled") > 0) & (F.col("labelled_kids") > 1) & ~F.coalesce(apart, F.lit(False))
-        odd = (F.col("labelled") == 0) & (F.col("kids") > wide) & (F.col("n") < rare * F.col("all"))
+            F.count(F.when(speaks, 1)).alias("labelled_kids"), F.count(F.when(is_branch, 1)).alias("branches"),
+            F.count(F.when(is_branch & speaks, 1)).alias("speaking"), F.min(F.when(is_branch & speaks, own)).alias("least"),
+            F.max(F.when(is_branch & speaks, own)).alias("most"), F.sum(F.when(is_branch, F.col("n"))).alias("all_n"),
+            *[F.sum(F.when(is_branch, F.col(x))).alias(f"all_{x}") for x in HELD],
+        )
+
+        def differs(part: Column, of: Column, whole_part: Column, whole: Column) -> Column:
+            p = (whole_part + 0.5) / (whole + 1)
+            return F.abs(part / of - whole_part / whole) > z * F.sqrt(p * (1 - p) / of)
+
+        apart = F.coalesce(speaks & differs(F.col("blocked"), F.col("labelled"), F.col("all_blocked"), F.col("all_labelled")), F.lit(False))
+        unlike = F.lit(False)
+        for x in HELD:
+            unlike = unlike | F.coalesce(differs(F.col(x), F.col("n"), F.col(f"all_{x}"), F.col("all_n")), F.lit(False))
+        # Labels speak for siblings that have some, and for others where they all say the same.
+        agreed = (F.col("speaking") >= speakers) & (2 * F.col("speaking") > F.col("branches")) & ((F.col("least") >= threshold) | (F.col("most") <= 1 - threshold))
+        alike = ~unlike & F.when(speaks, (F.col("labelled_kids") > 1) & ~apart).otherwise(F.coalesce(agreed, F.lit(False)))
+        odd = ~speaks & (F.col("kids") > wide) & (F.col("n") < rare * F.col("all"))
         branch = F.when(F.col("s") == "", "").when(alike, "/{alike}").when(odd, "/*").otherwise(F.col("s"))
         named = children.join(parents, ["host", "template"]).select("host", "template", "s", F.concat("template", branch).alias("longer"))
         tree = tree.join(named, ["host", "template", "s"]).drop("template").withColumnRenamed("longer", "template")
