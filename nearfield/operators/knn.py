@@ -251,11 +251,12 @@ def search(
     rows = base.select(*narrow).filter(F.col("vector").isNotNull())
     table, dims = _one_block(queries, cells, wide, len(precisions), block_rows)
     if table is None:
-        zero = F.lit(0).cast("bigint")
-        asked = materialize(cells(queries) if cells else queries.withColumn("cells", F.array(zero)), "queries")
+        # One cell for all; not a literal, which would leave the join without a key.
+        zero = lambda name: F.pmod(F.col(name), F.lit(1).cast("bigint"))
+        asked = materialize(cells(queries) if cells else queries.withColumn("cells", F.array(zero("query_id"))), "queries")
         if not asked.groupBy("query_id").count().filter("count > 1").isEmpty():
             raise ValueError("query ids must be unique")
-        missing = {name: zero for name in ("cell_id", "shard_id") if name not in rows.columns}
+        missing = {name: zero("row_id") for name in ("cell_id", "shard_id") if name not in rows.columns}
         most = min(round_rows(dims, wide * len(precisions)), block_rows or sys.maxsize)
         return ranked(paired_lists(rows.withColumns(missing), asked, wide, metric, precisions, rounds_of=most).drop("probe"))
     block = QueryBlock(table, precisions) if table.num_rows else _EmptyBlock(precisions)

@@ -324,6 +324,25 @@ def test_a_table_of_queries_uses_one_scan(spark, data, centroids):
     assert "FlatMapCoGroupsInArrow" in plan
 
 
+def test_shards_and_precisions_of_a_table_of_queries(spark, data, centroids):
+    """Beyond one block the same lists come out per shard and per precision."""
+    _, _, b, q = data
+    sharded = shards.round_robin(b, 6)
+    index = ivf.build_ivf(sharded, centroids[0], scratch_path(spark, "index"))
+
+    def rows(df):
+        return sorted(map(str, df.collect()))
+
+    for block_rows in (7, None):
+        options = {"shard_col": "shard_id", "num_shards": 6, "local": True, "block_rows": block_rows}
+        local = rows(knn.search(sharded, q, 5, "l2", ["f32", "i8"], **options).select("query_id", "precision", "shard_id", "neighbor_id", "distance", "rank"))
+        probed = rows(ivf.search_ivf(index, centroids[0], q, 5, 3, **options).select("query_id", "shard_id", "neighbor_id", "distance", "rank"))
+        own = rows(knn.search(b, b.select(F.col("row_id").alias("query_id"), "vector").limit(60), 4, "ip", exclude_self=True, block_rows=block_rows))
+        if block_rows:
+            want = local, probed, own
+    assert (local, probed, own) == want and len(local) == 41 * 6 * 5 * 2
+
+
 def test_probe_counts_from_one_scan(spark, data, centroids):
     _, _, b, q = data
     index = ivf.build_ivf(b, centroids[0], scratch_path(spark, "index"))
