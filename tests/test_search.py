@@ -426,3 +426,42 @@ def test_hashing_index_with_all_buckets_is_exact(spark, data):
     assert_lists(hits, range(41), brute_force(range(900), base, queries, 12))
     with pytest.raises(ValueError, match="flips"):
         lsh.search_lsh(index, q, 3, bits=2, flips=3)
+
+
+# Large query sets -------------------------------------------------------------------
+
+
+def test_blocks_of_queries_do_not_move_the_base_again(spark, data, monkeypatch):
+    """Queries held against the base in small blocks still meet in a few rounds: the base moves once per round."""
+    base, queries, b, q = data
+    seen = []
+    grid = pairing.grid
+    monkeypatch.setattr(pairing, "grid", lambda *a: seen.append(grid(*a)) or seen[-1])
+    assert_lists(knn.exact_knn(b, q, 12, block_rows=2), range(41), brute_force(range(900), base, queries, 12))
+    assert [r["rounds"] for r in seen[0].collect()] == [1]
+
+
+def test_probed_cells_share_a_list(spark, data, centroids, monkeypatch):
+    """Queries that probe a good share of the cells get one list per part and shard, whatever the number of cells."""
+    _, _, b, q = data
+    sharded = shards.round_robin(b, 2)
+    index = ivf.build_ivf(sharded, centroids[0], scratch_path(spark, "index"))
+    seen = []
+    lists = knn.paired_lists
+    monkeypatch.setattr(knn, "paired_lists", lambda *a, **o: seen.append(lists(*a, **o)) or seen[-1])
+    for nprobe in (3, 10):
+        options = {"shard_col": "shard_id", "num_shards": 2, "local": True}
+        together = ivf.search_ivf(index, centroids[0], q, 8, nprobe, block_rows=5, **options)
+        assert seen[-1].count() <= 41 * 2
+        monkeypatch.setattr(knn, "_wide", lambda *_: False)
+        apart = ivf.search_ivf(index, centroids[0], q, 8, nprobe, block_rows=5, **options)
+        assert seen[-1].count() > 41 * 2
+        monkeypatch.undo()
+        monkeypatch.setattr(knn, "paired_lists", lambda *a, **o: seen.append(lists(*a, **o)) or seen[-1])
+        names = ["query_id", "shard_id", "neighbor_id", "distance", "rank"]
+        assert sorted(map(str, together.select(names).collect())) == sorted(map(str, apart.select(names).collect()))
+
+
+def test_many_queries_are_not_broadcast(spark, data):
+    """Every task keeps the lists of all broadcast queries, so their number is bounded, however few hits are asked for."""
+    assert knn._block_rows(2, 1, 1) <= 1 << 14
