@@ -7,12 +7,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from nearfield.operators.widesvd import svd_embed_wide
-from nearfield.session import materialize, parallelism, ship_package
+from nearfield.session import hand_back, materialize, parallelism, ship_package
+
+# Bytes of text, or entries of word lists, that one Python step holds at a time (or one row): a word is an
+# object of its own there, many times the size of its letters.
+SLICE_BYTES = 2 << 20
+SLICE_ENTRIES = 1 << 18
+
+
+def _runs(batch: pa.RecordBatch, sizes: pa.Array, most: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of ``batch`` whose ``sizes`` add up to ``most`` at most, or one row."""
+    start, held = 0, 0
+    for i, n in enumerate(pc.fill_null(sizes, 0).to_pylist()):
+        if i > start and held + n > most:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n + 8
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
 
 
 def term_counts(documents: DataFrame) -> DataFrame:
@@ -26,12 +45,14 @@ def term_counts(documents: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counted = [Counter((x or b"").split()) for x in batch.column("text").cast(pa.binary()).to_pylist()]
-            offsets = pa.array(np.append(0, np.cumsum([len(x) for x in counted])).astype(np.int32))
-            terms = pa.array([t for x in counted for t in x], pa.binary()).cast(pa.string())
-            times = pa.array([n for x in counted for n in x.values()], pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, x) for x in (terms, times)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], names=["doc_id", "terms", "times"])
+            for part in _runs(batch, pc.binary_length(batch.column("text")), SLICE_BYTES):
+                counted = [Counter((x or b"").split()) for x in part.column("text").cast(pa.binary()).to_pylist()]
+                offsets = pa.array(np.append(0, np.cumsum([len(x) for x in counted])).astype(np.int32))
+                terms = pa.array([t for x in counted for t in x], pa.binary()).cast(pa.string())
+                times = pa.array([n for x in counted for n in x.values()], pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, x) for x in (terms, times)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *lists], names=["doc_id", "terms", "times"])
+        hand_back()
 
     schema = StructType([listed.schema["doc_id"], *StructType.fromDDL("terms array<string>, times array<int>").fields])
     return listed.mapInArrow(count, schema)
@@ -80,18 +101,20 @@ def sparse_rows(documents: DataFrame, vocab: DataFrame) -> DataFrame:
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, idf = shared.value
         for batch in batches:
-            listed = batch.column("terms")
-            sizes = np.diff(listed.offsets.to_numpy())
-            flat = listed.flatten().cast(pa.binary()).to_pylist()
-            place = np.fromiter((numbers.get(x, -1) for x in flat), np.int64, len(flat))
-            times = batch.column("times").flatten().to_numpy()
-            owner = np.repeat(np.arange(batch.num_rows), sizes)
-            known = np.flatnonzero(place >= 0)
-            known = known[np.lexsort((place[known], owner[known]))]
-            offsets = pa.array(np.append(0, np.cumsum(np.bincount(owner[known], minlength=batch.num_rows))).astype(np.int32))
-            terms, weights = place[known].astype(np.int32), times[known] * idf[place[known]] if len(idf) else np.empty(0)
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (terms, weights)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], names=["doc_id", "terms", "weights"])
+            for part in _runs(batch, batch.column("terms").value_lengths(), SLICE_ENTRIES):
+                listed = part.column("terms")
+                sizes = np.diff(listed.offsets.to_numpy())
+                flat = listed.flatten().cast(pa.binary()).to_pylist()
+                place = np.fromiter((numbers.get(x, -1) for x in flat), np.int64, len(flat))
+                times = part.column("times").flatten().to_numpy()
+                owner = np.repeat(np.arange(part.num_rows), sizes)
+                known = np.flatnonzero(place >= 0)
+                known = known[np.lexsort((place[known], owner[known]))]
+                offsets = pa.array(np.append(0, np.cumsum(np.bincount(owner[known], minlength=part.num_rows))).astype(np.int32))
+                terms, weights = place[known].astype(np.int32), times[known] * idf[place[known]] if len(idf) else np.empty(0)
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (terms, weights)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *lists], names=["doc_id", "terms", "weights"])
+        hand_back()
 
     schema = StructType([counts.schema["doc_id"], *StructType.fromDDL("terms array<int>, weights array<double>").fields])
     return counts.mapInArrow(weigh, schema)
@@ -169,6 +192,7 @@ def svd_embed(rows: DataFrame, width: int, components: int = 512) -> DataFrame:
                 offsets = np.arange(part.num_rows + 1, dtype=np.int32) * vectors.shape[1]
                 embedding = pa.ListArray.from_arrays(pa.array(offsets), pa.array(vectors.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), embedding], names=["doc_id", "embedding"])
+        hand_back()
 
     return rows.mapInArrow(project, "doc_id bigint, embedding array<float>")
 

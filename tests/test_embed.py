@@ -3,6 +3,7 @@ import json
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +181,28 @@ def test_wide_svd_of_nothing(spark):
     assert widesvd.svd_embed_wide(rows, 3).count() == 0
     zero = spark.createDataFrame([(1, [], []), (2, None, None)], "doc_id bigint, terms array<int>, weights array<double>")
     assert (embedded(widesvd.svd_embed_wide(zero, 3)) == 0).all()
+
+
+@pytest.mark.parametrize("step", ["counts", "rows"])
+def test_steps_on_words_hold_a_bounded_slice(spark, step):
+    """However many texts an Arrow batch has, few are taken apart at a time, and none is lost."""
+    texts = [f"w{i} " * 40 + "x" * (20 if i % 50 else 1 << 14) for i in range(8000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+
+    class Captured:
+        sparkSession, columns, schema = spark, ["doc_id", "terms", "times"], spark.createDataFrame([], "doc_id bigint").schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, function, _):
+            return function
+
+    found = list(embed.term_counts(Captured())(iter([batch])))
+    if step == "rows":
+        whole = pa.concat_tables([pa.Table.from_batches([x]) for x in found]).combine_chunks().to_batches()[0]
+        whole = pa.RecordBatch.from_pydict({"doc_id": whole["doc_id"], "terms": pa.array([[f"w{i}_{j}" for j in range(40)] for i in range(whole.num_rows)]), "times": pa.array([[1] * 40] * whole.num_rows, pa.list_(pa.int32()))})
+        vocab = spark.createDataFrame([("w1_1", 0, 1.0)], "term string, term_id int, idf double")
+        found = list(embed.sparse_rows(Captured(), vocab)(iter([whole])))
+    assert [i for x in found for i in x["doc_id"].to_pylist()] == list(range(len(texts)))
+    assert max(x.num_rows for x in found) <= 7000 and len(found) > 1
