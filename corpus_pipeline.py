@@ -30,7 +30,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest id.
 
-    Texts are linked at a Jaccard similarity of 0.8 or more of their sets of five-word shingles.
+    Candidates come from the index of SimHash fingerprints and from one of least hashes; they are linked at a
+    Jaccard similarity of 0.8 or more of their sets of five-word shingles.
     """
     return nearcopies.keep_first(docs)
 

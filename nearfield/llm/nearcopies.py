@@ -1,15 +1,15 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-The byte-position index of :mod:`simhash`, over other fingerprints: 64 bits hold too little of
-a similarity of 0.8, where some ten of them differ, so a text's fingerprint here has 64 bytes, each the last
-byte of the least of its shingle hashes under one of 64 scramblings.  Two texts
+Texts whose SimHash fingerprints the index of :mod:`simhash` links are candidates.  Those 64 bits hold too little of
+a similarity of 0.8, where some ten of them differ, so the byte-position index also runs over a second fingerprint
+of 64 bytes, each the last byte of the least of a text's shingle hashes under one of 64 scramblings.  Two texts
 agree at a place as often as their shingle sets do.  Every different text is posted under sixteen blocks
 of four positional bytes; the shared positional bytes of two members of a posting are tallied, and
 pairs below ``LEAST_BYTES`` of 64 are dropped.  At a similarity of 0.8, two
 texts meet in some posting with probability 0.9998 and fall below the tally with less than 1e-6.
 
 The pairs that stay join texts to candidate groups.  A group is cut into blocks of bounded size, any
-two blocks meet in one task, and pairs not joined yet that pass the tally are verified on
+two blocks meet in one task, and pairs not joined yet that pass the tally or that SimHash links are verified on
 their whole shingle sets; only links that join something are returned.
 """
 
@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.llm import simhash
 from nearfield.llm.common import components, in_arrow, mixed, raw, slices
 from nearfield.operators.bitmap import only_listed, with_listed
 from nearfield.session import materialize
@@ -31,6 +32,8 @@ from nearfield.session import materialize
 WIDTH, SIMILARITY = 5, 0.8
 PLACES, BLOCK = 64, 4
 LEAST_BYTES = 36
+# Differing bits of two linked SimHash fingerprints.
+MOST_BITS = 3
 # Members of a posting that one task compares; texts and bytes of texts of a block.
 SCAN_LIMIT = 4096
 BLOCK_ROWS = 512
@@ -76,8 +79,9 @@ def _sign(width: int):
                 lines = [line_of(x) for x in raw(part.column("text"))]
                 ids = [xxhash.xxh128_digest(x) for x in lines]
                 prints = [signature(shingles(x, width)).tobytes() for x in lines]
-                columns = [part.column("doc_id"), part.column("mark"), pa.array(ids, pa.binary()), pa.array(prints, pa.binary()), pa.array(map(len, lines), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "id", "print", "bytes"])
+                bits = np.array([simhash.fingerprint(x) for x in lines], np.uint64).view(np.int64)
+                columns = [part.column("doc_id"), part.column("mark"), pa.array(ids, pa.binary()), pa.array(prints, pa.binary()), pa.array(bits), pa.array(map(len, lines), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "id", "print", "bits", "bytes"])
 
     return run
 
@@ -158,11 +162,22 @@ def candidate_links(texts: DataFrame, scan_limit: int = SCAN_LIMIT, least: int =
     return found.union(posted.join(first, "key").where("a != id").select("a", F.col("id").alias("b")))
 
 
+def fingerprint_links(texts: DataFrame, scan_limit: int = SCAN_LIMIT, most: int = MOST_BITS) -> DataFrame:
+    """(a, b): links between different texts (``id, bits``) that join them as all pairs of up to ``most`` differing bits would."""
+    firsts = materialize(texts.groupBy("bits").agg(F.min("id").alias("first")), "firsts")
+    near = simhash.similar_pairs(firsts.select(F.col("bits").alias("print")), most, scan_limit)
+    for end in ("a", "b"):
+        near = near.join(firsts.select(F.col("bits").alias(end), F.col("first").alias(f"first_{end}")), end)
+    same = texts.join(firsts, "bits").where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    return near.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")).union(same)
+
+
 def _verify(width: int, similarity: float, least: int):
     def verify(table: pa.Table) -> pa.Table:
         block = table.column("block").to_numpy()
         low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
         prints = np.frombuffer(b"".join(table.column("print").to_pylist()), np.uint8).reshape(-1, PLACES)
+        bits = table.column("bits").to_numpy()
         sets = [shingles(line_of(x), width) for x in raw(table.column("text"))]
         sizes = np.array([len(x) for x in sets])
         ids = table.column("id").to_pylist()
@@ -172,7 +187,8 @@ def _verify(width: int, similarity: float, least: int):
         for i in left.tolist():
             others = right[right > i] if low == high else right
             shared = _tally(prints[i : i + 1], prints[others])[0]
-            fit = (shared >= least) & (np.minimum(sizes[i], sizes[others]) >= similarity * np.maximum(sizes[i], sizes[others]))
+            near = (shared >= least) | (np.bitwise_count((bits[i] ^ bits[others]).view(np.uint64)) <= MOST_BITS)
+            fit = near & (np.minimum(sizes[i], sizes[others]) >= similarity * np.maximum(sizes[i], sizes[others]))
             others = others[fit]
             # The likeliest first; what is joined already needs no second look.
             for j in others[np.argsort(-shared[fit].astype(np.int64), kind="stable")].tolist():
@@ -195,17 +211,17 @@ def verified_links(members: DataFrame, width: int = WIDTH, similarity: float = S
     """(a, b, whole): links of at least ``similarity`` that join the texts of each candidate group as all its pairs would.
 
     Where ``whole`` is true, ``a`` is the least of all texts that links reach from ``b``, itself included.
-    ``members``: ``root`` (the group), ``id``, ``print``, ``text``, ``bytes``.  A group with more rows or bytes
+    ``members``: ``root`` (the group), ``id``, ``print``, ``bits``, ``text``, ``bytes``.  A group with more rows or bytes
     than a block may hold is cut into blocks by hash, and every two of them meet in one task.
     """
     sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("bytes") / block_bytes), F.lit(1)).cast("int").alias("blocks"))
     cut = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "blocks", "id", "print", "text")
+    met = met.select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "blocks", "id", "print", "bits", "text")
     return met.groupBy("root", "low", "high").applyInArrow(_verify(width, similarity, least), "a binary, b binary, whole boolean")
 
 
-def keep_first(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, scan_limit: int = SCAN_LIMIT, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def keep_first(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, scan_limit: int = SCAN_LIMIT, block_rows: int = BLOCK_ROWS, least: int = LEAST_BYTES) -> DataFrame:
     """``docs`` without near copies: of each group exactly one row stays, whatever its doc_id.
 
     A group are the texts that links of at least ``similarity`` reach, with all their copies; it keeps the row with
@@ -215,17 +231,18 @@ def keep_first(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARI
     """
     mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), mark.alias("mark"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    signed = materialize(in_arrow(rows, _sign(width), "doc_id bigint, mark bigint, id binary, print binary, bytes bigint"), "signed")
+    signed = materialize(in_arrow(rows, _sign(width), "doc_id bigint, mark bigint, id binary, print binary, bits bigint, bytes bigint"), "signed")
     # A null doc_id is ranked by its own field, as a null is the smallest value of a struct.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
-    texts = materialize(signed.groupBy("id").agg(first, F.first("print").alias("print"), F.first("bytes").alias("bytes")), "texts")
+    texts = materialize(signed.groupBy("id").agg(first, F.first("print").alias("print"), F.first("bits").alias("bits"), F.first("bytes").alias("bytes")), "texts")
 
-    groups = components(candidate_links(texts.select("id", "print"), scan_limit)).withColumnRenamed("node", "id")
-    members = materialize(groups.join(texts, "id").select("id", "root", "print", "bytes", "first.doc_id", "first.mark"), "members")
+    candidates = candidate_links(texts.select("id", "print"), scan_limit, least).union(fingerprint_links(texts.select("id", "bits"), scan_limit))
+    groups = components(candidates).withColumnRenamed("node", "id")
+    members = materialize(groups.join(texts, "id").select("id", "root", "print", "bits", "bytes", "first.doc_id", "first.mark"), "members")
     # Texts are fetched for candidates only; of equal rows any one will do.
     wanted = only_listed(rows, "mark", members.select("mark")).withColumnRenamed("doc_id", "own")
     found = members.join(wanted.withColumnRenamed("mark", "own_mark"), F.expr("doc_id <=> own AND mark = own_mark")).dropDuplicates(["id"])
-    links = materialize(verified_links(found.select("root", "id", "print", "text", "bytes"), width, similarity, block_rows=block_rows), "links")
+    links = materialize(verified_links(found.select("root", "id", "print", "bits", "text", "bytes"), width, similarity, least, block_rows), "links")
     linked = components(links.where("NOT whole").select("a", "b")).union(links.where("whole").select("b", "a"))
 
     kept = texts.join(linked.withColumnRenamed("node", "id"), "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nearfield.llm import nearcopies
+from nearfield.llm import nearcopies, simhash
 from tests.llm.conftest import ODD, clashing, frame
 
 
@@ -153,3 +153,19 @@ def test_odd_rows(spark, odd, none):
     assert nearcopies.keep_first(none).count() == 0
     ids = [(None, "a b c d e f"), (None, "a b c d e f"), (None, "q r s"), (7, "one two"), (7, "three four"), (7, "A B C D E F"), (3, None), (9, " "), (8, "")]
     assert kept(nearcopies.keep_first(frame(spark, ids))) == sorted([(None, "q r s"), (7, "one two"), (7, "three four"), (7, "A B C D E F"), (3, None)], key=str)
+
+
+def test_simhash_links_are_candidates(spark):
+    """Where no pair passes the tally of least hashes, what SimHash links is still found, and still verified."""
+    rng = random.Random(5)
+    first = [" ".join(f"w{rng.randrange(9000)}" for _ in range(2000)) for _ in range(6)]
+    rows = [(i, t) for i, t in enumerate(first)] + [(10 + i, edited(rng, t, 1)) for i, t in enumerate(first)]
+    # Repeats weigh in a SimHash, not in a set of shingles.
+    often = " ".join(["a b c d e"] * 300)
+    rows += [(20, often), (21, often + " f g h i j k l")]
+    prints = {d: simhash.fingerprint(t.encode()) for d, t in rows}
+    near = {d for d in range(6) if (prints[d] ^ prints[10 + d]).bit_count() <= 3}
+    assert near and (prints[20] ^ prints[21]).bit_count() <= 3 and not similar(sets(rows[-2][1]), sets(rows[-1][1])) >= 0.8
+    got = {d for d, _ in kept(nearcopies.keep_first(frame(spark, rows), least=nearcopies.PLACES + 1))}
+    assert got == {d for d, _ in rows} - {10 + d for d in near}
+    assert kept(nearcopies.keep_first(frame(spark, rows))) == brute(rows)
