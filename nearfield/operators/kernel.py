@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 _NO_ID = np.iinfo(np.int64).max
-_BASE_TILE = 4096
+_BASE_TILE = 1024
 _QUERY_TILE = 512
 _SCORE_ELEMENTS = 1 << 16
 
@@ -41,6 +41,29 @@ def _squared_norms(matrix: np.ndarray) -> np.ndarray:
     return (wide * wide).sum(axis=1)
 
 
+_buffers: dict[str, np.ndarray] = {}
+
+
+def _buffer(name: str, shape: tuple[int, int], dtype: type) -> np.ndarray:
+    """Memory of this process that every product of a shape goes through; fresh pages would cost as much as the product."""
+    size = shape[0] * shape[1]
+    key = f"{name} {np.dtype(dtype).char}"
+    if key not in _buffers or len(_buffers[key]) < size:
+        _buffers[key] = np.empty(size, dtype)
+    return _buffers[key][:size].reshape(shape)
+
+
+def _places(mask: np.ndarray) -> np.ndarray:
+    """Flat positions of what is true; eight positions are looked at together where few are."""
+    flat = mask.ravel()
+    if 32 * np.count_nonzero(flat) > len(flat):
+        return np.flatnonzero(flat)
+    whole = len(flat) // 8 * 8
+    words = np.flatnonzero(flat[:whole].view(np.uint64) != 0)
+    at = (8 * words[:, None] + np.arange(8)).ravel()
+    return np.concatenate([at[flat[at]], whole + np.flatnonzero(flat[whole:])])
+
+
 def _sorted_by(q: np.ndarray, d: np.ndarray, i: np.ndarray, n: int) -> np.ndarray:
     """Order by (q, d, i); the ids are only looked at when two distances are equal."""
     by_distance = np.argsort(d)
@@ -143,17 +166,18 @@ class BlockTopK:
         left, offset, query_error = self._query_screen(dtype)
         for start in range(0, len(members), _QUERY_TILE):
             part = members[start : start + _QUERY_TILE]
-            low = left[part] @ right.T
+            shape = len(part), len(right)
+            low = np.matmul(left[part], right.T, out=_buffer("product", shape, dtype))
             limit = self.distances[part, -1] - offset[part] + 1e-30
-            mask = low <= self._ceil(limit, dtype)[:, None]
-            found = np.flatnonzero(mask)
+            mask = np.less_equal(low, self._ceil(limit, dtype)[:, None], out=_buffer("mask", shape, bool))
+            found = _places(mask)
             if len(found) > 2 * self.k * len(part):
                 # At least k rows lie below the k-th lower bound plus the error bound.
                 crowded = np.flatnonzero(mask.sum(axis=1) >= self.k)
                 kth = np.partition(low[crowded], self.k - 1, axis=1)[:, self.k - 1].astype(np.float64)
                 tighter = np.minimum(limit[crowded], kth + slack + 2.0 * query_error[part[crowded]])
                 mask[crowded] = low[crowded] <= self._ceil(tighter, dtype)[:, None]
-                found = np.flatnonzero(mask)
+                found = _places(mask)
             if len(found):
                 positions, rows = np.divmod(found, mask.shape[1])
                 self._score(part[positions], rows, tile)
@@ -165,26 +189,27 @@ class BlockTopK:
         right, norms32 = tile.vectors.astype(dtype, copy=False).T, norms.astype(dtype)
         for start in range(0, len(members), _QUERY_TILE):
             part = members[start : start + _QUERY_TILE]
-            gaps = self._codes[part] @ right
+            shape = len(part), len(ids)
+            gaps = np.matmul(self._codes[part], right, out=_buffer("product", shape, dtype))
             if self.metric == "l2":
                 # |a|^2 + |b|^2 - 2ab without the query's own share.
                 gaps *= -2
                 gaps += norms32
                 limit = self.distances[part, -1] - self.norms[part]
             elif self.metric == "ip":
-                gaps = -gaps
+                np.negative(gaps, out=gaps)
                 limit = self.distances[part, -1] - 1.0
             else:
                 with np.errstate(invalid="ignore", divide="ignore"):
                     gaps = 1.0 - gaps / (np.sqrt(self.norms[part])[:, None] * np.sqrt(norms)[None, :])
                 limit = self.distances[part, -1]
-            mask = gaps <= limit.astype(gaps.dtype)[:, None]
-            found = np.flatnonzero(mask)
+            mask = np.less_equal(gaps, limit.astype(gaps.dtype)[:, None], out=_buffer("mask", shape, bool))
+            found = _places(mask)
             if len(found) > 2 * self.k * len(part):
                 crowded = np.flatnonzero(mask.sum(axis=1) >= self.k)
                 kth = np.partition(gaps[crowded], self.k - 1, axis=1)[:, self.k - 1]
                 mask[crowded] &= gaps[crowded] <= kth[:, None]
-                found = np.flatnonzero(mask)
+                found = _places(mask)
             if len(found):
                 q, r = np.divmod(found, mask.shape[1])
                 exact = gaps.ravel()[found].astype(np.float64)

@@ -150,3 +150,31 @@ def test_encode_i8():
     np.testing.assert_array_equal(encode(values, "i8")[0, [0, 3, 4, 5]], [-128, 127, -128, 0])
     with pytest.raises(ValueError, match="NaN"):
         encode(np.array([[np.nan]], np.float32), "i8")
+
+
+def test_places_of_few_and_many():
+    """Positions come in order at any density, also where the length is no multiple of eight."""
+    from nearfield.operators import kernel
+
+    rng = np.random.default_rng(7)
+    for shape in ((1, 1), (3, 5), (7, 1024), (512, 1021)):
+        for share in (0.0, 0.001, 0.03, 0.5, 1.0):
+            mask = rng.random(shape) < share
+            np.testing.assert_array_equal(kernel._places(mask), np.flatnonzero(mask))
+
+
+def test_products_share_one_buffer():
+    """Blocks of different sizes searched in turn go through the same memory and keep their own lists."""
+    from nearfield.operators import kernel
+
+    rng = np.random.default_rng(8)
+    base, asked = rng.normal(size=(3000, 8)).astype(np.float32), rng.normal(size=(700, 8)).astype(np.float32)
+    alone = kernel.BlockTopK(asked, 5, "l2")
+    alone.offer(np.arange(3000), base)
+    first, second = kernel.BlockTopK(asked[:600], 5, "l2"), kernel.BlockTopK(asked[600:], 5, "l2")
+    for tile in kernel.tiles(np.arange(3000), base):
+        first.offer_tile(tile)
+        second.offer_tile(tile)
+    found = np.concatenate([first.lists()[1], second.lists()[1]])
+    np.testing.assert_array_equal(found, alone.lists()[1])
+    assert kernel._buffers["product f"].nbytes <= 4 * kernel._QUERY_TILE * kernel._BASE_TILE
