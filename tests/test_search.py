@@ -465,3 +465,15 @@ def test_probed_cells_share_a_list(spark, data, centroids, monkeypatch):
 def test_many_queries_are_not_broadcast(spark, data):
     """Every task keeps the lists of all broadcast queries, so their number is bounded, however few hits are asked for."""
     assert knn._block_rows(2, 1, 1) <= 1 << 14
+
+
+def test_blocks_of_an_index_search_do_not_move_the_cells_again(spark, data, centroids, monkeypatch):
+    """As in an exact search: rows of a cell move once per round, and small blocks make no more rounds."""
+    _, _, b, q = data
+    index = ivf.build_ivf(b, centroids[0], scratch_path(spark, "index"))
+    whole = lists_of(ivf.search_ivf(index, centroids[0], q, 8, 3))
+    seen = []
+    grid = pairing.grid
+    monkeypatch.setattr(pairing, "grid", lambda *a: seen.append(grid(*a)) or seen[-1])
+    assert lists_of(ivf.search_ivf(index, centroids[0], q, 8, 3, block_rows=2)) == whole
+    assert {r["rounds"] for r in seen[0].collect()} == {1}
