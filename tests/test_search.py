@@ -477,3 +477,18 @@ def test_blocks_of_an_index_search_do_not_move_the_cells_again(spark, data, cent
     monkeypatch.setattr(pairing, "grid", lambda *a: seen.append(grid(*a)) or seen[-1])
     assert lists_of(ivf.search_ivf(index, centroids[0], q, 8, 3, block_rows=2)) == whole
     assert {r["rounds"] for r in seen[0].collect()} == {1}
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """More queries than are broadcast."""
+    vectors = np.random.default_rng(3).normal(size=((1 << 14) + 600, 4)).astype(np.float32)
+    return vectors, table_of(spark, range(len(vectors)), vectors, "query_id"), table_of(spark, range(60), vectors[:60])
+
+
+def test_sharded_index_search_of_many_queries_keeps_no_list_per_task_of_them_all(spark, many, monkeypatch):
+    vectors, q, b = many
+    cells = table_of(spark, range(3), vectors[:3], "cell_id").withColumnRenamed("vector", "centroid")
+    index = ivf.build_ivf(shards.round_robin(b, 4), cells, scratch_path(spark, "index"))
+    monkeypatch.setattr(knn, "QueryBlock", None)
+    assert_lists(ivf.sharded_ivf(index, cells, q, 5, 3, 4), range(len(vectors)), brute_force(range(60), vectors[:60], vectors, 5))
