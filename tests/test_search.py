@@ -492,3 +492,12 @@ def test_sharded_index_search_of_many_queries_keeps_no_list_per_task_of_them_all
     index = ivf.build_ivf(shards.round_robin(b, 4), cells, scratch_path(spark, "index"))
     monkeypatch.setattr(knn, "QueryBlock", None)
     assert_lists(ivf.sharded_ivf(index, cells, q, 5, 3, 4), range(len(vectors)), brute_force(range(60), vectors[:60], vectors, 5))
+
+
+@pytest.mark.parametrize("precision", ["f32", "i8"])
+def test_sharded_search_of_many_queries_keeps_no_list_per_task_of_them_all(many, monkeypatch, precision):
+    vectors, q, b = many
+    whole = lists_of(knn.exact_knn(b, q.filter("query_id % 97 = 0"), 5, precision=precision))
+    monkeypatch.setattr(knn, "QueryBlock", None)
+    found = lists_of(knn.sharded_knn(shards.round_robin(b, 4), q, 5, 4, precision=precision))
+    assert len(found) == len(vectors) and {i: found[i] for i in whole} == whole
