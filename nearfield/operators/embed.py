@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from nearfield.operators.widesvd import svd_embed_wide
-from nearfield.session import hand_back, materialize, parallelism, ship_package
+from nearfield.session import discard, hand_back, materialize, parallelism, ship_package
 
 # Bytes of text, or entries of word lists, that one Python step holds at a time (or one row): a word is an
 # object of its own there, many times the size of its letters.
@@ -203,6 +203,7 @@ def tfidf_svd_wide(
     """:func:`tfidf_svd` for wide vocabularies, see :mod:`widesvd`."""
     counts = materialize(term_counts(documents), "counts")
     rows = materialize(sparse_rows(counts, vocabulary(counts, max_features, min_df)), "tfidf")
+    discard(counts)
     return svd_embed_wide(rows, components, oversample, power)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions import distance, quantize, text
-from nearfield.operators import batch, embed, evaluate, ivf, knn, lsh, report, shards, twolevel
+from nearfield.operators import batch, embed, evaluate, ivf, knn, lsh, report, shards, successor, twolevel
 from nearfield.plans import evaluation, pipeline
 from nearfield.session import materialize, scratch_path
 from nearfield.sources import catalog, vecbin
@@ -795,25 +795,39 @@ def tfidf_svd_products(spark, sf_dir):
     Each document with itself and with the next number; the products of the weights are
     returned, and whether those of the embeddings equal them.
     """
-    documents, features = table(spark, sf_dir, "documents"), 1024
+    documents, features = successor.in_order(table(spark, sf_dir, "documents").select("doc_id", "text")), 1024
     return _products(documents, features, embed.tfidf_svd(documents, features, features))
 
 
 @query
 def tfidf_svd_wide(spark, sf_dir):
     """The same over sixteen times the vocabulary; 1,034 columns of the sketch are as many as 1,000 documents can span."""
-    documents, features = table(spark, sf_dir, "documents"), 16384
+    documents, features = successor.in_order(table(spark, sf_dir, "documents").select("doc_id", "text")), 16384
     return _products(documents, features, embed.tfidf_svd_wide(documents, features, 1024))
 
 
 def _products(documents: DataFrame, features: int, embedded: DataFrame) -> DataFrame:
     weights = embed.tfidf(documents, embed.vocabulary(documents, features)).select("doc_id", "term_id", "weight")
+    if successor.numbered(documents):
+        # Neither the weights nor the embeddings move.
+        sums = successor.sparse_products(weights).select("doc_id", F.col("own").alias("square"), F.col("other").alias("product"))
+        found = successor.dense_products(embedded).withColumns({name: F.coalesce(name, F.lit(0.0)) for name in ("other", "size")})
+    else:
+        sums, found = _joined_products(weights, materialize(embedded, "embedded"))
+    expected = {name: F.coalesce(name, F.lit(0.0)) for name in ("square", "product")}
+    bound = 1e-4 * F.greatest(F.lit(1.0), F.col("square"), F.sqrt(F.col("square") * F.col("size")))
+    checked = found.join(sums, "doc_id", "left").withColumns(expected)
+    same = (F.abs(F.col("own") - F.col("square")) <= bound) & (F.abs(F.col("other") - F.col("product")) <= bound)
+    return checked.select("doc_id", F.round("square", 3).alias("square"), F.round("product", 3).alias("product"), same.alias("same"))
+
+
+def _joined_products(weights: DataFrame, embedded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where several documents share a number, each meets all of the next."""
     after = weights.select((F.col("doc_id") - 1).alias("doc_id"), "term_id", F.col("weight").alias("next"))
     sums = weights.join(after, ["doc_id", "term_id"], "left").groupBy("doc_id").agg(
         F.sum(F.col("weight") * F.col("weight")).alias("square"),
         F.sum(F.col("weight") * F.coalesce("next", F.lit(0.0))).alias("product"),
     )
-    embedded = materialize(embedded, "embedded")
     later = embedded.select((F.col("doc_id") - 1).alias("doc_id"), F.col("embedding").alias("next"))
 
     def dot(a: str, b: str) -> Column:
@@ -825,11 +839,7 @@ def _products(documents: DataFrame, features: int, embedded: DataFrame) -> DataF
         F.coalesce(dot("embedding", "next"), F.lit(0.0)).alias("other"),
         F.coalesce(dot("next", "next"), F.lit(0.0)).alias("size"),
     )
-    expected = {name: F.coalesce(name, F.lit(0.0)) for name in ("square", "product")}
-    bound = 1e-4 * F.greatest(F.lit(1.0), F.col("square"), F.sqrt(F.col("square") * F.col("size")))
-    checked = found.join(sums, "doc_id", "left").withColumns(expected)
-    same = (F.abs(F.col("own") - F.col("square")) <= bound) & (F.abs(F.col("other") - F.col("product")) <= bound)
-    return checked.select("doc_id", F.round("square", 3).alias("square"), F.round("product", 3).alias("product"), same.alias("same"))
+    return sums, found
 
 
 @query

@@ -7,7 +7,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from nearfield.operators import embed, widesvd
+from nearfield import registered
+from nearfield.operators import embed, successor, widesvd
 from nearfield.plans import evaluation, pipeline
 from nearfield.sources import catalog, vecbin
 from tests.conftest import table_of
@@ -166,6 +167,39 @@ def test_wide_svd_in_pieces(spark, rng, monkeypatch):
     np.testing.assert_allclose(embedded(widesvd.svd_embed_wide(sparse(spark, matrix), 6, 4, 1)), whole, rtol=1e-3, atol=1e-4)
 
 
+@pytest.mark.parametrize("power", [0, 1])
+def test_wide_svd_stores_nothing_as_long_as_the_rows(spark, rng, monkeypatch, power):
+    """What is written depends on the vocabulary: no sketch of the rows, and a task's sums move once."""
+    matrix = rng.normal(size=(500, 40)) * (rng.random((500, 40)) < 0.3)
+    monkeypatch.setattr(widesvd, "_RUN_ROWS", 16)
+    monkeypatch.setattr(widesvd, "_DENSE_TERMS", 5)
+    stored, keep = [], widesvd.materialize
+    monkeypatch.setattr(widesvd, "materialize", lambda df, label: stored.append(keep(df, label)) or stored[-1])
+    monkeypatch.setattr(widesvd, "discard", lambda *tables: None)
+    got = embedded(widesvd.svd_embed_wide(sparse(spark, matrix), 6, 3, power))
+    assert max(t.count() for t in stored) <= 40 + 9 * 8
+    assert np.linalg.norm(got[:, 0]) <= np.linalg.svd(matrix)[1][0] * (1 + 1e-6)
+
+
+def test_runs_multiply_as_dense_rows(rng, monkeypatch):
+    """Frequent and rare terms, rows without terms and rows longer than a slice."""
+    monkeypatch.setattr(widesvd, "_GATHERED", 3)
+    monkeypatch.setattr(widesvd, "_RUN_ENTRIES", 60)
+    matrix = rng.normal(size=(50, 30)) * (rng.random((50, 30)) < np.linspace(1, 0.01, 30))
+    matrix[[0, 7, 8, 49]] = 0
+    rows = [np.flatnonzero(r) for r in matrix]
+    batch = pa.RecordBatch.from_pydict({"terms": pa.array([r.tolist() for r in rows], pa.list_(pa.int32())), "weights": pa.array([m[r].tolist() for m, r in zip(matrix, rows)], pa.list_(pa.float64()))})
+    table, total, start = rng.normal(size=(30, 4)), np.zeros((30, 4)), 0
+    parts = list(widesvd._runs(batch))
+    for part in parts:
+        run, mine = widesvd._Run(part), matrix[start : start + part.num_rows]
+        np.testing.assert_allclose(run.times(table), mine @ table, atol=1e-12)
+        run.add_transposed(mine @ table, total)
+        start += part.num_rows
+    assert start == 50 and len(parts) > 5
+    np.testing.assert_allclose(total, matrix.T @ matrix @ table, atol=1e-12)
+
+
 def test_tall_skinny_qr(spark, rng, monkeypatch):
     """Many small factors, stacked in several steps."""
     matrix = rng.normal(size=(700, 6))
@@ -206,3 +240,56 @@ def test_steps_on_words_hold_a_bounded_slice(spark, step):
         found = list(embed.sparse_rows(Captured(), vocab)(iter([whole])))
     assert [i for x in found for i in x["doc_id"].to_pylist()] == list(range(len(texts)))
     assert max(x.num_rows for x in found) <= 7000 and len(found) > 1
+
+
+def entries_of(vectors):
+    return [(i, t, float(w)) for i, v in vectors.items() for t, w in enumerate(v) if w]
+
+
+@pytest.mark.parametrize("order", ["stored", "shuffled"])
+def test_successors_by_brute_force(spark, rng, monkeypatch, order):
+    """Gaps, runs over several tasks and batches, rows of zeros; in any order of the rows."""
+    monkeypatch.setattr(successor, "_STEP", 7)
+    ids = [i for i in range(-3, 120) if i % 11 not in (4, 6)]
+    vectors = {i: rng.normal(size=9) * (rng.random(9) < 0.6) for i in ids}
+    vectors[5] = np.zeros(9)
+    if order == "shuffled":
+        ids = rng.permutation(ids).tolist()
+    dense = [(i, vectors[i].tolist()) for i in ids]
+    rows = spark.createDataFrame(spark.sparkContext.parallelize(dense, 5), "doc_id bigint, embedding array<double>")
+    sparse_rows = rows.select("doc_id", F.posexplode("embedding").alias("term_id", "weight")).filter("weight != 0")
+    monkeypatch.setattr(successor, "_DESCENTS", -1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 11)
+    try:
+        for found, size in ((successor.dense_products(rows), len(ids)), (successor.sparse_products(sparse_rows), len([i for i in ids if vectors[i].any()]))):
+            got = {r["doc_id"]: r for r in found.collect()}
+            assert len(got) == size == found.count()
+            for i, r in got.items():
+                after = vectors.get(i + 1, np.zeros(9))
+                np.testing.assert_allclose([r["own"], r["other"] or 0.0, r["size"] or 0.0], [vectors[i] @ vectors[i], vectors[i] @ after, after @ after], atol=1e-12)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_rows_out_of_order_are_dealt_by_ranges(spark):
+    rows = spark.createDataFrame(spark.sparkContext.parallelize([(i * 37 % 100, "a") for i in range(100)], 3), "doc_id bigint, text string")
+    assert successor.in_order(rows) is not rows and successor.in_order(rows.sort("doc_id")).count() == 100
+    in_order = spark.createDataFrame(spark.sparkContext.parallelize([(i, "a") for i in range(100)], 3), "doc_id bigint, text string")
+    assert successor.in_order(in_order) is in_order and successor.numbered(in_order)
+    assert not successor.numbered(in_order.unionByName(rows)) and not successor.numbered(in_order.unionByName(rows.limit(1).selectExpr("CAST(NULL AS bigint) doc_id", "text")))
+
+
+def test_products_of_neighbours_move_no_embeddings(spark, sf_dir, monkeypatch):
+    """The same rows as by joins, which store the embeddings and move them and the weights twice."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels, keep = [], registered.materialize
+    monkeypatch.setattr(registered, "materialize", lambda df, label: labels.append(label) or keep(df, label))
+
+    def run():
+        return sorted(map(tuple, registered._products(documents, 300, embed.tfidf_svd(documents, 300, 300)).collect()))
+
+    got = run()
+    assert "embedded" not in labels
+    monkeypatch.setattr(successor, "numbered", lambda _: False)
+    assert got == run() and "embedded" in labels and all(r[3] for r in got)
