@@ -501,3 +501,30 @@ def test_sharded_search_of_many_queries_keeps_no_list_per_task_of_them_all(many,
     monkeypatch.setattr(knn, "QueryBlock", None)
     found = lists_of(knn.sharded_knn(shards.round_robin(b, 4), q, 5, 4, precision=precision))
     assert len(found) == len(vectors) and {i: found[i] for i in whole} == whole
+
+
+def test_lists_of_many_queries_are_merged_whole(spark, data, monkeypatch):
+    """No sort of single pairs and no second ranking of what shards answer; lists of a query in several batches, ties and precisions included."""
+    base, queries, b, q = data
+    monkeypatch.setattr(knn, "_MERGED_PAIRS", 30)
+    sharded = shards.round_robin(b, 6)
+    want = brute_force(range(900), base, queries, 12)
+    hits = knn.search(sharded, q, 12, shard_col="shard_id", num_shards=6, block_rows=7).drop("shard_id")
+    assert_lists(hits, range(41), want)
+    assert "Window" not in hits._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(knn, "_BROADCAST_ROWS", 7)
+    found = knn.sharded_knn(sharded, q, 12, 6)
+    assert_lists(found, range(41), want)
+    assert found.columns == ["query_id", "neighbor_id", "distance", "rank"] and "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    kept = knn.search(b, b.select(F.col("row_id").alias("query_id"), "vector"), 5, precisions=["f32", "i8"], exclude_self=True, block_rows=50)
+    monkeypatch.setattr(knn, "_SALT_ABOVE", 1)
+    other = knn.search(b, b.select(F.col("row_id").alias("query_id"), "vector"), 5, precisions=["f32", "i8"], exclude_self=True, block_rows=50)
+    assert kept.columns == other.columns and kept.exceptAll(other).isEmpty() and kept.count() == other.count() == 900 * 2 * 5
+
+
+def test_merging_no_lists(spark):
+    none = spark.createDataFrame([], pairing.LISTS).drop("probe")
+    assert knn.merged_lists(none, 3, ["query_id"]).count() == 0
+    one = spark.createDataFrame([(1, "f32", 0, [1], [0.5]), (2, "f32", 0, [], []), (3, "f32", 0, [3, 4], [0.0, 1.0])], none.schema)
+    found = knn.merged_lists(one, 3, ["query_id"], exclude_self=True).select("query_id", "neighbor_id", "distance", "rank")
+    assert [tuple(r) for r in found.collect()] == [(3, 4, 1.0, 1)]
